@@ -14,9 +14,9 @@ from clickloom.functions.scalars import event_kind, local_day, ratio
 from clickloom.operators.slices import (
     HOT_PARTS,
     HOT_ROWS,
-    carried_value,
-    first_value_so_far,
-    running_sums,
+    count_changes,
+    hot_keys,
+    sliced_scan,
     with_slice,
 )
 
@@ -39,7 +39,11 @@ def user_totals(dwd: DataFrame) -> DataFrame:
 
 
 def user_total_pv(
-    dwd: DataFrame, mode: str = "consecutive", parts: int = HOT_PARTS, min_rows: int = HOT_ROWS
+    dwd: DataFrame,
+    mode: str = "consecutive",
+    parts: int = HOT_PARTS,
+    min_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Page views per user: shows whose request differs from the one counted before.
 
@@ -50,11 +54,8 @@ def user_total_pv(
         return shows.groupBy("uid").agg(F.count_distinct("req_id").alias("total_pv"))
     # all rows of one event carry the same request
     events = shows.where(F.col("pos") == 0).select("uid", "ts", "arrival", "req_id")
-    sliced = with_slice(events, ["uid"], parts=parts, min_rows=min_rows)
-    seen = carried_value(sliced, ["uid"], ["ts", "arrival"], F.col("req_id"), "_prev")
-    return seen.groupBy("uid").agg(
-        F.count_if(~F.col("req_id").eqNullSafe(F.col("_prev"))).alias("total_pv")
-    )
+    sliced = with_slice(events, ["uid"], parts=parts, min_rows=min_rows, hot=hot)
+    return count_changes(sliced, ["uid"], ["ts", "arrival"], F.col("req_id"), "total_pv")
 
 
 def user_active_days(dwd: DataFrame) -> DataFrame:
@@ -93,7 +94,11 @@ def latch_user_dim(dwd: DataFrame) -> DataFrame:
 
 
 def user_features(
-    dwd: DataFrame, pv_mode: str = "consecutive", parts: int = HOT_PARTS, min_rows: int = HOT_ROWS
+    dwd: DataFrame,
+    pv_mode: str = "consecutive",
+    parts: int = HOT_PARTS,
+    min_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The user feature table: one grouped pass plus the page-view rule."""
     order = F.struct(*ORDER)
@@ -111,7 +116,7 @@ def user_features(
             F.max("ts").alias("update_ts"),
         )
     )
-    pv = user_total_pv(dwd, pv_mode, parts, min_rows).withColumnRenamed("uid", "_uid")
+    pv = user_total_pv(dwd, pv_mode, parts, min_rows, hot).withColumnRenamed("uid", "_uid")
     return base.join(pv, F.col("uid") == F.col("_uid"), "left").select(
         F.col("uid").alias("user_id"),
         "_d.user_age",
@@ -203,26 +208,26 @@ def item_features(dwd: DataFrame) -> DataFrame:
     )
 
 
-def user_feature_changes(dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS) -> DataFrame:
+def user_feature_changes(
+    dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
     """The user feature row after every event."""
     keys = ["uid"]
-    kind = event_kind()
-    rows = with_slice(dwd.where(F.col("uid").isNotNull()), keys, parts=parts, min_rows=min_rows)
-    rows = rows.select(
-        "uid", "slice", *ORDER, "user_age", "user_city", "user_level",
-        kind.alias("kind"), counted_request().alias("_req"), local_day("ts").alias("_day"),
+    rows = dwd.where(F.col("uid").isNotNull()).select(
+        "uid", *ORDER, "user_age", "user_city", "user_level",
+        event_kind().alias("kind"), counted_request().alias("_req"), local_day("ts").alias("_day"),
     )
-    rows = carried_value(rows, keys, ORDER, F.col("_req"), "_last_req")
-    rows = carried_value(rows, keys, ORDER, F.col("_day"), "_last_day")
     dims = F.struct("user_age", "user_city", "user_level")
     known = F.coalesce(F.col("user_age"), F.lit(0)) != 0
-    rows = first_value_so_far(rows, keys, ORDER, F.when(known, dims), "_d")
-    new_req = F.col("_req").isNotNull() & ~F.col("_req").eqNullSafe(F.col("_last_req"))
-    new_day = ~F.col("_day").eqNullSafe(F.col("_last_day"))
-    sums = {"total_pv": new_req, "active_days": new_day}
-    for k in ("click", "cart", "fav", "buy"):
-        sums[f"total_{k}"] = F.coalesce(F.col("kind") == k, F.lit(False))
-    rows = running_sums(rows, keys, ORDER, {n: c.cast("int") for n, c in sums.items()})
+    # rows come in ts order, so a day never returns and its changes count the days
+    rows = sliced_scan(
+        with_slice(rows, keys, parts=parts, min_rows=min_rows, hot=hot),
+        keys,
+        ORDER,
+        sums={f"total_{k}": F.coalesce(F.col("kind") == k, F.lit(False)).cast("int") for k in ("click", "cart", "fav", "buy")},
+        changes={"total_pv": F.col("_req"), "active_days": F.col("_day")},
+        firsts={"_d": F.when(known, dims)},
+    )
     d = F.coalesce(F.col("_d"), dims)
     return rows.select(
         F.col("uid").alias("user_id"),
@@ -230,36 +235,44 @@ def user_feature_changes(dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int =
         d["user_age"].alias("user_age"),
         F.coalesce(d["user_city"], F.lit("unknown")).alias("user_city"),
         d["user_level"].alias("user_level"),
-        *sums,
+        "total_pv", "active_days", "total_click", "total_cart", "total_fav", "total_buy",
         F.col("ts").alias("last_active_ts"),
     )
 
 
-def item_feature_changes(dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS) -> DataFrame:
+def item_feature_changes(
+    dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
     """The item feature row after every counted item event."""
     keys = ["item_id"]
     events = _item_events(dwd).select(
         "item_id", "uid", *ORDER, "kind", "category_id", "item_brand", "item_price"
     )
-    rows = with_slice(events, keys, parts=parts, min_rows=min_rows)
     firsts = (
         events.where(F.col("uid").isNotNull())
         .groupBy("item_id", "uid")
         .agg(F.min(F.struct(*ORDER)).alias("_o"))
         .select("item_id", "uid", *[F.col(f"_o.{c}").alias(c) for c in ORDER], F.lit(1).alias("_new"))
     )
-    rows = rows.join(firsts, ["item_id", "uid", *ORDER], "left")
+    rows = events.join(firsts, ["item_id", "uid", *ORDER], "left")
     dims = F.struct("category_id", "item_brand", "item_price")
     known = F.coalesce(F.col("item_brand"), F.lit("unknown")) != "unknown"
-    rows = first_value_so_far(rows, keys, ORDER, F.when(known, dims), "_d")
+    kind = F.col("kind")
     sums = {
-        "total_detail_click": F.col("kind") == "click",
-        "total_buy": F.col("kind") == "buy",
-        "total_cart": F.col("kind") == "cart",
-        "total_fav": F.col("kind") == "fav",
+        "total_detail_click": kind == "click",
+        "total_buy": kind == "buy",
+        "total_cart": kind == "cart",
+        "total_fav": kind == "fav",
         "uv": F.coalesce("_new", F.lit(0)),
     }
-    rows = running_sums(rows, keys, ORDER, {n: c.cast("int") for n, c in sums.items()})
+    hot = hot_keys(events, keys, parts, min_rows) if hot is None else hot
+    rows = sliced_scan(
+        with_slice(rows, keys, hot=hot),
+        keys,
+        ORDER,
+        sums={n: c.cast("int") for n, c in sums.items()},
+        firsts={"_d": F.when(known, dims)},
+    )
     d = F.coalesce(F.col("_d"), dims)
     return rows.select(
         "item_id",

@@ -7,7 +7,8 @@ decays. ``clock='per_counter'`` gives every counter a clock of its own.
 
 With L the log-decay of each row and S its running sum within a kind, the
 counter ends at ``sum(exp(S_k - S_n))``. That sum splits into slices, each
-decayed by the total L of the slices after it.
+decayed by the total L of the slices after it; the gap from one slice to the
+next counts for the kind whose event opens the slice.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import DAY_MS, event_kind, fixed_decimal
-from clickloom.operators.slices import HOT_PARTS, HOT_ROWS, carried_value, with_slice
+from clickloom.operators.slices import HOT_PARTS, HOT_ROWS, with_slice
 
 ORDER = ["ts", "arrival", "pos"]
 CATEGORY_KINDS = ("pv", "click", "cart", "fav", "buy")
@@ -36,15 +37,20 @@ def decayed_counts(
     clock: str = "shared",
     parts: int = HOT_PARTS,
     min_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``{kind}_cnt`` and ``last_ts`` per key; ``events`` has keys, ORDER and ``kind``."""
     keys = list(keys)
-    rows = with_slice(events.where(F.col("kind").isin(*kinds)), keys, parts=parts, min_rows=min_rows)
+    rows = events.where(F.col("kind").isin(*kinds))
+    rows = with_slice(rows, keys, parts=parts, min_rows=min_rows, hot=hot)
     clock_keys = keys if clock == "shared" else [*keys, "kind"]
-    rows = carried_value(rows, clock_keys, ORDER, F.col("ts"), "_prev")
     rate = math.log(2.0) / (half_life_days * DAY_MS)
-    gap = F.greatest(F.col("ts") - F.col("_prev"), F.lit(0)).cast("double")
-    rows = rows.withColumn("_l", F.coalesce(gap * rate, F.lit(0.0)))
+
+    def log_decay(ts, prev):
+        return F.coalesce(F.greatest(ts - prev, F.lit(0)).cast("double") * rate, F.lit(0.0))
+
+    tick = Window.partitionBy(*clock_keys, "slice").orderBy(*ORDER)
+    rows = rows.withColumn("_prev", F.lag("ts").over(tick)).withColumn("_l", log_decay(F.col("ts"), F.col("_prev")))
 
     part = Window.partitionBy(*keys, "slice", "kind")
     upto = part.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,14 +60,19 @@ def decayed_counts(
         .groupBy(*keys, "kind", "slice")
         .agg(
             F.sum(F.exp(F.col("_s") - F.col("_end"))).alias("_part"),
-            F.max("_end").alias("_len"),
+            F.max("_end").alias("_inner"),
+            F.max(F.when(F.col("_prev").isNull(), F.col("ts"))).alias("_opens"),
             F.max("ts").alias("_ts"),
         )
     )
+    earlier = Window.partitionBy(*clock_keys).orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
+    bridge = log_decay(F.col("_opens"), F.max("_ts").over(earlier))
     per_kind = Window.partitionBy(*keys, "kind")
     so_far = per_kind.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("_pos", F.sum("_len").over(so_far)).withColumn(
-        "_after", F.max("_pos").over(per_kind) - F.col("_pos")
+    slices = (
+        slices.withColumn("_len", F.col("_inner") + bridge)
+        .withColumn("_pos", F.sum("_len").over(so_far))
+        .withColumn("_after", F.max("_pos").over(per_kind) - F.col("_pos"))
     )
     value = F.col("_part") * F.exp(-F.col("_after"))
     return slices.groupBy(*keys).agg(

@@ -46,9 +46,14 @@ def with_slice(
     ts: str = "ts",
     parts: int = HOT_PARTS,
     min_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``slice``: the minute of the event for hot keys, 0 for all others."""
-    hot = F.broadcast(hot_keys(df, keys, parts, min_rows))
+    """Add ``slice``: the minute of the event for hot keys, 0 for all others.
+
+    ``hot`` may bring the hot keys from a cheaper table than ``df``; any set of
+    keys gives the same results.
+    """
+    hot = F.broadcast(hot_keys(df, keys, parts, min_rows) if hot is None else hot)
     return (
         df.join(hot, list(keys), "left")
         .withColumn("slice", F.when(F.col("_hot"), minute_index(ts)).otherwise(F.lit(0).cast("long")))
@@ -56,41 +61,102 @@ def with_slice(
     )
 
 
-def running_sums(
+def sliced_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: dict[str, Column],
-    slice_col: str = "slice",
+    sums: dict[str, Column] | None = None,
+    changes: dict[str, Column] | None = None,
+    firsts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key over ``order``, sliced by ``slice_col``.
+    """Inclusive running values per key over ``order``; ``df`` comes from ``with_slice``.
 
-    Rows of one slice are summed locally; the totals of the earlier slices,
-    one row per (key, slice), are added afterwards. A key with a single slice
-    takes no carry.
+    * ``sums``: running sum;
+    * ``changes``: how often a non-null value differed from the non-null value before it;
+    * ``firsts``: the first non-null value so far.
+
+    Each slice is scanned on its own. Its totals, its first and its last values
+    make one summary row; what the earlier slices bring is computed over the
+    summary rows and joined back. Keys with a single slice have no summary.
     """
-    local = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    up_to_here = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(slice_col)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    flagged = df.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in sums.items()])
-    carry = (
-        flagged.where(F.col(slice_col) != 0)
-        .groupBy(*keys, slice_col)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-        .select(*keys, slice_col, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
-    )
-    out = flagged.select("*", *[F.sum(f"_v_{n}").over(up_to_here).alias(f"_r_{n}") for n in sums])
-    out = out.join(carry, [*keys, slice_col], "left")
-    return out.select(
+    sums, changes, firsts = sums or {}, changes or {}, firsts or {}
+    part = Window.partitionBy(*keys, "slice").orderBy(*order)
+    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    upto = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    rows = df.select(
+        "*",
+        *[c.cast("long").alias(f"_s_{n}") for n, c in sums.items()],
+        *[c.alias(f"_v_{n}") for n, c in {**changes, **firsts}.items()],
+    )
+    rows = _with_change_flags(rows, changes, before)
+
+    at = F.struct(*order)
+    totals = [F.sum(f"_s_{n}").alias(f"_t_{n}") for n in [*sums, *changes]]
+    firsts_of = [F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_f_{n}") for n in [*changes, *firsts]]
+    lasts_of = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_l_{n}") for n in changes]
+    summary = rows.where(F.col("slice") != 0).groupBy(*keys, "slice").agg(*totals, *firsts_of, *lasts_of)
+    # a slice that starts with the value the slice before ended with has one change less
+    repeats = [
+        F.coalesce((F.col(f"_f_{n}") == F.last(f"_l_{n}", ignorenulls=True).over(earlier)).cast("long"), F.lit(0)).alias(f"_r_{n}")
+        for n in changes
+    ]
+    summary = summary.select("*", *repeats)
+    carry = summary.select(
+        *keys,
+        "slice",
+        *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
+        *[F.sum(F.col(f"_t_{n}") - F.col(f"_r_{n}")).over(earlier).alias(f"_c_{n}") for n in changes],
+        *[f"_r_{n}" for n in changes],
+        *[F.first(f"_f_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in firsts],
+    )
+
+    rows = rows.select(
+        "*",
+        *[F.sum(f"_s_{n}").over(upto).alias(f"_u_{n}") for n in [*sums, *changes]],
+        *[F.first(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_u_{n}") for n in firsts],
+    ).join(carry, [*keys, "slice"], "left")
+
+    def zero(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    return rows.select(
         *df.columns,
-        *[(F.col(f"_r_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums],
+        *[(F.col(f"_u_{n}") + zero(f"_c_{n}")).alias(n) for n in sums],
+        *[
+            (F.col(f"_u_{n}") + zero(f"_c_{n}") - F.when(F.col(f"_u_{n}") > 0, zero(f"_r_{n}")).otherwise(0)).alias(n)
+            for n in changes
+        ],
+        *[F.coalesce(f"_c_{n}", f"_u_{n}").alias(n) for n in firsts],
     )
 
 
+def _with_change_flags(rows: DataFrame, changes: dict[str, Column], before) -> DataFrame:
+    """``_s_{n}`` = 1 where the value ``_v_{n}`` differs from the one before it in the slice."""
+    if not changes:
+        return rows
+    rows = rows.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in changes])
+    flags = [
+        (F.col(f"_v_{n}").isNotNull() & ~F.col(f"_v_{n}").eqNullSafe(F.col(f"_p_{n}"))).cast("long").alias(f"_s_{n}")
+        for n in changes
+    ]
+    return rows.select("*", *flags)
+
+
+def count_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Per key the number of changes of ``value``, from slice summaries alone."""
+    before = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with_change_flags(df.withColumn("_v_x", value), {"x": value}, before)
+    at = F.when(F.col("_v_x").isNotNull(), F.struct(*order))
+    summary = rows.groupBy(*keys, "slice").agg(
+        F.sum("_s_x").alias("_t"), F.min_by("_v_x", at).alias("_f"), F.max_by("_v_x", at).alias("_l")
+    )
+    repeat = F.coalesce((F.col("_f") == F.last("_l", ignorenulls=True).over(earlier)).cast("long"), F.lit(0))
+    return summary.withColumn("_r", repeat).groupBy(*keys).agg(F.sum(F.col("_t") - F.col("_r")).alias(out))
+
+
 def prefix_max(
     df: DataFrame, order: str, value: str, out: str, slice_rows: int = 1 << 20
 ) -> DataFrame:
@@ -146,58 +212,3 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
-
-def carried_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    out: str,
-    slice_col: str = "slice",
-) -> DataFrame:
-    """The last non-null ``value`` before the current row of the key."""
-    before = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = df.withColumn("_v", value)
-    carry = (
-        flagged.where(F.col(slice_col) != 0)
-        .groupBy(*keys, slice_col)
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
-        .select(*keys, slice_col, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    return (
-        flagged.withColumn("_local", F.last("_v", ignorenulls=True).over(before))
-        .join(carry, [*keys, slice_col], "left")
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_v", "_local", "_carry")
-    )
-
-
-def first_value_so_far(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    out: str,
-    slice_col: str = "slice",
-) -> DataFrame:
-    """The first non-null ``value`` of the key up to and including the current row."""
-    upto = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = df.withColumn("_v", value)
-    slots = (
-        flagged.where(F.col(slice_col) != 0)
-        .groupBy(*keys, slice_col)
-        .agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_first"))
-        .select(*keys, slice_col, F.first("_first", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    return (
-        flagged.withColumn("_local", F.first("_v", ignorenulls=True).over(upto))
-        .join(slots, [*keys, slice_col], "left")
-        .withColumn(out, F.coalesce("_carry", "_local"))
-        .drop("_v", "_local", "_carry")
-    )
