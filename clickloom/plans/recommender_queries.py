@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clickloom import schemas
 from clickloom.functions import scalars as S
 from clickloom.operators import cf, content, encode, graph, mmr, negatives, slices, trajectories, vectors
 from clickloom.operators import sequences
@@ -658,8 +659,6 @@ def read_behavior(spark, d):
 
 @query("read_dims", "SELECT item_id, category_id, brand, price FROM dim_item")
 def read_dims(spark, d):
-    from clickloom import schemas
-
     path = work_path(spark, "dim-item")
     tables.write_dims(views.dim_item(spark, d), path)
     return tables.read_dims(spark, path, schemas.DIM_ITEM)
@@ -671,11 +670,11 @@ def read_dims(spark, d):
 )
 def read_csv_tables(spark, d):
     folder = work_path(spark, "csv")
-    fmt = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "nullValue": None, "emptyValue": ""}
-    views.items(spark, d).write.csv(f"{folder}/items.csv", **fmt)
-    views.users(spark, d).write.csv(f"{folder}/users.csv", **fmt)
-    cols = [f.name for f in __import__("clickloom.schemas", fromlist=["x"]).INTERACTIONS_CSV.fields]
-    views.interactions(spark, d).select(*cols).write.csv(f"{folder}/interactions.csv", **fmt)
+    fmt = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "emptyValue": ""}
+    cols = [f.name for f in schemas.INTERACTIONS_CSV.fields]
+    views.items(spark, d).write.options(**fmt).csv(f"{folder}/items.csv")
+    views.users(spark, d).write.options(**fmt).csv(f"{folder}/users.csv")
+    views.interactions(spark, d).select(*cols).write.options(**fmt).csv(f"{folder}/interactions.csv")
     out = tables.read_csv_tables(spark, folder)["items"]
     return out.select(
         "item_id", "name", "author", "city", "price",
@@ -778,8 +777,6 @@ def split_list(spark, d):
     "SELECT uid, arrival, ts, coalesce(n_items, 0) AS n_items, coalesce(query, '') AS query FROM behavior",
 )
 def json_round_trip(spark, d):
-    from clickloom import schemas
-
     text = views.behavior(spark, d).select("uid", "arrival", "ts", F.to_json("bhv_ext").alias("j"))
     back = text.withColumn("e", F.from_json("j", schemas.BEHAVIOR_EXT))
     return back.select(

@@ -85,7 +85,7 @@ def write_dims(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, multiLine=False, timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    return spark.read.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True, schema=schema)
 
 
 def read_csv_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
