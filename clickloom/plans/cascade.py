@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators import cf, content, encode, mmr, olap, rank, sequences, vectors
-from clickloom.session import materialise
+from clickloom.session import materialise, spread
 
 FACTOR_TOP = 50
 
@@ -91,7 +91,8 @@ def raw_features(t: Tables, pairs: DataFrame) -> DataFrame:
 def fit_ranking(t: Tables, artefacts: Artefacts) -> Artefacts:
     """Train the rough and the fine models on the interactions."""
     frame = raw_features(t, t.interactions.drop("create_time", "order_key", "line"))
-    data = materialise(rank.assemble(encode.prepare_rank_features(frame, artefacts.vocabs, artefacts.stats)).select("features", *rank.TASKS))
+    prepared = encode.prepare_rank_features(frame, artefacts.vocabs, artefacts.stats)
+    data = spread(materialise(rank.assemble(prepared).select("features", *rank.TASKS)))
     return replace(artefacts, rough=rank.fit_tasks(data, "rough"), fine=rank.fit_tasks(data, "fine"))
 
 
