@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.slices import first_n
@@ -56,7 +56,8 @@ def group_pairs(cells: DataFrame, block: int = BLOCK, profile: Sequence[str] = (
     under its own join key, so a group of n members is spread over n / block keys.
     The product of the ``profile`` columns, the same in every group, is added once.
     """
-    sized = cells.withColumn("_k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("grp")) / block).cast("int"))
+    sizes = cells.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
+    sized = cells.join(sizes, "grp")
     left = sized.select(
         "grp",
         F.pmod(F.xxhash64("member"), F.col("_k")).cast("int").alias("blk"),

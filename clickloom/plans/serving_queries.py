@@ -11,7 +11,8 @@ from clickloom.plans import event_queries as E
 from clickloom.plans import serving
 from clickloom.plans.oracle_views import VIEWS
 from clickloom.plans.registry import query
-from clickloom.sources import views
+from clickloom.session import work_path
+from clickloom.sources import tables, views
 
 AS_OF_MS = views.REQUEST_TS_MS
 
@@ -91,20 +92,28 @@ SELECT *, round(coalesce(c1 / nullif(raw, 0), 0), 4) AS conversion_rate, round(c
   round(coalesce(c5 / nullif(raw, 0), 0), 4) AS item_click_1h FROM scored"""
 
 
-def tables_of(spark, d) -> serving.FeatureTables:
-    dwd = E.dwd_of(spark, d)
+def stored_dwd(spark, d):
+    """The item-level rows as a table, for plans that read them many times."""
+    return tables.store(E.dwd_of(spark, d), work_path(spark, "dwd"))
+
+
+def tables_of(spark, d, dwd=None) -> serving.FeatureTables:
+    dwd = stored_dwd(spark, d) if dwd is None else dwd
     raw = enrich.explode_shows(views.behavior(spark, d, "raw"))
     return serving.build_feature_tables(dwd, views.dim_item(spark, d), raw)
 
 
-def pool_of(spark, d):
-    rows = enrich.explode_shows(views.behavior(spark, d))
-    seqs = {n: sequences.sequence(rows, n) for n in candidates.SOURCES}
+def pool_of(spark, d, t=None):
+    if t is None:
+        rows = enrich.explode_shows(views.behavior(spark, d))
+        seqs = {n: sequences.sequence(rows, n) for n in candidates.SOURCES}
+    else:
+        seqs = t.sequences
     return candidates.candidate_pool(views.requests(spark, d), seqs, views.dim_item(spark, d))
 
 
-def ranked_of(spark, d):
-    return serving.rule_recommend(views.requests(spark, d), tables_of(spark, d))
+def ranked_of(spark, d, dwd=None):
+    return serving.rule_recommend(views.requests(spark, d), tables_of(spark, d, dwd))
 
 
 def shares(df, col="feature_contributions"):
@@ -133,7 +142,8 @@ def candidate_pool(spark, d):
     + " FROM bundles",
 )
 def assemble_bundle(spark, d):
-    out = serving.with_bundle(pool_of(spark, d), tables_of(spark, d))
+    t = tables_of(spark, d)
+    out = serving.with_bundle(pool_of(spark, d, t), t)
     return out.select(
         "req_id", "uid", "item_id", *[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in BUNDLE_COLUMNS]
     )
@@ -173,7 +183,7 @@ def rule_score(spark, d):
     clicks = t.sequences["click"].select(
         F.col("key").alias("uid"), F.transform(F.slice("members", 1, 20), lambda m: m["member"]).alias("click_seq")
     )
-    bundles = serving.with_bundle(pool_of(spark, d), t).join(clicks, "uid", "left")
+    bundles = serving.with_bundle(pool_of(spark, d, t), t).join(clicks, "uid", "left")
     out = rule.rule_score(bundles.withColumn("in_seq", rule.in_click_seq()))
     return out.select("req_id", "item_id", F.round("score", 6).alias("score"), *shares(out))
 
@@ -246,8 +256,9 @@ def rank_change(spark, d):
 
 # ---- snapshots, lineage, diagnosis ------------------------------------------
 
-def snapshots_of(spark, d):
-    return snapshots.build_snapshots(ranked_of(spark, d), views.requests(spark, d))
+def snapshots_of(spark, d, dwd=None):
+    built = snapshots.build_snapshots(ranked_of(spark, d, dwd), views.requests(spark, d))
+    return tables.store(built, work_path(spark, "snapshots"))
 
 
 @query(
@@ -284,8 +295,8 @@ def snapshot_json(spark, d):
     LEFT JOIN (SELECT * FROM shares WHERE rank <= top_k) s ON s.req_id = p.req_id AND s.item_id = p.item_id""",
 )
 def snapshot_lookup(spark, d):
-    lookups = pool_of(spark, d).select("req_id", "item_id")
-    out = snapshots.snapshot_lookup(lookups, snapshots_of(spark, d))
+    snaps = snapshots_of(spark, d)
+    out = snapshots.snapshot_lookup(snaps.select("req_id", F.explode("candidates").alias("item_id")), snaps)
     return out.select(
         "req_id", "item_id", "uid", "ts", "score",
         F.col("feature_contributions")["conversion_rate"].alias("conversion_rate"),
@@ -308,7 +319,8 @@ def lineage_trace(spark, d):
     # an older copy of every snapshot, which must lose against the newer one
     older = snaps.withColumns({"req_id": F.concat(F.lit("old_"), "req_id"), "ts": F.col("ts") - 3_600_000})
     clicks = sequences.sequence(enrich.explode_shows(views.behavior(spark, d)), "click")
-    out = snapshots.lineage_trace(pool_of(spark, d), snaps.unionByName(older), clicks, AS_OF_MS)
+    pairs = snaps.select("uid", F.explode("candidates").alias("item_id"))
+    out = snapshots.lineage_trace(pairs, snaps.unionByName(older), clicks, AS_OF_MS)
     return out.select(
         "uid", "item_id", "req_id", "ts",
         F.col("contributing_features")["conversion_rate"].alias("conversion_rate"),
@@ -395,9 +407,9 @@ def feature_sparsity(spark, d):
     LEFT JOIN user_feature u ON u.user_id = r.uid, ({HEALTH_SQL}) h""",
 )
 def diagnose_chain(spark, d):
-    dwd = E.dwd_of(spark, d)
+    dwd = stored_dwd(spark, d)
     return diagnose.diagnose_chain(
-        views.requests(spark, d), snapshots_of(spark, d), sequences.sequence(dwd, "click"),
+        views.requests(spark, d), snapshots_of(spark, d, dwd), sequences.sequence(dwd, "click"),
         cumulative.user_features(dwd), job_status_of(spark, d), AS_OF_MS,
     )
 
@@ -425,20 +437,20 @@ SELECT 'req_' || uid AS req_id, 'I' || lpad(CAST(item_id + 1 AS VARCHAR), 7, '0'
 )
 def item_not_shown(spark, d):
     seen = views.interactions(spark, d)
-    trace = views.ranking_trace(spark, d)
     # the trace rows of a user's requests, with the item they are about
     stage = F.element_at(F.array(F.lit("recall"), F.lit("rough"), F.lit("fine")), F.col("line") % 3 + 1)
     reason = F.element_at(
         F.array(F.lit("low_score"), F.lit("low_diversity"), F.lit("out_of_stock"), F.lit("recall_miss"), F.lit(None).cast("string")),
         (F.col("item_id") % 5 + 1).cast("int"),
     )
-    del trace
     item_trace = seen.select(
         F.concat(F.lit("req_"), views.user_code(F.col("user_id") + 1)).alias("req_id"),
         views.item_code(F.col("item_id") + 1).alias("_item"), stage.alias("stage"), reason.alias("filter_reason"),
     ).withColumnRenamed("_item", "item_id")
-    lookups = pool_of(spark, d).select("req_id", "item_id").union(item_trace.select("req_id", "item_id")).distinct()
-    return snapshots.item_not_shown(lookups, snapshots_of(spark, d), item_trace)
+    snaps = snapshots_of(spark, d)
+    pool = snaps.select("req_id", F.explode("candidates").alias("item_id"))
+    lookups = pool.union(item_trace.select("req_id", "item_id")).distinct()
+    return snapshots.item_not_shown(lookups, snaps, item_trace)
 
 
 # ---- feedback ---------------------------------------------------------------

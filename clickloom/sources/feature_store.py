@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: time to live per feature family, in milliseconds
@@ -28,10 +28,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def upsert_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str], write_ms: int, ttl_ms: int) -> None:
-    """Append the newest row per key of a batch; the expiry is renewed for the whole key."""
+def upsert_batch(
+    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str], write_ms: Column | int, ttl_ms: int
+) -> None:
+    """Append the newest row per key of a batch; the expiry is renewed for the whole key.
+
+    ``write_ms`` is the write time, or a column that holds it.
+    """
+    written = F.lit(write_ms) if isinstance(write_ms, int) else write_ms
     rows = latest_per_key(df, keys, order).withColumns(
-        {"expires_at": F.lit(write_ms + ttl_ms).cast("long"), "batch_id": F.lit(batch_id).cast("long")}
+        {"expires_at": (written + ttl_ms).cast("long"), "batch_id": F.lit(batch_id).cast("long")}
     )
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 

@@ -46,12 +46,13 @@ def start_batches(
 def start_features(
     df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], ttl_ms: int, **trigger
 ) -> StreamingQuery:
-    """Upsert the rows a stateful stream emits into a feature table."""
+    """Upsert the rows a stateful stream emits into a feature table.
+
+    A row expires ``ttl_ms`` after its own stamp, the first column of ``order``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(order[0])).first()[0]
-        if newest is not None:
-            feature_store.upsert_batch(batch, path, batch_id, keys, order, newest, ttl_ms)
+        feature_store.upsert_batch(batch, path, batch_id, keys, order, F.col(order[0]), ttl_ms)
 
     return start_batches(df, write, checkpoint, **trigger)
 
