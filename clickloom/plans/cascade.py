@@ -88,29 +88,34 @@ def raw_features(t: Tables, pairs: DataFrame) -> DataFrame:
     return encode.feature_frame(pairs, t.users, t.items, *last_stats(t))
 
 
-def fit_ranking(t: Tables, artefacts: Artefacts) -> Artefacts:
-    """Train the rough and the fine models on the interactions."""
+def fit_ranking(t: Tables, artefacts: Artefacts, stages: tuple[str, ...] = ("rough", "fine")) -> Artefacts:
+    """Train the models of the stages on the interactions."""
     frame = raw_features(t, t.interactions.drop("create_time", "order_key", "line"))
     prepared = encode.prepare_rank_features(frame, artefacts.vocabs, artefacts.stats)
     data = spread(materialise(rank.assemble(prepared).select("features", *rank.TASKS)))
-    return replace(artefacts, rough=rank.fit_tasks(data, "rough"), fine=rank.fit_tasks(data, "fine"))
+    return replace(artefacts, **{stage: rank.fit_tasks(data, stage) for stage in stages})
 
 
-def fit(t: Tables, factors: bool = True) -> Artefacts:
+def fit(
+    t: Tables,
+    factors: bool = True,
+    channels: dict[str, DataFrame] | None = None,
+    stages: tuple[str, ...] = ("rough", "fine"),
+) -> Artefacts:
     frame = raw_features(t, t.interactions.drop("create_time", "order_key", "line"))
     stats = materialise(encode.scaler_stats(frame, [*encode.CONTINUOUS, *encode.STATS]))
-    artefacts = Artefacts(recall(t, factors), encode.feature_vocabularies(t.users, t.items), stats)
-    return fit_ranking(t, artefacts)
+    channels = recall(t, factors) if channels is None else channels
+    return fit_ranking(t, Artefacts(channels, encode.feature_vocabularies(t.users, t.items), stats), stages)
 
 
-def rank_candidates(t: Tables, a: Artefacts, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rank_candidates(t: Tables, a: Artefacts, candidates: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(rough, fine) for (request_id, user_id, item_id, hour, is_weekend, is_holiday)."""
     frame = raw_features(t, candidates)
     assembled = rank.assemble(encode.prepare_rank_features(frame, a.vocabs, a.stats)).select("request_id", "user_id", "item_id", "features")
     rough = rank.rough_rank(assembled, a.rough)
-    kept = materialise(rough.select("request_id", "user_id", "item_id", "features", "score", "rank"))
-    fine = rank.fine_rank(kept.select("request_id", "user_id", "item_id", "features"), a.fine)
-    return kept.drop("features"), fine.drop("features")
+    kept = rough.select("request_id", "user_id", "item_id", "features", "score", "rank")
+    fine = rank.fine_rank(kept.select("request_id", "user_id", "item_id", "features"), a.fine) if a.fine else None
+    return kept.drop("features"), None if fine is None else fine.drop("features")
 
 
 def cascade_recommend(t: Tables, a: Artefacts, requests: DataFrame) -> DataFrame:

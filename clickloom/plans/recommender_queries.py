@@ -547,22 +547,26 @@ def _requests(t: cascade.Tables):
     return encode.scene_for(people, 20, False, False)
 
 
-def _ranked(spark, d):
+def _ranked(spark, d, stages):
+    """Both stages over the content channels of all users."""
     t = tables_of(spark, d)
-    a = cascade.fit(t, factors=False)
-    a.channels = {c: a.channels[c] for c in ("item_cf", "category")}
+    channels = {
+        "category": content.category_recall(t.users, t.items),
+        "keyword": content.keyword_recall(t.users, t.items),
+    }
+    a = cascade.fit(t, channels=channels, stages=stages)
     pool = content.recall_union(a.channels).select("user_id", "item_id")
     return cascade.rank_candidates(t, a, _requests(t).join(pool, "user_id"))
 
 
 @query("rough_rank")
 def rough_rank(spark, d):
-    return _ranked(spark, d)[0]
+    return _ranked(spark, d, ("rough",))[0]
 
 
 @query("fine_rank")
 def fine_rank(spark, d):
-    return _ranked(spark, d)[1]
+    return _ranked(spark, d, ("rough", "fine"))[1]
 
 
 @query("cascade_recommend")
