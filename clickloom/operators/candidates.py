@@ -40,30 +40,25 @@ def candidate_pool(
 
     The rest comes from a ring of all dimension items in a seeded random order:
     every request starts at its own place and takes the next items that are not
-    in its history. No request meets more than twice its pool size of items.
+    in its history. A pool of n never needs more than n ring items, so no
+    request meets more than n + 60 items.
     """
     history = history_candidates(requests, sequences)
     ring = dense_index(
         dim_item.select("item_id", F.md5(F.concat_ws("|", F.lit(seed), "item_id")).alias("_h")), ["_h", "item_id"], "_idx"
-    ).select("_idx", F.col("item_id").alias("_ring_item"))
-    size = ring.agg(F.count(F.lit(1)))
-    have = history.groupBy("req_id").agg(F.count(F.lit(1)).alias("_have"))
-    want = requests.join(have, "req_id", "left").select(
-        "req_id", "uid", "top_k",
-        F.coalesce("_have", F.lit(0)).alias("_have"),
-        (F.col("top_k") * POOL_MULTIPLIER).alias("_target"),
+    ).select("_idx", "item_id")
+    size = ring.agg(F.count(F.lit(1))).scalar()
+    target = F.col("top_k") * POOL_MULTIPLIER
+    start = requests.select("req_id", "uid", "top_k", hash_number(F.lit(seed), "uid").alias("_start"), size.alias("_size"))
+    steps = F.sequence(F.lit(0), F.least(target, F.col("_size")).cast("int") - 1)
+    slots = start.where(F.col("_size") > 0).select(
+        "req_id", "uid", "top_k", F.explode(steps).alias("_step"), "_start", "_size"
     )
-    want = want.withColumn("_size", size.scalar()).where((F.col("_have") < F.col("_target")) & (F.col("_size") > 0))
-    steps = F.least(F.col("_target"), F.col("_size")).cast("int")
-    slots = want.select(
-        "req_id", "uid", "top_k", "_have", "_target", "_size",
-        F.explode(F.sequence(F.lit(0), steps - 1)).alias("_step"),
-    ).withColumn("_idx", (hash_number(F.lit(seed), "uid") + F.col("_step")) % F.col("_size"))
-    # _target ring items hold at most _have history items, so enough remain
-    fill = slots.join(ring, "_idx").withColumnRenamed("_ring_item", "item_id")
-    fill = fill.join(history.select("req_id", "item_id"), ["req_id", "item_id"], "left_anti")
-    order = F.row_number().over(Window.partitionBy("req_id").orderBy("_step")) - 1
-    fill = fill.withColumn("_n", order).where(F.col("_n") < F.col("_target") - F.col("_have"))
-    filled = fill.select("req_id", "uid", "top_k", (F.col("_have") + F.col("_n")).alias("place"), "item_id")
-    pool = history.unionByName(filled.withColumn("place", F.col("place").cast("int")))
-    return pool.where(F.col("place") < F.col("top_k") * POOL_MULTIPLIER)
+    drawn = slots.withColumn("_idx", (F.col("_start") + F.col("_step")) % F.col("_size")).join(ring, "_idx")
+    # history places come before all ring steps
+    ordered = history.select("req_id", "uid", "top_k", "item_id", F.col("place").alias("_order")).unionByName(
+        drawn.select("req_id", "uid", "top_k", "item_id", (F.col("_step") + len(SOURCES) * READ_LENGTH).alias("_order"))
+    )
+    first = ordered.groupBy("req_id", "uid", "top_k", "item_id").agg(F.min("_order").alias("_order"))
+    place = F.row_number().over(Window.partitionBy("req_id").orderBy("_order")) - 1
+    return first.withColumn("place", place).drop("_order").where(F.col("place") < target)

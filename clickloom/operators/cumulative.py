@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import event_kind, local_day, ratio
 from clickloom.operators.slices import (
-    HOT_PARTS,
+    HOT_KEYS,
     HOT_ROWS,
     count_changes,
     hot_keys,
@@ -41,7 +41,7 @@ def user_totals(dwd: DataFrame) -> DataFrame:
 def user_total_pv(
     dwd: DataFrame,
     mode: str = "consecutive",
-    parts: int = HOT_PARTS,
+    at_most: int = HOT_KEYS,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
@@ -54,7 +54,7 @@ def user_total_pv(
         return shows.groupBy("uid").agg(F.count_distinct("req_id").alias("total_pv"))
     # all rows of one event carry the same request
     events = shows.where(F.col("pos") == 0).select("uid", "ts", "arrival", "req_id")
-    sliced = with_slice(events, ["uid"], parts=parts, min_rows=min_rows, hot=hot)
+    sliced = with_slice(events, ["uid"], at_most=at_most, min_rows=min_rows, hot=hot)
     return count_changes(sliced, ["uid"], ["ts", "arrival"], F.col("req_id"), "total_pv")
 
 
@@ -96,7 +96,7 @@ def latch_user_dim(dwd: DataFrame) -> DataFrame:
 def user_features(
     dwd: DataFrame,
     pv_mode: str = "consecutive",
-    parts: int = HOT_PARTS,
+    at_most: int = HOT_KEYS,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
@@ -116,7 +116,7 @@ def user_features(
             F.max("ts").alias("update_ts"),
         )
     )
-    pv = user_total_pv(dwd, pv_mode, parts, min_rows, hot).withColumnRenamed("uid", "_uid")
+    pv = user_total_pv(dwd, pv_mode, at_most, min_rows, hot).withColumnRenamed("uid", "_uid")
     return base.join(pv, F.col("uid") == F.col("_uid"), "left").select(
         F.col("uid").alias("user_id"),
         "_d.user_age",
@@ -209,7 +209,7 @@ def item_features(dwd: DataFrame) -> DataFrame:
 
 
 def user_feature_changes(
-    dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
+    dwd: DataFrame, at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
     """The user feature row after every event."""
     keys = ["uid"]
@@ -221,7 +221,7 @@ def user_feature_changes(
     known = F.coalesce(F.col("user_age"), F.lit(0)) != 0
     # rows come in ts order, so a day never returns and its changes count the days
     rows = sliced_scan(
-        with_slice(rows, keys, parts=parts, min_rows=min_rows, hot=hot),
+        with_slice(rows, keys, at_most=at_most, min_rows=min_rows, hot=hot),
         keys,
         ORDER,
         sums={f"total_{k}": F.coalesce(F.col("kind") == k, F.lit(False)).cast("int") for k in ("click", "cart", "fav", "buy")},
@@ -241,7 +241,7 @@ def user_feature_changes(
 
 
 def item_feature_changes(
-    dwd: DataFrame, parts: int = HOT_PARTS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
+    dwd: DataFrame, at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
     """The item feature row after every counted item event."""
     keys = ["item_id"]
@@ -265,7 +265,7 @@ def item_feature_changes(
         "total_fav": kind == "fav",
         "uv": F.coalesce("_new", F.lit(0)),
     }
-    hot = hot_keys(events, keys, parts, min_rows) if hot is None else hot
+    hot = hot_keys(events, keys, at_most, min_rows) if hot is None else hot
     rows = sliced_scan(
         with_slice(rows, keys, hot=hot),
         keys,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import DAY_MS, event_kind, fixed_decimal
-from clickloom.operators.slices import HOT_PARTS, HOT_ROWS, with_slice
+from clickloom.operators.slices import HOT_KEYS, HOT_ROWS, with_slice
 
 ORDER = ["ts", "arrival", "pos"]
 CATEGORY_KINDS = ("pv", "click", "cart", "fav", "buy")
@@ -35,14 +35,14 @@ def decayed_counts(
     kinds: Sequence[str],
     half_life_days: float = HALF_LIFE_DAYS,
     clock: str = "shared",
-    parts: int = HOT_PARTS,
+    at_most: int = HOT_KEYS,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """``{kind}_cnt`` and ``last_ts`` per key; ``events`` has keys, ORDER and ``kind``."""
     keys = list(keys)
     rows = events.where(F.col("kind").isin(*kinds))
-    rows = with_slice(rows, keys, parts=parts, min_rows=min_rows, hot=hot)
+    rows = with_slice(rows, keys, at_most=at_most, min_rows=min_rows, hot=hot)
     clock_keys = keys if clock == "shared" else [*keys, "kind"]
     rate = math.log(2.0) / (half_life_days * DAY_MS)
 

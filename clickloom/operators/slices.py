@@ -16,35 +16,28 @@ from pyspark.sql import functions as F
 from clickloom.functions.scalars import minute_index
 from clickloom.session import materialise
 
-# A key is hot when it holds more than 1/HOT_PARTS of all rows.
-HOT_PARTS = 5_000
-# ... and is too large for one task to sort comfortably.
+# At most this many keys are treated as hot, so any other key holds less than
+# 1/HOT_KEYS of all rows.
+HOT_KEYS = 5_000
+# A key with fewer rows is never hot: one task can sort it comfortably.
 HOT_ROWS = 2_000_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], parts: int = HOT_PARTS, min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than 1/``parts`` of all rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS) -> DataFrame:
+    """The largest keys with more than ``min_rows`` rows, ``at_most`` of them.
 
-    At most ``parts`` keys can satisfy the second condition, so the limit never
-    cuts anything: it tells the planner the bound that makes a broadcast safe.
+    The limit is what makes the result safe to broadcast. Which keys are hot
+    decides how the work is split, never what comes out of it.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)))
-    return (
-        counts.where(F.col("_n") > min_rows)
-        .where(F.col("_n") * parts > total.scalar())
-        .limit(parts)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+    return counts.orderBy(F.col("_n").desc(), *keys).limit(at_most).select(*keys, F.lit(True).alias("_hot"))
 
 
 def with_slice(
     df: DataFrame,
     keys: Sequence[str],
     ts: str = "ts",
-    parts: int = HOT_PARTS,
+    at_most: int = HOT_KEYS,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
@@ -53,7 +46,7 @@ def with_slice(
     ``hot`` may bring the hot keys from a cheaper table than ``df``; any set of
     keys gives the same results.
     """
-    hot = F.broadcast(hot_keys(df, keys, parts, min_rows) if hot is None else hot)
+    hot = F.broadcast(hot_keys(df, keys, at_most, min_rows) if hot is None else hot)
     return (
         df.join(hot, list(keys), "left")
         .withColumn("slice", F.when(F.col("_hot"), minute_index(ts)).otherwise(F.lit(0).cast("long")))

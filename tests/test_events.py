@@ -11,7 +11,7 @@ from clickloom.functions import scalars as S
 from clickloom.operators import cumulative, decay, enrich, sequences, sliding, windows
 
 T0 = 1_704_067_200_000
-FORCE = {"parts": 10**9, "min_rows": 0}  # every key counts as hot
+FORCE = {"at_most": 10**6, "min_rows": 0}  # every key counts as hot
 
 
 def event(uid, ts, kind="show", value=None, page="home", src="direct", items=None, item=None, req=None, query=None, arrival=0):

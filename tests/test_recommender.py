@@ -91,11 +91,16 @@ def test_topk_equals_brute_force_above_the_flat_limit(spark):
     scores = unit @ unit.T
     np.fill_diagonal(scores, -np.inf)
     want = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :5]
-    out = vectors.exact_topk_cosine(df.withColumnRenamed("item_id", "query_id"), df, 5, skip_self=True)
-    got = defaultdict(list)
-    for r in out.orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.item_id)
-    assert all(got[i] == list(want[i]) for i in range(len(v)))
+    queries = df.withColumnRenamed("item_id", "query_id")
+    for out in (
+        vectors.exact_topk_cosine(queries, df, 5, skip_self=True),
+        vectors.ivf_topk(queries, df, 5, skip_self=True, exact=True),
+        vectors.ivf_topk(queries, df, 5, probes=1, skip_self=True, exact=True),
+    ):
+        got = defaultdict(list)
+        for r in out.orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.item_id)
+        assert all(got[i] == list(want[i]) for i in range(len(v)))
 
 
 def test_blocks_do_not_change_the_result(spark):
