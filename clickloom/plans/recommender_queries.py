@@ -511,13 +511,10 @@ def fusion(spark, d):
 
 @query(
     "truncate_rough",
-    """SELECT request_id, item_id, rank FROM (SELECT user_id % 7 AS request_id, item_id, max(rating * 1000 + order_key % 1000) AS score
-        FROM interactions GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank
-      <= greatest(floor(sqrt(count(*) OVER (PARTITION BY request_id))), 100)""".replace(
-        "SELECT request_id, item_id, rank FROM",
-        "SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank FROM",
-    ).replace(" AS rank\n      <=", "\n      <="),
+    """WITH s AS (SELECT user_id % 7 AS request_id, item_id, max(rating * 1000 + order_key % 1000) AS score FROM interactions GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank,
+      count(*) OVER (PARTITION BY request_id) AS n FROM s)
+    SELECT request_id, item_id, rank FROM r WHERE rank <= greatest(floor(sqrt(n)), 100)""",
 )
 def truncate_rough(spark, d):
     scored = views.interactions(spark, d).groupBy((F.col("user_id") % 7).alias("request_id"), "item_id").agg(
@@ -697,13 +694,8 @@ def read_time_range(spark, d):
 
 @query(
     "upsert_feature_table",
-    """SELECT uid, max(bhv_page) FILTER (rn = 1) AS last_page, max(ts) AS last_ts,
-       max(CASE WHEN arrival % 2 = 0 THEN 1 ELSE 2 END) FILTER (nb = 1) AS last_batch FROM (
-       SELECT *, row_number() OVER (PARTITION BY uid, arrival % 2 ORDER BY ts DESC) AS rb,
-         row_number() OVER (PARTITION BY uid ORDER BY arrival % 2 DESC, ts DESC) AS rn,
-         row_number() OVER (PARTITION BY uid ORDER BY arrival % 2 DESC, ts DESC) AS nb FROM behavior) GROUP BY uid""".replace(
-        "max(ts) AS last_ts", "max(ts) FILTER (rn = 1) AS last_ts"
-    ),
+    """SELECT uid, bhv_page AS last_page, ts AS last_ts, arrival % 2 + 1 AS last_batch FROM behavior
+    QUALIFY row_number() OVER (PARTITION BY uid ORDER BY arrival % 2 DESC, ts DESC) = 1""",
 )
 def upsert_feature_table(spark, d):
     """Two batches, the even arrivals and then the odd ones; the later batch wins."""

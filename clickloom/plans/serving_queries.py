@@ -280,12 +280,12 @@ def write_snapshot(spark, d):
 
 @query(
     "snapshot_json",
-    """SELECT req_id, any_value(uid) AS uid, any_value(9223372036854775807) AS n,
+    """SELECT req_id, any_value(uid) AS uid,
       '["' || string_agg(item_id, '","' ORDER BY place) || '"]' AS candidates_json FROM pool GROUP BY req_id""",
 )
 def snapshot_json(spark, d):
     out = snapshots.snapshot_json(snapshots_of(spark, d))
-    return out.select("req_id", "uid", F.lit(9223372036854775807).alias("n"), "candidates_json")
+    return out.select("req_id", "uid", "candidates_json")
 
 
 @query(
