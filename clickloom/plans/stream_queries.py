@@ -12,12 +12,15 @@ from clickloom.sources import feature_store, tables, views
 from clickloom.streaming import events, jobs, stateful
 
 TTL = feature_store.TTL_MS
+FILES_PER_BATCH = 256
 
 
 def stream_events(spark: SparkSession, d: str, clock: str = "fast") -> DataFrame:
-    """The event table as a file stream, as behaviour events."""
+    """The event table as a file stream, as behaviour events; a batch reads a bounded number of files."""
     schema = views.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # a glob, as the stream source takes a single file only that way; a folder of that name works too
+    path = f"{d.rstrip('/')}/{{events}}.parquet"
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     return views.behavior_from_events(raw, clock)
 
 

@@ -21,6 +21,8 @@ SQL_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_LOCAL_DIRS: dict[str, str] = {}  # local mode without the setting: one folder per application
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -56,9 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="clickloom-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="clickloom-")
+    return _LOCAL_DIRS[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

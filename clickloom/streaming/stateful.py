@@ -1,8 +1,10 @@
 """Keyed state on streams: user and item features, sliding counts, decayed interest.
 
 Each processor keeps the state of one key and emits the key's new feature row
-once per micro-batch (update mode). Rows of a key are folded in (ts, arrival,
-pos) order within the batch; the batch size is set by the source's rate limit.
+once per micro-batch (update mode). Item and sliding counts fold the Arrow
+batches of a key one by one, in any order. User features and decayed interest
+depend on the order (ts, arrival, pos), so they sort a key's rows of one
+micro-batch; the source's rate limit bounds those.
 """
 
 from __future__ import annotations
@@ -124,14 +126,23 @@ class ItemFeatures(_Totals):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = self.read({n: None if n.startswith(("item_", "cat")) else 0 for n in self.names})
-        for r in _ordered(rows).itertuples(index=False):
-            s[f"total_{r.kind}"] += 1
-            if r.uid is not None and not self.users.containsKey((r.uid,)):
-                self.users.updateValue((r.uid,), (True,))
-                s["uv"] += 1
-            if s["item_brand"] in (None, "unknown"):
-                s.update(category_id=int(r.category_id), item_brand=r.item_brand, item_price=float(r.item_price))
-            s["update_ts"] = max(s["update_ts"], int(r.ts))
+        first_known, last_seen = None, None
+        for pdf in rows:
+            for kind, n in pdf["kind"].value_counts().items():
+                s[f"total_{kind}"] += int(n)
+            for uid in pdf["uid"].dropna().unique():
+                if not self.users.containsKey((uid,)):
+                    self.users.updateValue((uid,), (True,))
+                    s["uv"] += 1
+            s["update_ts"] = max(s["update_ts"], int(pdf["ts"].max()))
+            pdf = pdf.sort_values(ORDER, kind="stable")
+            known = pdf[pdf["item_brand"].notna() & (pdf["item_brand"] != "unknown")]
+            if len(known):
+                first_known = _by_order(min, first_known, known.iloc[0])
+            last_seen = _by_order(max, last_seen, pdf.iloc[-1])
+        if s["item_brand"] in (None, "unknown"):
+            r = last_seen if first_known is None else first_known
+            s.update(category_id=int(r["category_id"]), item_brand=r["item_brand"], item_price=float(r["item_price"]))
         self.write(s)
         rate = s["total_buy"] / s["total_click"] if s["total_click"] else 0.0
         yield pd.DataFrame(
@@ -144,6 +155,11 @@ class ItemFeatures(_Totals):
         )
 
 
+def _by_order(pick, a: pd.Series | None, b: pd.Series) -> pd.Series:
+    """The earlier or later of two rows."""
+    return b if a is None else pick(a, b, key=lambda r: tuple(r[c] for c in ORDER))
+
+
 def item_feature_stream(dwd: DataFrame, user_ttl_ms: int | None = None) -> DataFrame:
     """``user_ttl_ms`` lets the distinct-user state of idle users expire."""
     rows = dwd.withColumn("kind", event_kind()).where(F.col("item_id").isNotNull() & F.col("kind").isin(*ITEM_KINDS))
@@ -156,31 +172,32 @@ SLIDING_OUT = "key string, pv_5min long, pv_1h long, click_5min long, click_1h l
 
 
 class SlidingCounts(StatefulProcessor):
-    """Minute buckets per key; a bucket older than an hour is dropped at the next event."""
+    """Minute buckets per key; buckets more than an hour older than the newest event are dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buckets = handle.getMapState("buckets", "minute long", "pv long, click long")
+        self.newest = handle.getValueState("newest", "ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = self.newest.get()[0] if self.newest.exists() else 0
         kept = {k[0]: list(v) for k, v in self.buckets.iterator()}
         before = set(kept)
+        for pdf in rows:
+            now = max(now, int(pdf["ts"].max()))
+            for (minute, kind), n in pdf.groupby([pdf["ts"] // MINUTE_MS, "kind"]).size().items():
+                kept.setdefault(int(minute), [0, 0])[0 if kind == "pv" else 1] += int(n)
+            kept = {m: v for m, v in kept.items() if m * MINUTE_MS >= now - 60 * MINUTE_MS}
         out = {}
-        for r in _ordered(rows).itertuples(index=False):
-            now, minute = int(r.ts), int(r.ts) // MINUTE_MS
-            bucket = kept.setdefault(minute, [0, 0])
-            bucket[0 if r.kind == "pv" else 1] += 1
-            for m in [m for m in kept if m * MINUTE_MS < now - 60 * MINUTE_MS]:
-                del kept[m]
-            for name, n in SPANS.items():
-                inside = [v for m, v in kept.items() if m * MINUTE_MS >= now - n * MINUTE_MS]
-                out[f"pv_{name}"] = [sum(v[0] for v in inside)]
-                out[f"click_{name}"] = [sum(v[1] for v in inside)]
-            out["last_ts"] = [now]
+        for name, n in SPANS.items():
+            inside = [v for m, v in kept.items() if m * MINUTE_MS >= now - n * MINUTE_MS]
+            out[f"pv_{name}"] = [sum(v[0] for v in inside)]
+            out[f"click_{name}"] = [sum(v[1] for v in inside)]
+        self.newest.update((now,))
         for m in before - set(kept):
             self.buckets.removeKey((m,))
         for m, v in kept.items():
             self.buckets.updateValue((m,), tuple(v))
-        yield pd.DataFrame({"key": [key[0]], **out})[["key", "pv_5min", "pv_1h", "click_5min", "click_1h", "last_ts"]]
+        yield pd.DataFrame({"key": [key[0]], **out, "last_ts": [now]})[["key", "pv_5min", "pv_1h", "click_5min", "click_1h", "last_ts"]]
 
     def close(self) -> None:
         pass

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom import schemas
-from clickloom.operators import cumulative, enrich, sequences, windows
+from clickloom.operators import cumulative, decay, enrich, sequences, sliding, windows
 from clickloom.sources import feature_store, tables
 from clickloom.streaming import events, jobs, stateful
 from tests.test_events import T0, behavior, event, random_events, same
@@ -34,6 +34,22 @@ def test_user_features_over_batches(spark, files):
     same(out, cumulative.user_features(rows).select(*out.columns))
 
 
+def test_item_features_over_batches(spark, files):
+    path, rows = files
+    stateful.use_rocksdb(spark)
+    out = jobs.run_to_features(stateful.item_feature_stream(streamed(spark, path)), "i", ["item_id"], ["update_ts"], 10**9)
+    same(out, cumulative.item_features(rows).select(*out.columns))
+
+
+def test_sliding_and_decay_over_batches(spark, files):
+    path, rows = files
+    stateful.use_rocksdb(spark)
+    out = jobs.run_to_features(stateful.sliding_stat_stream(streamed(spark, path)), "s", ["key"], ["last_ts"], 10**9)
+    same(out, sliding.latest_stat(rows, ["uid"]).withColumnRenamed("uid", "key").select(*out.columns))
+    out = jobs.run_to_features(stateful.decay_stream(streamed(spark, path), "brand"), "d", ["uid", "entity"], ["last_ts"], 10**9)
+    same(out, decay.decayed_cross_brand(rows).withColumnRenamed("brand", "entity").select(*out.columns))
+
+
 def test_sequences_over_batches(spark, files):
     path, rows = files
     got = jobs.run_to_sequences(streamed(spark, path), "click")
