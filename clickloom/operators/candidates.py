@@ -49,7 +49,10 @@ def candidate_pool(
     ).select("_idx", "item_id")
     size = ring.agg(F.count(F.lit(1))).scalar()
     target = F.col("top_k") * POOL_MULTIPLIER
-    start = requests.select("req_id", "uid", "top_k", hash_number(F.lit(seed), "uid").alias("_start"), size.alias("_size"))
+    # each request becomes many rows, so spread the requests first; the number keeps
+    # adaptive execution from folding them into one task for being small now
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = requests.repartition(tasks, "req_id").select("req_id", "uid", "top_k", hash_number(F.lit(seed), "uid").alias("_start"), size.alias("_size"))
     steps = F.sequence(F.lit(0), F.least(target, F.col("_size")).cast("int") - 1)
     slots = start.where(F.col("_size") > 0).select(
         "req_id", "uid", "top_k", F.explode(steps).alias("_step"), "_start", "_size"
