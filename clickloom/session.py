@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +24,32 @@ SQL_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_SHIPPED: set[str] = set()  # applications that have the package
 _LOCAL_DIRS: dict[str, str] = {}  # local mode without the setting: one folder per application
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Apply the runtime settings to a session somebody else built, and ship the package."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers load functions by module name, and need not see the driver's path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="clickloom-"), package.name)
+    sc.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "clickloom") -> SparkSession:
     """A single-JVM session for tests and the bench."""
     builder = (

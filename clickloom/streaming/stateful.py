@@ -10,10 +10,12 @@ micro-batch; the source's rate limit bounds those.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +25,10 @@ from clickloom.operators.cumulative import ITEM_KINDS
 from clickloom.operators.decay import BRAND_KINDS, CATEGORY_KINDS, HALF_LIFE_DAYS
 from clickloom.operators.sliding import SPANS
 
+# The driver-side worker of a stateful stream does not get the shipped package,
+# so the processors of this module travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ORDER = ["ts", "arrival", "pos"]
