@@ -323,7 +323,7 @@ def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
 ACCEPT_SCORE = 0.4
 
 
-def _accept_batches(model: LanguageModel | None, least: float, schema: pa.Schema):
+def _accept_batches(model: LanguageModel | None, least: float):
     predict = _predict_batches(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,5 +346,5 @@ def keep_identified(
     """The rows whose language is recognised with a score of ``least`` or more; others go."""
     names = df.columns
     plain = df.select(*[F.col(f"`{c}`").alias("text" if c == text_col else f"c{i}") for i, c in enumerate(names)])
-    kept = plain.mapInArrow(_accept_batches(model, least, None), plain.schema)
+    kept = plain.mapInArrow(_accept_batches(model, least), plain.schema)
     return kept.toDF(*names)
