@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lang_id, near_dups, packing, pii, toxicity
+from clickloom.llm import bpe, html_text, lang_id, media, near_dups, packing, pii, toxicity
 from clickloom.llm.common import prepare, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(prepare(spark), sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(prepare(spark), sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -27,19 +32,30 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(prepare(spark), sf_dir, "pages"))
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(prepare(spark), sf_dir, "documents"), words=4)
 
 
 QUERIES: dict[str, Plan] = {
+    "op1_media": op1_media,
     "op2_pii": op2_pii,
     "op4_lang_id": op4_lang_id,
     "op5_toxicity": op5_toxicity,
+    "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op9_html": op9_html,
     "op10_near_dups": op10_near_dups,
 }
 
