@@ -6,7 +6,7 @@ describes its occurrence vector over the pages: pages, occurrences and two keyed
 sums that are equal only for equal vectors. Tokens of a host with the same vector
 form a class; classes that are large and frequent are the template, nested by their
 paths. What is left between template tokens are the slots. The main slot is the
-deepest template element, once on a page, that holds most of the text of the host; a
+deepest template element, once on a page, that holds blocks and most of the text of the host; a
 second pass takes the blocks of that slot, without blocks that the template itself
 writes on every page, and without navigation, adverts, forms, comments and the like.
 
@@ -31,7 +31,7 @@ from clickloom.session import materialise
 LEAST_PAGES = 3  # of a host, before a template is deduced
 LEAST_CLASS = 3  # tokens of a class
 FREQUENT = 0.5  # share of a host's pages a class must be on
-MAIN_SHARE = 0.6  # of the host's text that the main slot must hold
+MAIN_SHARE = 0.8  # of the host's text that the main slot must hold
 TEMPLATE_TEXT = 0.95  # share of pages on which a block counts as written by the template
 TEMPLATE_TEXT_PAGES = 8
 
@@ -53,6 +53,7 @@ NOT_TEXT_WORDS = set(
     "comment comments disqus reply replies respond related form search login widget".split()
 )
 WHOLE = {"html", "body", "article", "main"}  # never taken for an extra by their class
+HOLDERS = ("article", "body", "center", "div", "main", "section", "table", "tbody", "td", "tr")  # elements that hold blocks
 CLOSED_BY_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -226,7 +227,8 @@ def templates(pages: DataFrame) -> DataFrame:
     template = frequent.join(valid, vector)
     once = (F.col("occurrences") == F.col("pages")) & (F.col("mass") >= MAIN_SHARE * F.col("whole")) & (F.col("mass") > 0)
     depth = F.length(F.regexp_replace("path", "[^/]", ""))
-    main = template.where(once & F.col("path").isNotNull()).groupBy("host").agg(F.max_by("path", F.struct(depth, "path")).alias("main"))
+    holder = F.regexp_extract("path", r"/([^/.#]*)[^/]*$", 1).isin(*HOLDERS)
+    main = template.where(once & holder).groupBy("host").agg(F.max_by("path", F.struct(depth, "path")).alias("main"))
     # a block written by the template is on (almost) every page, whatever class it is in
     fixed = frequent.where(
         F.col("path").isNull() & (F.col("pages") >= TEMPLATE_TEXT * F.col("of")) & (F.col("of") >= TEMPLATE_TEXT_PAGES)

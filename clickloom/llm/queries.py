@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, html_text, lang_id, media, near_dups, packing, pii, toxicity
+from clickloom.llm import ann, bpe, html_text, lang_id, licenses, media, near_dups, packing, pii, toxicity
 from clickloom.llm.common import prepare, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return lang_id.identify(docs, lang_id.fit(docs))
@@ -40,6 +44,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(prepare(spark), sf_dir, "documents"), licenses.document_path())
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(prepare(spark), sf_dir, "pages"))
 
@@ -51,10 +59,12 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Plan] = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
+    "op3_ann": op3_ann,
     "op4_lang_id": op4_lang_id,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
     "op9_html": op9_html,
     "op10_near_dups": op10_near_dups,
 }
