@@ -11,24 +11,29 @@ from clickloom.session import materialise
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable, for every node that has an edge.
 
-    Each round takes the smallest label of the neighbours, then the label of
-    that label, so long chains shrink quickly. Minima combine before the
-    shuffle and the lookups are plain joins, which Spark splits when one label
-    is hot. Rounds end when no label moved. Null ends and loops add nothing.
+    Each round every node takes the smallest node among itself and its neighbours,
+    then what that node took; the edges are drawn anew between the nodes taken, and
+    those that became loops or repeats go. Edges and nodes shrink by a constant factor
+    per round, long chains included. Minima combine before the shuffle and the
+    lookups are plain joins, which Spark splits when one node is hot. Null ends and
+    loops add nothing.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = materialise(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    live = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    labels = None
     while True:
-        offered = (
-            both.join(labels.select(F.col("u").alias("v"), "label"), "v")
-            .groupBy("u")
-            .agg(F.min("label").alias("offer"))
-        )
-        nearer = labels.join(offered, "u").select("u", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        onward = labels.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        moved = materialise(nearer.join(onward, "label").select("u", "old", F.least("label", "further").alias("label")))
-        done = moved.where("label <> old").isEmpty()
-        labels = moved.select("u", "label")
-        if done:
-            return labels.select(F.col("u").alias("node"), "label")
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        taken = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        onward = taken.select(F.col("u").alias("m"), F.col("m").alias("further"))
+        taken = materialise(taken.join(onward, "m").select("u", F.col("further").alias("m")))
+        if labels is None:
+            labels = taken.select(F.col("u").alias("node"), F.col("m").alias("label"))
+        else:
+            step = taken.select(F.col("u").alias("label"), "m")
+            labels = labels.join(step, "label", "left").select("node", F.coalesce("m", "label").alias("label"))
+        labels = materialise(labels)
+        ends = live.join(taken, "u").select(F.col("m").alias("u"), "v").join(taken.select(F.col("u").alias("v"), "m"), "v")
+        ends = ends.select("u", F.col("m").alias("v")).where("u <> v")
+        live = materialise(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if live.isEmpty():
+            return labels
