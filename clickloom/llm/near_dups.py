@@ -218,33 +218,19 @@ def _promising(percent: int):
     return in_groups(work, "gid")
 
 
-def _with_sets(words: int):
-    """Each (text, places it is needed) row becomes one row per place, with the full set."""
-    names = ["gid", "side", "comp", "doc", "shingles"]
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def _set_batches(words: int):
+    """(doc, shingles): the full set of every text whose digest is the expected one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices_of(batch, "text", WORK_BYTES):
-                sets = shingle_sets(piece.column("text"), words)
-                docs, wants = piece.column("doc").to_pylist(), piece.column("wanted").to_pylist()
                 expected = zip(piece.column("h1").to_pylist(), piece.column("h2").to_pylist())
-                rows, held = [], 0
-                for s, doc, want, digest in zip(sets, docs, wants, expected):
-                    if _digest(s) != digest:
-                        continue  # another row with this id
-                    data = s.tobytes()
-                    for place in want:
-                        rows.append((place["gid"], place["side"], place["comp"], doc, data))
-                        held += len(data)
-                        if held > WORK_BYTES:
-                            yield pack(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield pack(rows)
+                docs, sets = [], []
+                for s, doc, digest in zip(shingle_sets(piece.column("text"), words), piece.column("doc").to_pylist(), expected):
+                    if _digest(s) == digest:  # else another row with this id
+                        docs.append(doc)
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
     return run
 
@@ -313,21 +299,24 @@ def _confirm(percent: int):
     return in_groups(work, "gid", 1024)
 
 
-def _search(entries: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among the rows of each ``gid``; entries: gid, side, band, doc, comp."""
+def _fit(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of each ``gid`` that have a promising partner there; entries: gid, side, band, doc, comp."""
     marks = F.to_binary(F.array_join(F.transform("bands", lambda x: F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8))), ""), F.lit("hex"))
     known = sketches.select("doc", "n", "near", marks.alias("marks"))
     shown = entries.join(known, "doc").select("gid", "side", "band", "doc", "comp", "n", "near", "marks")
-    fit = (
+    found = (
         shown.repartition("gid")
         .sortWithinPartitions("gid")
         .mapInArrow(_promising(percent), "gid long, side long, doc long, comp long")
     )
-    wanted = fit.groupBy("doc").agg(F.collect_list(F.struct("gid", "side", "comp")).alias("wanted"))
-    wanted = materialise(wanted.join(sketches.select("doc", "h1", "h2"), "doc"))
+    return materialise(found)
+
+
+def _links(fit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links (a, b) among the rows of each ``gid``."""
     return (
-        texts.join(wanted, "doc")
-        .mapInArrow(_with_sets(words), "gid long, side long, comp long, doc long, shingles binary")
+        fit.join(sets, "doc")
+        .select("gid", "side", "comp", "doc", "shingles")
         .repartition("gid")
         .sortWithinPartitions("gid")
         .mapInArrow(_confirm(percent), "a long, b long")
@@ -382,11 +371,18 @@ def near_duplicates(
     within = members.select(
         F.xxhash64("key", "block").alias("gid"), F.lit(-1).cast("long").alias("side"), "band", "doc", F.col("doc").alias("comp")
     )
-    links = materialise(_search(within, reps, texts, words, percent))
+    fit = _fit(within, reps, percent)
+    # the texts move once: for these rows, and for those that may meet across blocks
+    large = members.where("blocks > 1")
+    wanted = materialise(fit.select("doc").unionByName(large.select("doc")).distinct())
+    sets_path = work_path(spark, "sets")
+    asked = wanted.join(reps.select("doc", "h1", "h2"), "doc")
+    texts.join(asked, "doc").mapInArrow(_set_batches(words), "doc long, shingles binary").write.parquet(sets_path)
+    sets = spark.read.parquet(sets_path)
+    links = materialise(_links(fit, sets, percent))
     labels = connected(links)
 
     # large band keys that still hold several components, across their blocks
-    large = members.where("blocks > 1")
     labelled = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "comp", F.coalesce("label", "doc")
     )
@@ -403,7 +399,7 @@ def near_duplicates(
             "doc",
             "comp",
         )
-        links = links.unionByName(_search(across, reps, texts, words, percent))
+        links = links.unionByName(_links(_fit(across, reps, percent), sets, percent))
         labels = connected(materialise(links))
 
     found = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
