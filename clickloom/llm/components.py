@@ -11,10 +11,11 @@ from clickloom.session import materialise
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable, for every node that has an edge.
 
-    Each round every node takes the smallest node among itself and its neighbours,
-    then what that node took; the edges are drawn anew between the nodes taken, and
-    those that became loops or repeats go. Edges and nodes shrink by a constant factor
-    per round, long chains included. Minima combine before the shuffle and the
+    Each round every node takes the smallest node among itself and its neighbours, then
+    what that node took, and so on down to a node that took itself; a chain halves per
+    step. The edges are drawn anew between the nodes taken, and those that became
+    loops or repeats go. A node taken stands for two at least, so nodes halve per
+    round. Minima combine before the shuffle and the
     lookups are plain joins, which Spark splits when one node is hot. Null ends and
     loops add nothing.
     """
@@ -24,8 +25,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         taken = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        onward = taken.select(F.col("u").alias("m"), F.col("m").alias("further"))
-        taken = materialise(taken.join(onward, "m").select("u", F.col("further").alias("m")))
+        while True:
+            onward = taken.select(F.col("u").alias("m"), F.col("m").alias("further"))
+            further = materialise(taken.join(onward, "m").select("u", "m", "further"))
+            taken = further.select("u", F.col("further").alias("m"))
+            if further.where("m <> further").isEmpty():
+                break
         if labels is None:
             labels = taken.select(F.col("u").alias("node"), F.col("m").alias("label"))
         else:
