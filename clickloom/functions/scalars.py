@@ -122,6 +122,9 @@ def clip_text(c: Column | str, length: int) -> Column:
 
 
 def hash_number(*parts: Column | str) -> Column:
-    """A 32-bit number from the md5 of the parts; the same in any SQL engine."""
+    """A 60-bit number from the md5 of the parts; the same in any SQL engine.
+
+    Taken modulo a table size, the bias is below size / 2**60.
+    """
     text = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -45,14 +45,26 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def merge_scaler(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics of both inputs together, from their one-row statistics."""
     both = a.select(*columns).unionByName(b.select(*columns))
-    out = []
+    sums = []
     for c in columns:
-        n, mean, m2 = F.col(f"{c}.n"), F.col(f"{c}.mean"), F.col(f"{c}.m2")
-        total = F.sum(n)
-        joint = F.try_divide(F.sum(n * mean), total)
-        spread = F.sum(m2 + n * mean * mean) - total * joint * joint
-        out.append(F.struct(total.alias("n"), joint.alias("mean"), F.greatest(spread, F.lit(0.0)).alias("m2")).alias(c))
-    return both.agg(*out)
+        n, mean = F.col(f"{c}.n"), F.col(f"{c}.mean")
+        joint = F.try_divide(F.sum(n * mean), F.sum(n))
+        sums.append(F.struct(F.sum(n).alias("n"), joint.alias("mean"), F.collect_list(c).alias("parts")).alias(c))
+
+    def spread(c: str) -> Column:
+        """Deviations from the joint mean; squares of the means themselves would cancel."""
+        joint = F.col(f"{c}.mean")
+
+        def add(total: Column, part: Column) -> Column:
+            gap = F.coalesce(part["mean"] - joint, F.lit(0.0))
+            return total + part["m2"] + part["n"] * gap * gap
+
+        return F.aggregate(F.col(f"{c}.parts"), F.lit(0.0), add)
+
+    merged = [
+        F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.mean").alias("mean"), spread(c).alias("m2")).alias(c) for c in columns
+    ]
+    return both.agg(*sums).select(*merged)
 
 
 def sigma(stat: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import ratio
 from clickloom.operators.slices import first_n
+from clickloom.schemas import CALL_ROLES, HUMAN_ROLES
 
 TOP_REASONS = 50
 
@@ -129,8 +130,8 @@ def interaction_stats(interactions: DataFrame, key: str, as_of: Column, months:
 def session_counts(turns: DataFrame) -> DataFrame:
     """Human turns and tool calls per session."""
     return turns.groupBy("session_id").agg(
-        F.count_if(F.col("role").isin("user", "human")).alias("turn_count"),
-        F.count_if(F.col("role").isin("tool", "function_call")).alias("tool_call_count"),
+        F.count_if(F.col("role").isin(*HUMAN_ROLES)).alias("turn_count"),
+        F.count_if(F.col("role").isin(*CALL_ROLES)).alias("tool_call_count"),
     )
 
 

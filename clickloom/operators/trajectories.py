@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import clip_text
+from clickloom.schemas import ANSWER_ROLES, CALL_ROLES, HUMAN_ROLES, RESULT_ROLES
 
 RESULT_CHARS = 500
 QUESTION_CHARS = 100
@@ -34,10 +35,10 @@ def speaker(role: Column | str = "role") -> Column:
 
 def tool_calls(turns: DataFrame) -> DataFrame:
     """(session_id, turn, name, args, result): each call with the observation of the next turn."""
-    calls = turns.where(F.col("role") == "tool_call").select(
+    calls = turns.where(F.col("role").isin(*CALL_ROLES)).select(
         "session_id", "turn", F.get_json_object("text", "$.name").alias("name"), F.get_json_object("text", "$.args").alias("args")
     )
-    seen = turns.where(F.col("role") == "tool").select(
+    seen = turns.where(F.col("role").isin(*RESULT_ROLES)).select(
         "session_id", (F.col("turn") - 1).alias("turn"), clip_text("text", RESULT_CHARS).alias("result")
     )
     return calls.join(seen, ["session_id", "turn"], "left")
@@ -48,7 +49,7 @@ def session_summaries(turns: DataFrame) -> DataFrame:
 
     The tool list holds distinct names, a small vocabulary.
     """
-    human, gpt = F.col("role") == "user", F.col("role") == "assistant"
+    human, gpt = F.col("role").isin(*HUMAN_ROLES), F.col("role").isin(*ANSWER_ROLES)
     ends = turns.groupBy("session_id").agg(
         F.min_by(clip_text("text", QUESTION_CHARS), F.when(human, F.col("turn"))).alias("_q"),
         F.max_by(clip_text("text", ANSWER_CHARS), F.when(gpt, F.col("turn"))).alias("_a"),
@@ -74,7 +75,7 @@ def session_summaries(turns: DataFrame) -> DataFrame:
 
 def conversation_chunks(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(session_id, chunk, conversations): the turns in order, at most ``chunk`` per row."""
-    value = F.when(F.col("role") == "tool", clip_text("text", RESULT_CHARS)).otherwise(F.col("text"))
+    value = F.when(F.col("role").isin(*RESULT_ROLES), clip_text("text", RESULT_CHARS)).otherwise(F.col("text"))
     entry = F.struct("turn", speaker().alias("from"), value.alias("value"))
     return (
         turns.groupBy("session_id", F.floor(F.col("turn") / chunk).alias("chunk"))

@@ -28,7 +28,6 @@ def home_funnel_window(dwd: DataFrame, rates: bool = False) -> DataFrame:
     """Funnel counts per (user, category, minute); a window without a hit stays, all zero."""
     out = (
         home_funnel_filter(dwd)
-        .where(F.col("uid").isNotNull())
         .groupBy("uid", "category_id", minute_floor("ts").alias("window_start"))
         .agg(*funnel_counters())
         .select(

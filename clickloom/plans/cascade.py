@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators import cf, content, encode, mmr, olap, rank, sequences, vectors
+from clickloom.operators.slices import dense_index
 from clickloom.session import materialise, spread
 
 FACTOR_TOP = 50
@@ -35,15 +36,23 @@ class Artefacts:
 
 def factor_vectors(interactions: DataFrame, rank_: int = 16, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(user vectors, item vectors) from implicit-feedback factorisation."""
+    # the factor model wants int ids: dense numbers stand in for ids of any size
     seen = cf.last_ratings(interactions)
+    numbers = {c: dense_index(seen.select(c).distinct(), [c], f"_{c}") for c in ("user_id", "item_id")}
+    for c, index in numbers.items():
+        numbers[c] = index = materialise(index.withColumn(f"_{c}", F.col(f"_{c}").cast("int")))
+        seen = seen.join(index, c)
     als = ALS(
-        rank=rank_, maxIter=5, implicitPrefs=True, seed=seed, userCol="user_id", itemCol="item_id", ratingCol="rating",
+        rank=rank_, maxIter=5, implicitPrefs=True, seed=seed, userCol="_user_id", itemCol="_item_id", ratingCol="rating",
         coldStartStrategy="drop",
     )
-    model = als.fit(seen.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating"))
-    users = model.userFactors.select(F.col("id").cast("long").alias("query_id"), F.col("features").alias("vector"))
-    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").alias("vector"))
-    return users, items
+    model = als.fit(seen.select("_user_id", "_item_id", "rating"))
+
+    def named(factors: DataFrame, c: str, out: str) -> DataFrame:
+        rows = factors.join(numbers[c].withColumnRenamed(f"_{c}", "id"), "id")
+        return rows.select(F.col(c).alias(out), F.col("features").alias("vector"))
+
+    return named(model.userFactors, "user_id", "query_id"), named(model.itemFactors, "item_id", "item_id")
 
 
 def factor_recall(interactions: DataFrame, k: int = FACTOR_TOP, seed: int = 42) -> DataFrame:
@@ -123,7 +132,7 @@ def cascade_recommend(t: Tables, a: Artefacts, requests: DataFrame) -> DataFrame
     pool = content.recall_union(a.channels)
     candidates = requests.join(pool.select("user_id", "item_id"), "user_id")
     _, fine = rank_candidates(t, a, candidates)
-    with_vectors = fine.join(t.content_vectors, "item_id").select(
+    with_vectors = fine.join(t.content_vectors, "item_id", "left").select(
         "request_id", "item_id", F.col("score").alias("relevance"), "vector"
     )
     return mmr.mmr_rerank(with_vectors)

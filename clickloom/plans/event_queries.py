@@ -60,7 +60,7 @@ def resolve_click_item(spark, d):
 
 @query(
     "derive_category",
-    """SELECT 'I' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS item_id,
+    """SELECT 'I' || printf('%07d', p_partkey) AS item_id,
        CAST((p_partkey - 1) % 50 + 1 AS INTEGER) AS category_id FROM part""",
 )
 def derive_category(spark, d):

@@ -15,7 +15,7 @@ FROM events"""
 
 VIEWS["behavior_all"] = """
 SELECT *, CASE WHEN event_id % 17 = 0 THEN ts_fast - 30000 ELSE ts_fast END AS ts_late,
-       'U' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS uid,
+       'U' || printf('%06d', user_id + 1) AS uid,
        'log_' || event_id AS logid,
        CASE WHEN event_id % 97 <> 0
             THEN 'req_' || user_id || '_' || (ts_fast // 3600000 - event_id % 2) END AS req_id,
@@ -33,7 +33,7 @@ SELECT *, CASE WHEN bhv_value IS NOT NULL THEN 'pdp'
        CASE WHEN bhv_type = 'show' THEN '1001' WHEN bhv_value IS NULL THEN '2001' ELSE '3001' END AS bhv_id,
        CASE WHEN bhv_type = 'show' THEN event_id % 5 END AS n_items,
        CASE WHEN bhv_type = 'click' AND event_id % 101 <> 0
-            THEN 'I' || lpad(CAST(k + 1 AS VARCHAR), 7, '0') END AS ext_item_id
+            THEN 'I' || printf('%07d', k + 1) END AS ext_item_id
 FROM behavior_all"""
 
 VIEWS["behavior"] = """
@@ -42,14 +42,14 @@ SELECT *, ts_fast AS ts, event_id AS arrival,
 FROM behavior_base"""
 
 VIEWS["dim_user"] = """
-SELECT 'U' || lpad(CAST(c_custkey + 1 AS VARCHAR), 6, '0') AS user_id,
+SELECT 'U' || printf('%06d', c_custkey + 1) AS user_id,
        CAST(CASE WHEN c_custkey % 29 = 0 THEN 0 ELSE 18 + c_custkey % 48 END AS INTEGER) AS age,
        n_name AS city, CAST(1 + c_custkey % 5 AS INTEGER) AS level
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 WHERE c_custkey % 23 <> 0"""
 
 VIEWS["dim_item"] = """
-SELECT 'I' || lpad(CAST(p_partkey + 1 AS VARCHAR), 7, '0') AS item_id,
+SELECT 'I' || printf('%07d', p_partkey + 1) AS item_id,
        CAST(p_size AS INTEGER) AS category_id, p_brand AS brand, p_retailprice AS price
 FROM part WHERE p_partkey % 19 <> 0"""
 
@@ -57,7 +57,7 @@ VIEWS["exploded"] = """
 SELECT b.* , CAST(0 AS INTEGER) AS pos, ext_item_id AS item_id
 FROM behavior b WHERE bhv_type <> 'show' OR n_items = 0
 UNION ALL
-SELECT b.*, CAST(j AS INTEGER) AS pos, 'I' || lpad(CAST((k + 7 * j) % 100 + 1 AS VARCHAR), 7, '0')
+SELECT b.*, CAST(j AS INTEGER) AS pos, 'I' || printf('%07d', (k + 7 * j) % 100 + 1)
 FROM behavior b, range(4) r(j) WHERE bhv_type = 'show' AND j < n_items"""
 
 VIEWS["dwd"] = """
@@ -106,7 +106,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 VIEWS["content_vectors"] = "SELECT vec_id AS item_id, embedding AS vector FROM embeddings"
 
 VIEWS["ranking_trace"] = """
-SELECT 'req_' || order_key AS req_id, 'U' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS uid,
+SELECT 'req_' || order_key AS req_id, 'U' || printf('%06d', user_id + 1) AS uid,
        epoch_ms(create_time) // 1000 AS ts,
        ['recall', 'rough', 'fine'][line % 3 + 1] AS stage,
        CASE item_id % 5 WHEN 0 THEN 'low_score' WHEN 1 THEN 'low_diversity' WHEN 2 THEN 'out_of_stock'

@@ -312,7 +312,7 @@ VIEWS["item_idx"] = "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS
 @query(
     "sample_negatives",
     """WITH pos AS (SELECT DISTINCT user_id, item_id, order_key, line, price FROM interactions JOIN items USING (item_id)),
-    neg AS (SELECT p.*, n AS draw, ('0x' || substr(md5('neg|' || user_id || '|' || item_id || '|' || order_key || '|' || line || '|' || n), 1, 8))::BIGINT
+    neg AS (SELECT p.*, n AS draw, ('0x' || substr(md5('neg|' || user_id || '|' || item_id || '|' || order_key || '|' || line || '|' || n), 1, 15))::BIGINT
       % (SELECT count(*) FROM items) AS idx FROM pos p, range(1, 3) r(n))
     SELECT user_id, item_id, order_key, line, price, 1 AS label, 0 AS draw FROM pos
     UNION ALL SELECT user_id, i.item_id, order_key, line, price, -1, draw FROM neg JOIN item_idx i ON i.idx = neg.idx""",
@@ -330,7 +330,7 @@ def sample_negatives(spark, d):
       FROM interactions GROUP BY user_id),
     b AS (SELECT * FROM h ORDER BY md5('bpr|' || user_id), user_id LIMIT 64)
     SELECT b.user_id, pos_item, i.item_id AS neg_item FROM b JOIN item_idx i
-      ON i.idx = ('0x' || substr(md5('bpr|n|' || b.user_id), 1, 8))::BIGINT % (SELECT count(*) FROM items)""",
+      ON i.idx = ('0x' || substr(md5('bpr|n|' || b.user_id), 1, 15))::BIGINT % (SELECT count(*) FROM items)""",
 )
 def bpr_triples(spark, d):
     return negatives.bpr_triples(views.interactions(spark, d), views.items(spark, d), 64)
@@ -529,7 +529,7 @@ SELECT r.user_id AS request_id, r.item_id, CAST(r.score AS DOUBLE) AS relevance
 
 def _mmr_candidates(spark, d):
     recs = cf.item_cf_recommend(views.interactions(spark, d))
-    return recs.join(views.content_vectors(spark, d), "item_id").select(
+    return recs.join(views.content_vectors(spark, d), "item_id", "left").select(
         F.col("user_id").alias("request_id"), "item_id", F.round("score", 9).alias("relevance"), "vector"
     )
 

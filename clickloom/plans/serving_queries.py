@@ -43,7 +43,7 @@ SELECT req_id, uid, top_k, item_id, have + n AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY step) - 1 AS n FROM (
     SELECT s.req_id, s.uid, s.top_k, s.have, s.step, ring.item_id FROM (
       SELECT r.req_id, r.uid, r.top_k, coalesce(h.have, 0) AS have, g.step,
-             (('0x' || substr(md5('pool|' || r.uid), 1, 8))::BIGINT + g.step) % (SELECT count(*) FROM dim_item) AS idx
+             (('0x' || substr(md5('pool|' || r.uid), 1, 15))::BIGINT + g.step) % (SELECT count(*) FROM dim_item) AS idx
       FROM requests r LEFT JOIN (SELECT req_id, count(*) AS have FROM history GROUP BY req_id) h ON r.req_id = h.req_id,
            range(50) g(step)) s
     JOIN ring ON s.idx = ring.idx
@@ -415,8 +415,8 @@ def diagnose_chain(spark, d):
 
 
 VIEWS["item_trace"] = """
-SELECT 'req_' || uid AS req_id, 'I' || lpad(CAST(item_id + 1 AS VARCHAR), 7, '0') AS item_id, stage, filter_reason FROM (
-  SELECT 'U' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS uid, item_id, ['recall', 'rough', 'fine'][line % 3 + 1] AS stage,
+SELECT 'req_' || uid AS req_id, 'I' || printf('%07d', item_id + 1) AS item_id, stage, filter_reason FROM (
+  SELECT 'U' || printf('%06d', user_id + 1) AS uid, item_id, ['recall', 'rough', 'fine'][line % 3 + 1] AS stage,
     CASE item_id % 5 WHEN 0 THEN 'low_score' WHEN 1 THEN 'low_diversity' WHEN 2 THEN 'out_of_stock' WHEN 3 THEN 'recall_miss' END AS filter_reason
   FROM interactions)"""
 
@@ -456,7 +456,7 @@ def item_not_shown(spark, d):
 # ---- feedback ---------------------------------------------------------------
 
 VIEWS["injected"] = """
-SELECT 'U' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS uid, 'I' || lpad(CAST(k + 1 AS VARCHAR), 7, '0') AS item_id, ts_fast AS ts,
+SELECT 'U' || printf('%06d', user_id + 1) AS uid, 'I' || printf('%07d', k + 1) AS item_id, ts_fast AS ts,
   CASE event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'fav' WHEN 'error' THEN 'cart' WHEN 'purchase' THEN 'buy' ELSE 'share' END AS bhv_type
 FROM ev"""
 
@@ -596,14 +596,13 @@ def funnel_rates(spark, d):
     SELECT 'user_top10' AS measure, CAST(sum(n) FILTER (r <= (SELECT count(*) FROM customer) // 10) AS BIGINT) AS top,
       CAST(sum(n) AS BIGINT) AS total,
       round(sum(n) FILTER (r <= (SELECT count(*) FROM customer) // 10) / CAST(sum(n) AS DOUBLE), 6) AS share FROM ur
-    UNION ALL SELECT 'item_top20', CAST(sum(n) FILTER (r <= (SELECT count(*) FROM part) // 200) AS BIGINT), CAST(sum(n) AS BIGINT),
-      round(sum(n) FILTER (r <= (SELECT count(*) FROM part) // 200) / CAST(sum(n) AS DOUBLE), 6) FROM ir""",
+    UNION ALL SELECT 'item_top20', CAST(sum(n) FILTER (r <= (SELECT count(*) FROM part) // 5) AS BIGINT), CAST(sum(n) AS BIGINT),
+      round(sum(n) FILTER (r <= (SELECT count(*) FROM part) // 5) / CAST(sum(n) AS DOUBLE), 6) FROM ir""",
 )
 def hotspot_share(spark, d):
-    # the events name one item in 40, which is the configured population here
     n_users = views.table(spark, d, "customer").agg(F.count(F.lit(1))).scalar()
     n_items = views.table(spark, d, "part").agg(F.count(F.lit(1))).scalar()
-    out = olap.hotspot_share(views.behavior(spark, d), n_users, F.floor(n_items / 40))
+    out = olap.hotspot_share(views.behavior(spark, d), n_users, n_items)
     return out.withColumn("share", F.round("share", 6))
 
 
@@ -627,7 +626,7 @@ _register_stats("user_interaction_stats_3m", "user_id")
 @query(
     "session_counts",
     """SELECT session_id, count(*) FILTER (role IN ('user', 'human')) AS turn_count,
-      count(*) FILTER (role IN ('tool', 'function_call')) AS tool_call_count FROM sessions GROUP BY session_id""",
+      count(*) FILTER (role IN ('tool_call', 'function_call')) AS tool_call_count FROM sessions GROUP BY session_id""",
 )
 def session_counts(spark, d):
     return olap.session_counts(views.sessions(spark, d))

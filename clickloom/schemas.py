@@ -101,3 +101,9 @@ INTERACTIONS_CSV = T.StructType(
         T.StructField("buy", T.IntegerType()),
     ]
 )
+
+# who speaks in a conversation turn, under either naming
+HUMAN_ROLES = ("user", "human")
+ANSWER_ROLES = ("assistant", "gpt")
+CALL_ROLES = ("tool_call", "function_call")
+RESULT_ROLES = ("tool", "observation")

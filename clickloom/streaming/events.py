@@ -26,7 +26,7 @@ def enrich_stream(behavior: DataFrame, dim_user: DataFrame | None, dim_item: Dat
 
 def tumbling_minute(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """The home funnel per user, category and minute, emitted once when the watermark passes."""
-    rows = home_funnel_filter(with_event_time(dwd, delay)).where(F.col("uid").isNotNull())
+    rows = home_funnel_filter(with_event_time(dwd, delay))
     out = rows.groupBy(F.window("event_time", "1 minute"), "uid", "category_id").agg(*funnel_counters())
     return out.select(
         F.col("uid").alias("user_id"),
