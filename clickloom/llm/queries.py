@@ -69,4 +69,22 @@ QUERIES: dict[str, Plan] = {
     "op10_near_dups": op10_near_dups,
 }
 
-ORACLE: dict[str, str] = {}
+NEAR_DUPS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS ss
+  FROM w),
+s AS (SELECT doc_id, unnest(ss) AS sh FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+  WHERE 100 * c >= 80 * (len(a.ss) + len(b.ss) - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id,
+  doc_id <= coalesce(y, doc_id) AS kept
+FROM sets LEFT JOIN least_of ON x = doc_id"""
+
+ORACLE: dict[str, str] = {"op10_near_dups": NEAR_DUPS_SQL}

@@ -67,6 +67,8 @@ def features(model_hit: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nd
     for slots in _slots(points):
         at = np.flatnonzero(model_hit[slots])
         rows = np.searchsorted(starts, at, side="right") - 1
+        own = at < starts[rows + 1] - len(_GAP)  # n-grams that begin in a gap belong to nobody
+        at, rows = at[own], rows[own]
         found.append(rows.astype(np.int64) << SLOTS_LOG2 | slots[at].astype(np.int64))
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> SLOTS_LOG2, pairs & ((1 << SLOTS_LOG2) - 1)

@@ -1,6 +1,7 @@
 """Vector search, HTML extraction, license scans and the pipeline."""
 
 import re
+from html import unescape
 
 import numpy as np
 import pytest
@@ -77,7 +78,7 @@ def test_pages_of_the_table(spark):
     assert len(found) == len(html)
     for r in found:
         article = re.search(r"<article>(.*?)</article>", html[r["page_id"]], re.S).group(1)
-        lines = [" ".join(re.sub(r"</?b>", "", b).split()) for b in re.split(r"</?(?:p|h1|br)>", article)]
+        lines = [" ".join(unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", article)]
         assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
 
 

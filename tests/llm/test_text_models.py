@@ -117,7 +117,7 @@ def test_features_against_plain_python():
     for i, text in enumerate(texts):
         low = text.lower()
         padded = low + toxicity._GAP
-        grams = {padded[k : k + n] for n in toxicity.ORDERS for k in range(len(padded) - n + 1)}
+        grams = {padded[k : k + n] for n in toxicity.ORDERS for k in range(len(low))}
         assert np.count_nonzero(row == i) == len(grams)
 
 
