@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-REMEMBERED = 250_000  # pre-tokens per generation and worker
+REMEMBERED = 500_000  # pre-tokens per generation and worker
 LONGEST_REMEMBERED = 64
 MOST_PAIRS = 500_000
 NEVER = 1 << 60
