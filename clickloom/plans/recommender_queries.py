@@ -596,37 +596,68 @@ def append_new_rows(spark, d):
 
 # ---- trajectories -----------------------------------------------------------
 
-@query(
-    "build_trajectories",
-    """WITH q AS (SELECT session_id, min_by(substr(text, 1, 100), turn) FILTER (role = 'user') AS q,
-        max_by(substr(text, 1, 150), turn) FILTER (role = 'assistant') AS a FROM sessions GROUP BY session_id),
-    s AS (SELECT session_id, concat_ws('；', '用户问题：' || q, '最终回答摘要：' || a) AS summary FROM q),
-    c AS (SELECT session_id, turn // 1000 AS chunk, count(*) AS n_turns,
+T = trajectories
+# the texts of summaries and case documents come from the operator's constants
+TRAJECTORY_SQL = f"""q AS (SELECT session_id, min_by(substr(text, 1, {T.QUESTION_CHARS}), turn) FILTER (role = 'user') AS q,
+        max_by(substr(text, 1, {T.ANSWER_CHARS}), turn) FILTER (role = 'assistant') AS a FROM sessions GROUP BY session_id),
+    s AS (SELECT session_id, concat_ws('{T.SEPARATOR}', '{T.QUESTION}' || q, '{T.ANSWER}' || a) AS summary FROM q),
+    c AS (SELECT session_id, turn // {T.CHUNK} AS chunk, count(*) AS n_turns,
         string_agg((CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END) || '=' || text, chr(10) ORDER BY turn) AS conversations
-      FROM sessions GROUP BY 1, 2)
-    SELECT c.*, s.summary, '## 诊断案例' || chr(10) || chr(10) || '**摘要：** ' || summary || chr(10) || chr(10) || '**调用工具：**' || chr(10)
-      || '(无工具调用)' || chr(10) || chr(10) || '**会话ID：** ' || c.session_id || chr(10) AS case_document
-    FROM c JOIN s ON s.session_id = c.session_id""",
-)
-def build_trajectories(spark, d):
-    out = trajectories.build_trajectories(views.sessions(spark, d))
+      FROM sessions GROUP BY 1, 2),
+    t AS (SELECT c.*, s.summary, '{T.CASE_HEAD}' || summary || '{T.CASE_TOOLS}{T.NO_TOOLS}{T.CASE_SESSION}' || c.session_id || chr(10) AS case_document
+      FROM c JOIN s ON s.session_id = c.session_id)"""
+
+
+def _flat_trajectories(rows, *more: str):
     text = F.transform("conversations", lambda c: F.concat(c["from"], F.lit("="), c["value"]))
-    return out.select(
-        "session_id", "chunk", F.size("conversations").cast("long").alias("n_turns"), F.array_join(text, "\n").alias("conversations"),
-        "summary", "case_document",
+    return rows.select(
+        *more, "session_id", "chunk", F.size("conversations").cast("long").alias("n_turns"),
+        F.array_join(text, "\n").alias("conversations"), "summary", "case_document",
     )
 
 
+@query("build_trajectories", f"WITH {TRAJECTORY_SQL} SELECT * FROM t")
+def build_trajectories(spark, d):
+    return _flat_trajectories(trajectories.build_trajectories(views.sessions(spark, d)))
+
+
+# every conversation with a call, its result and a repeated call put before its turns
+CALL_TEXT = '{"name": "look", "args": {"q": 1}}'
+
+
 @query(
-    "write_trajectories",
-    "SELECT 'u' || (session_id % 10) AS user_id, session_id, count(*) AS n_turns FROM sessions GROUP BY 1, 2",
+    "trajectory_tool_calls",
+    """SELECT DISTINCT session_id, CAST(n AS BIGINT) AS place, 'look' AS name, '{"q":1}' AS args,
+      CASE n WHEN 0 THEN 'seen ' || session_id END AS result, 1700000000 + n * 2 AS ts,
+      CASE WHEN session_id % 2 = 0 THEN 1.0 END AS reward, '- look({"q":1})' || chr(10) || '- look({"q":1})' AS listed
+    FROM sessions, (VALUES (0), (1)) v(n)""",
 )
+def trajectory_tool_calls(spark, d):
+    said = views.sessions(spark, d).withColumn("ts", F.lit(1_700_000_009).cast("long"))
+    first = said.select("session_id").distinct()
+    made = F.array(
+        F.struct(F.lit(-3).alias("turn"), F.lit("tool_call").alias("role"), F.lit(CALL_TEXT).alias("text"), F.lit(1_700_000_000).alias("ts")),
+        F.struct(
+            F.lit(-2).alias("turn"), F.lit("tool").alias("role"), F.concat(F.lit("seen "), "session_id").alias("text"),
+            F.lit(1_700_000_001).alias("ts"),
+        ),
+        F.struct(F.lit(-1).alias("turn"), F.lit("function_call").alias("role"), F.lit(CALL_TEXT).alias("text"), F.lit(1_700_000_002).alias("ts")),
+    )
+    calls = first.select("session_id", F.explode(made).alias("m")).select("session_id", "m.*")
+    turns = said.unionByName(calls.select("session_id", "turn", "role", "text", "ts"))
+    rewards = first.where("session_id % 2 = 0").withColumn("reward", F.lit(1.0))
+    out = trajectories.build_trajectories(turns, rewards=rewards)
+    listed = F.split_part(F.split_part("case_document", F.lit(trajectories.CASE_TOOLS), F.lit(2)), F.lit(trajectories.CASE_SESSION), F.lit(1))
+    rows = out.select("session_id", "reward", listed.alias("listed"), F.posexplode("tool_calls").alias("place", "c"))
+    return rows.select("session_id", F.col("place").cast("long").alias("place"), "c.name", "c.args", "c.result", "c.ts", "reward", "listed")
+
+
+@query("write_trajectories", f"WITH {TRAJECTORY_SQL} SELECT 'u' || (session_id % 10) AS user_id, t.* FROM t")
 def write_trajectories(spark, d):
     path = work_path(spark, "trajectories")
     user = F.concat(F.lit("u"), F.col("session_id") % 10)
     trajectories.write_trajectories(trajectories.build_trajectories(views.sessions(spark, d)).withColumn("user_id", user), path)
-    back = spark.read.schema("user_id string, session_id long, conversations array<struct<`from`: string, value: string>>").json(path)
-    return back.groupBy("user_id", "session_id").agg(F.sum(F.size("conversations")).alias("n_turns"))
+    return _flat_trajectories(trajectories.read_trajectories(spark, path, "long"), "user_id")
 
 
 @query(
@@ -667,20 +698,40 @@ def read_dims(spark, d):
 
 @query(
     "read_csv_tables",
-    """SELECT item_id, name, author, city, price, array_to_string(list_sort(string_split(item_keywords, ';')), ',') AS keywords FROM items""",
+    """SELECT 'items' AS tbl, item_id AS id, NULL AS item, name || '|' || author || '|' || city || '|' || item_categories || '|' ||
+        array_to_string(list_sort(string_split(item_keywords, ';')), ',') AS texts, price AS amount, strftime(create_time, '%Y-%m-%d %H:%M:%S') AS at
+      FROM items
+    UNION ALL SELECT 'users', user_id, NULL, gender || '|' || user_categories || '|' || user_keywords, CAST(age AS DOUBLE), NULL FROM users
+    UNION ALL SELECT 'interactions', user_id, item_id, concat_ws('|', hour, is_weekend, click, cart, forward, buy), CAST(rating AS DOUBLE),
+        strftime(create_time, '%Y-%m-%d %H:%M:%S') FROM interactions""",
 )
 def read_csv_tables(spark, d):
+    """The three tables written as CSV, read back and put under each other."""
     folder = work_path(spark, "csv")
     fmt = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "emptyValue": ""}
     cols = [f.name for f in schemas.INTERACTIONS_CSV.fields]
     views.items(spark, d).write.options(**fmt).csv(f"{folder}/items.csv")
     views.users(spark, d).write.options(**fmt).csv(f"{folder}/users.csv")
     views.interactions(spark, d).select(*cols).write.options(**fmt).csv(f"{folder}/interactions.csv")
-    out = tables.read_csv_tables(spark, folder)["items"]
-    return out.select(
-        "item_id", "name", "author", "city", "price",
-        F.array_join(F.array_sort(S.split_list("item_keywords")), ",").alias("keywords"),
+    out = tables.read_csv_tables(spark, folder)
+    at = F.date_format("create_time", "yyyy-MM-dd HH:mm:ss").alias("at")
+    words = F.array_join(F.array_sort(S.split_list("item_keywords")), ",")
+    none = F.lit(None)
+    items = out["items"].select(
+        F.lit("items").alias("tbl"), F.col("item_id").alias("id"), none.cast("long").alias("item"),
+        F.concat_ws("|", "name", "author", "city", "item_categories", words).alias("texts"), F.col("price").alias("amount"), at,
     )
+    users = out["users"].select(
+        F.lit("users").alias("tbl"), F.col("user_id").alias("id"), none.cast("long").alias("item"),
+        F.concat_ws("|", "gender", "user_categories", "user_keywords").alias("texts"), F.col("age").cast("double").alias("amount"),
+        none.cast("string").alias("at"),
+    )
+    seen = out["interactions"].select(
+        F.lit("interactions").alias("tbl"), F.col("user_id").alias("id"), F.col("item_id").alias("item"),
+        F.concat_ws("|", "hour", "is_weekend", "click", "cart", "forward", "buy").alias("texts"),
+        F.col("rating").cast("double").alias("amount"), at,
+    )
+    return items.unionByName(users).unionByName(seen)
 
 
 @query(
@@ -708,15 +759,20 @@ def upsert_feature_table(spark, d):
     return out.select("uid", "last_page", "last_ts", "last_batch")
 
 
+KEYED_COLUMNS = ("arrival", "pos", "ts", "req_id", "item_id", "category_id", "item_brand", "item_price", "user_city")
+
+
 @query(
     "write_keyed_stream",
-    """SELECT uid || '_' || category_id AS key, count(*) AS n FROM dwd GROUP BY 1""",
+    """SELECT uid || '_' || category_id AS key, arrival, pos, ts, req_id, item_id, category_id, item_brand, item_price, user_city FROM dwd""",
 )
 def write_keyed_stream(spark, d):
-    """The keyed JSON sink, grouped by its key."""
+    """The rows as keyed JSON, and what a consumer reads from the value."""
     from clickloom.plans.event_queries import dwd_of
 
-    return tables.keyed_json(dwd_of(spark, d), "uid", "category_id").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = dwd_of(spark, d)
+    back = tables.keyed_json(rows, "uid", "category_id").select("key", F.from_json("value", rows.schema).alias("v"))
+    return back.select("key", *[f"v.{c}" for c in KEYED_COLUMNS])
 
 
 # ---- scalar functions -------------------------------------------------------

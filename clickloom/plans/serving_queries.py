@@ -264,17 +264,22 @@ def snapshots_of(spark, d, dwd=None):
 @query(
     "write_snapshot",
     """SELECT s.req_id, any_value(s.uid) AS uid, any_value(r.ts) AS ts, any_value(r.ts) + 86400000 AS expires_at,
+      CAST(CAST(make_timestamp(any_value(r.ts) * 1000) AS DATE) AS VARCHAR) AS day,
       string_agg(item_id, ',' ORDER BY place) AS candidates,
-      string_agg(CASE WHEN rank <= s.top_k THEN item_id END, ',' ORDER BY rank) AS served,
-      round(max(CASE WHEN rank = 2 THEN score END), 6) AS second_score, any_value(u_total_pv) AS total_pv
+      string_agg(CASE WHEN rank <= s.top_k THEN item_id || '=' || printf('%.6f', round(score, 6)) END, ',' ORDER BY rank) AS served,
+      any_value(u_total_pv) AS total_pv
     FROM scored s JOIN requests r ON r.req_id = s.req_id GROUP BY s.req_id""",
 )
 def write_snapshot(spark, d):
-    s = snapshots_of(spark, d)
+    """Snapshots through their day-partitioned writer and back."""
+    path = work_path(spark, "snapshots")
+    snapshots.write_snapshots(snapshots.build_snapshots(ranked_of(spark, d), views.requests(spark, d)), path)
+    s = spark.read.parquet(path)
+    served = F.transform("scores", lambda x: F.concat(x["item_id"], F.lit("="), F.format_string("%.6f", x["score"])))
     return s.select(
-        "req_id", "uid", "ts", "expires_at", F.array_join("candidates", ",").alias("candidates"),
-        F.array_join(F.transform("scores", lambda x: x["item_id"]), ",").alias("served"),
-        F.col("scores")[1]["score"].alias("second_score"), F.col("user_features.total_pv").alias("total_pv"),
+        "req_id", "uid", "ts", "expires_at", F.col("day").cast("string").alias("day"),
+        F.array_join("candidates", ",").alias("candidates"), F.array_join(served, ",").alias("served"),
+        F.col("user_features.total_pv").alias("total_pv"),
     )
 
 

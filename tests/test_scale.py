@@ -65,6 +65,26 @@ def test_roles_under_both_namings(spark):
     assert told["s"] == told["t"] and "look" in told["s"]
 
 
+def test_trajectories_keep_calls_in_order_and_chunks(spark, tmp_path):
+    call = '{"name": "look", "args": {"q": "猫"}}'
+    rows = [("s", 0, "user", "why?"), ("s", 1, "tool_call", call), ("s", 2, "tool", "x" * 600), ("s", 3, "tool_call", call),
+            ("s", 4, "assistant", "so"), ("e", 0, "user", None)]
+    turns = spark.createDataFrame([(*r, 100 + r[1]) for r in rows], "session_id string, turn long, role string, text string, ts long")
+    rewards = spark.createDataFrame([("s", 0.5)], "session_id string, reward double")
+    skills = spark.createDataFrame([("s", "looking")], "session_id string, skill_extracted string")
+    built = trajectories.build_trajectories(turns, rewards=rewards, skills=skills).withColumn("user_id", F.lit("u"))
+    trajectories.write_trajectories(built, f"{tmp_path}/t")
+    got = {r["session_id"]: r for r in trajectories.read_trajectories(spark, f"{tmp_path}/t").collect()}
+    assert [(c["name"], c["args"], c["result"], c["ts"]) for c in got["s"]["tool_calls"]] == [
+        ("look", '{"q":"猫"}', "x" * 500, 101), ("look", '{"q":"猫"}', None, 103)]
+    assert (got["s"]["timestamp"], got["s"]["reward"], got["s"]["skill_extracted"]) == (100, 0.5, "looking")
+    assert got["s"]["case_document"].count('- look({"q":"猫"})') == 2
+    assert [c["from"] for c in got["s"]["conversations"]] == ["human", "function_call", "observation", "function_call", "gpt"]
+    assert got["e"]["tool_calls"] == [] and trajectories.NO_TOOLS in got["e"]["case_document"]
+    cut = trajectories.build_trajectories(turns.where("session_id = 's'"), chunk=2).orderBy("chunk").collect()
+    assert [len(r["tool_calls"]) for r in cut] == [1, 1, 0] and len({r["summary"] for r in cut}) == 1
+
+
 def test_unknown_users_stay_in_the_funnel(spark):
     schema = "uid string, category_id int, ts long, bhv_type string, bhv_value string, bhv_page string, bhv_src string"
     rows = [(u, 1, 1_704_067_200_000, "show", None, "home", "direct") for u in ("U000001", None, None)]
