@@ -67,7 +67,12 @@ def sequence(dwd: DataFrame, name: str, as_of_ms: Column | int | None = None) ->
 
 
 def seq_query(dwd: DataFrame, dedup: str = "none") -> DataFrame:
-    """Newest 20 queries per user, repeats kept.
+    """Newest 20 queries per user, repeats kept."""
+    return as_sequence(newest_queries(query_events(dwd, dedup)))
+
+
+def query_events(dwd: DataFrame, dedup: str = "none") -> DataFrame:
+    """(key, member, ts, arrival, pos) rows of searches.
 
     A search show with N items pushes its query N times; ``dedup='request'``
     pushes it once per event.
@@ -75,9 +80,12 @@ def seq_query(dwd: DataFrame, dedup: str = "none") -> DataFrame:
     rows = search_query_filter(dwd).where(F.col("uid").isNotNull())
     if dedup == "request":
         rows = rows.where(F.col("pos") == 0)
-    rows = rows.select(F.col("uid").alias("key"), F.col("bhv_ext.query").alias("member"), "ts", "arrival", "pos")
-    newest = [F.col(c).desc() for c in ("ts", "arrival", "pos")]
-    return as_sequence(first_n(rows, ["key"], newest, QUERY_LENGTH))
+    return rows.select(F.col("uid").alias("key"), F.col("bhv_ext.query").alias("member"), "ts", "arrival", "pos")
+
+
+def newest_queries(events: DataFrame, n: int = QUERY_LENGTH) -> DataFrame:
+    """The newest ``n`` queries per key, repeats kept, as ranked rows."""
+    return first_n(events, ["key"], [F.col(c).desc() for c in ("ts", "arrival", "pos")], n)
 
 
 def seq_read(sequences: DataFrame, n: int | None = None, members: str = "members") -> DataFrame:

@@ -20,6 +20,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state on disk instead of the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -88,6 +90,28 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/clickloom/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in ``path``, none when it is absent."""
+    system, place = _folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return "_SUCCESS" in names_in(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ours that nothing reads any more."""
+    system, place = _folder(spark, path)
+    system.delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

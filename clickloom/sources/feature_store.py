@@ -1,17 +1,21 @@
 """Keyed feature tables with overwrite semantics and a time to live.
 
-A batch is appended as its own partition and replaces itself when it is
-replayed; readers take the newest row of each key. Compaction folds the batches
-into one.
+``batches/batch_id=n`` holds what batch n wrote; a replayed batch replaces its own
+folder. Every ``COMPACT_EVERY`` batches the writer folds the newest base and the
+batches behind it into ``base/n``. Readers take the newest finished base and the
+batches after it. A base and its batches go only when the base after it is finished,
+so a reader that has just listed them, and a replay of the last batch, still find them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.session import discard, finished, names_in
+
 # fixed values: time to live per feature family, in milliseconds
 TTL_MS = {
     "user_item_window": 600_000,
@@ -21,6 +25,49 @@ TTL_MS = {
     "cross": 30 * 86_400_000,
 }
 
+COMPACT_EVERY = 100  # batches between two bases
+
+
+def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished bases, oldest first."""
+    return sorted(int(n) for n in names_in(spark, f"{path}/base") if finished(spark, f"{path}/base/{n}"))
+
+
+def _since(spark: SparkSession, path: str, base: int | None, upto: int | None = None) -> DataFrame:
+    """Rows of a base and of the batches after it, with their ``batch_id``."""
+    rows = spark.read.parquet(f"{path}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
+    if upto is not None:
+        rows = rows.where(F.col("batch_id") <= upto)
+    if base is None:
+        return rows
+    return spark.read.parquet(f"{path}/base/{base}").unionByName(rows.where(F.col("batch_id") > base))
+
+
+def current_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Everything a reader has to merge: the newest base and the batches after it."""
+    bases = _bases(spark, path)
+    return _since(spark, path, bases[-1] if bases else None)
+
+
+def fold_batches(spark: SparkSession, path: str, batch_id: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Make base ``batch_id`` of the base before it and the batches up to ``batch_id``.
+
+    ``merge`` keeps what readers still need, ``batch_id`` included.
+    """
+    bases = [n for n in _bases(spark, path) if n < batch_id]
+    merge(_since(spark, path, bases[-1] if bases else None, batch_id)).write.mode("overwrite").parquet(f"{path}/base/{batch_id}")
+    if not bases:
+        return
+    for n in bases[:-1]:
+        discard(spark, f"{path}/base/{n}")
+    for name in names_in(spark, f"{path}/batches"):
+        if name.startswith("batch_id=") and int(name.split("=")[1]) <= bases[-1]:
+            discard(spark, f"{path}/batches/{name}")
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the largest ``order`` per key, as a grouped aggregate."""
@@ -29,17 +76,23 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def upsert_batch(
-    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str], write_ms: Column | int, ttl_ms: int
+    df: DataFrame,
+    path: str,
+    batch_id: int,
+    keys: Sequence[str],
+    order: Sequence[str],
+    write_ms: Column | int,
+    ttl_ms: int,
+    compact_every: int = COMPACT_EVERY,
 ) -> None:
     """Append the newest row per key of a batch; the expiry is renewed for the whole key.
 
     ``write_ms`` is the write time, or a column that holds it.
     """
     written = F.lit(write_ms) if isinstance(write_ms, int) else write_ms
-    rows = latest_per_key(df, keys, order).withColumns(
-        {"expires_at": (written + ttl_ms).cast("long"), "batch_id": F.lit(batch_id).cast("long")}
-    )
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    append_batch(latest_per_key(df, keys, order).withColumn("expires_at", (written + ttl_ms).cast("long")), path, batch_id)
+    if (batch_id + 1) % compact_every == 0:
+        fold_batches(df.sparkSession, path, batch_id, lambda rows: latest_per_key(rows, keys, ["batch_id"]))
 
 
 def not_expired(df: DataFrame, as_of_ms: int) -> DataFrame:
@@ -48,11 +101,10 @@ def not_expired(df: DataFrame, as_of_ms: int) -> DataFrame:
 
 def read_features(spark: SparkSession, path: str, keys: Sequence[str], as_of_ms: int | None = None) -> DataFrame:
     """The current row of each key."""
-    out = latest_per_key(spark.read.parquet(path), keys, ["batch_id"]).drop("batch_id")
+    out = latest_per_key(current_rows(spark, path), keys, ["batch_id"]).drop("batch_id")
     return out if as_of_ms is None else not_expired(out, as_of_ms)
 
 
 def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], as_of_ms: int | None = None) -> None:
-    """Write the current rows as batch 0 of a new table."""
-    rows = read_features(spark, path, keys, as_of_ms).withColumn("batch_id", F.lit(-1).cast("long"))
-    rows.write.mode("overwrite").partitionBy("batch_id").parquet(target)
+    """Write the current rows as the only batch, number -1, of a new table."""
+    append_batch(read_features(spark, path, keys, as_of_ms), target, -1)

@@ -20,7 +20,10 @@ def with_event_time(df: DataFrame, delay: str | None = "10 seconds") -> DataFram
 
 
 def enrich_stream(behavior: DataFrame, dim_user: DataFrame | None, dim_item: DataFrame | None) -> DataFrame:
-    """Stream-static joins; the static side is read again by every micro-batch."""
+    """Stream-static joins; the file list of a dimension is fixed when its frame is built.
+
+    ``jobs.start_enriched`` reads the dimensions anew for every micro-batch.
+    """
     return enrich(behavior, dim_user, dim_item)
 
 
@@ -37,16 +40,28 @@ def tumbling_minute(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
-def split_late(
-    df: DataFrame, delay_ms: int = DISORDER_MS, window_ms: int = MINUTE_MS, slice_rows: int = 1 << 20
-) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows of a bounded input.
+def flag_late(
+    df: DataFrame,
+    delay_ms: int = DISORDER_MS,
+    window_ms: int = MINUTE_MS,
+    slice_rows: int = 1 << 20,
+    seen_before: int | None = None,
+    out: str = "late",
+) -> DataFrame:
+    """Add ``out``: whether the row's window ended at or before the newest ts that arrived earlier, minus the delay.
 
-    A row is late when its window ended at or before the newest ts that arrived
-    earlier, minus the delay.
+    ``seen_before`` is the newest ts of rows that arrived before all of ``df``.
     """
     seen = prefix_max(df, "arrival", "ts", "_seen", slice_rows)
+    newest = F.greatest("_seen", F.lit(seen_before).cast("long"))
     window_end = minute_floor("ts") if window_ms == MINUTE_MS else F.col("ts") - F.pmod("ts", F.lit(window_ms))
-    late = F.coalesce(window_end + window_ms <= F.col("_seen") - delay_ms, F.lit(False))
-    flagged = seen.withColumn("_late", late)
-    return flagged.where(~F.col("_late")).drop("_seen", "_late"), flagged.where("_late").drop("_seen", "_late")
+    late = F.coalesce(window_end + window_ms <= newest - delay_ms, F.lit(False))
+    return seen.withColumn(out, late).drop("_seen")
+
+
+def split_late(
+    df: DataFrame, delay_ms: int = DISORDER_MS, window_ms: int = MINUTE_MS, slice_rows: int = 1 << 20
+) -> tuple[DataFrame, DataFrame]:
+    """(on time, late) rows of a bounded input; ``jobs.start_late_split`` does the same on a running stream."""
+    flagged = flag_late(df, delay_ms, window_ms, slice_rows, out="_late")
+    return flagged.where(~F.col("_late")).drop("_late"), flagged.where("_late").drop("_late")

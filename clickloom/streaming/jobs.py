@@ -12,9 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.operators.sequences import SEQUENCES, as_sequence, newest_members, sequence_events
+from clickloom.functions.scalars import MINUTE_MS
+from clickloom.operators.enrich import enrich
+from clickloom.operators.sequences import (
+    SEQUENCES,
+    as_sequence,
+    newest_members,
+    newest_queries,
+    query_events,
+    sequence_events,
+)
+from clickloom.session import discard, names_in, work_path
 from clickloom.sources import feature_store
-from clickloom.session import work_path
+from clickloom.streaming.events import DISORDER_MS, flag_late
 
 TRIGGER_SECONDS = 30
 FLUSH = "500 milliseconds"
@@ -44,7 +54,14 @@ def start_batches(
 
 
 def start_features(
-    df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], ttl_ms: int, **trigger
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    ttl_ms: int,
+    compact_every: int = feature_store.COMPACT_EVERY,
+    **trigger,
 ) -> StreamingQuery:
     """Upsert the rows a stateful stream emits into a feature table.
 
@@ -52,30 +69,104 @@ def start_features(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        feature_store.upsert_batch(batch, path, batch_id, keys, order, F.col(order[0]), ttl_ms)
+        feature_store.upsert_batch(batch, path, batch_id, keys, order, F.col(order[0]), ttl_ms, compact_every)
 
     return start_batches(df, write, checkpoint, **trigger)
 
 
-def start_sequences(dwd: DataFrame, name: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Bounded sequence ``name`` on a stream.
+QUERY_SEQUENCE = "query"
+
+
+def _newest(rows: DataFrame, name: str) -> DataFrame:
+    """What a bounded sequence keeps of its rows, as ranked rows."""
+    return newest_queries(rows) if name == QUERY_SEQUENCE else newest_members(rows, SEQUENCES[name][2])
+
+
+def start_sequences(
+    dwd: DataFrame, name: str, path: str, checkpoint: str, compact_every: int = feature_store.COMPACT_EVERY, **trigger
+) -> StreamingQuery:
+    """Bounded sequence ``name`` on a stream: one of ``SEQUENCES``, or ``query`` with its repeats.
 
     A batch appends its own newest members per key. Newest-N is associative, so
-    reading merges the batches and cuts again.
+    reading merges the batches and cuts again, and so does compaction.
     """
-    n = SEQUENCES[name][2]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = newest_members(sequence_events(batch, name), n).drop("rank").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        rows = query_events(batch) if name == QUERY_SEQUENCE else sequence_events(batch, name)
+        feature_store.append_batch(_newest(rows, name).drop("rank"), path, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            number = F.lit(batch_id).cast("long").alias("batch_id")
+            feature_store.fold_batches(
+                batch.sparkSession, path, batch_id, lambda r: _newest(r.drop("batch_id"), name).drop("rank").select("*", number)
+            )
 
     return start_batches(dwd, write, checkpoint, mode="append", **(trigger or {"processingTime": FLUSH}))
 
 
 def read_sequences(spark: SparkSession, name: str, path: str) -> DataFrame:
     """(key, members newest first) over all batches written so far."""
-    rows = spark.read.parquet(path).select("key", "member", "ts")
-    return as_sequence(newest_members(rows, SEQUENCES[name][2]))
+    return as_sequence(_newest(feature_store.current_rows(spark, path).drop("batch_id"), name))
+
+
+DimReader = Callable[[SparkSession], DataFrame]
+
+
+def start_enriched(
+    behavior: DataFrame,
+    read_user: DimReader,
+    read_item: DimReader,
+    path: str,
+    checkpoint: str,
+    shape: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    **trigger,
+) -> StreamingQuery:
+    """Join a stream with dimensions that are read anew for every micro-batch, so they may be rewritten meanwhile."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        feature_store.append_batch(shape(enrich(batch, read_user(spark), read_item(spark))), path, batch_id)
+
+    return start_batches(behavior, write, checkpoint, mode="append", **trigger)
+
+
+def start_late_split(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    delay_ms: int = DISORDER_MS,
+    window_ms: int = MINUTE_MS,
+    slice_rows: int = 1 << 20,
+    **trigger,
+) -> StreamingQuery:
+    """Keep both sides of a running stream: rows on time, and rows whose window had closed when they arrived.
+
+    The newest ts of all batches up to n is the mark of batch n, one row in
+    ``marks/n``; batch n + 1 starts from it. A replayed batch starts from the same mark.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{path}/marks"
+        before = sorted(n for n in map(int, names_in(spark, marks)) if n < batch_id)
+        seen = spark.read.parquet(f"{marks}/{before[-1]}").first()["seen"] if before else None
+        batch.persist()
+        flagged = flag_late(batch, delay_ms, window_ms, slice_rows, seen)
+        flagged.withColumn("late", F.col("late").cast("int")).write.mode("overwrite").partitionBy("late").parquet(
+            f"{path}/rows/batch_id={batch_id}"
+        )
+        mark = batch.agg(F.greatest(F.max("ts"), F.lit(seen).cast("long")).alias("seen"))
+        mark.write.mode("overwrite").parquet(f"{marks}/{batch_id}")
+        batch.unpersist()
+        for n in before[:-1]:
+            discard(spark, f"{marks}/{n}")
+
+    return start_batches(df, write, checkpoint, mode="append", **trigger)
+
+
+def read_split(spark: SparkSession, path: str, late: bool) -> DataFrame:
+    """The rows on time, or the late ones, of all batches written so far."""
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.where(F.col("late") == int(late)).drop("late", "batch_id")
 
 
 def run_to_table(df: DataFrame, name: str) -> DataFrame:
@@ -98,3 +189,20 @@ def run_to_sequences(dwd: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, f"seq-{name}")
     start_sequences(dwd, name, f"{path}/data", f"{path}/checkpoint", availableNow=True).awaitTermination()
     return read_sequences(spark, name, f"{path}/data")
+
+
+def run_to_enriched(
+    behavior: DataFrame, read_user: DimReader, read_item: DimReader, shape: Callable[[DataFrame], DataFrame], name: str, runs: int = 1
+) -> DataFrame:
+    """Drain a stream through ``start_enriched``; further runs go on from the checkpoint."""
+    spark = behavior.sparkSession
+    path = work_path(spark, name)
+    for _ in range(runs):
+        start_enriched(behavior, read_user, read_item, f"{path}/data", f"{path}/checkpoint", shape, availableNow=True).awaitTermination()
+    return feature_store.current_rows(spark, f"{path}/data").drop("batch_id")
+
+
+def run_to_split(df: DataFrame, name: str, late: bool) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    start_late_split(df, f"{path}/data", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return read_split(df.sparkSession, f"{path}/data", late)

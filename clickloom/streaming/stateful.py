@@ -1,10 +1,10 @@
 """Keyed state on streams: user and item features, sliding counts, decayed interest.
 
 Each processor keeps the state of one key and emits the key's new feature row
-once per micro-batch (update mode). Item and sliding counts fold the Arrow
-batches of a key one by one, in any order. User features and decayed interest
-depend on the order (ts, arrival, pos), so they sort a key's rows of one
-micro-batch; the source's rate limit bounds those.
+once per micro-batch (update mode). The Arrow batches of a key are folded one by
+one, in any order. What depends on the order (ts, arrival, pos), consecutive
+requests and decay, keeps a few narrow columns of the key's rows of one
+micro-batch and sorts them at its end; the source's byte limit bounds those.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -29,22 +30,11 @@ from clickloom.operators.sliding import SPANS
 # so the processors of this module travel with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ORDER = ["ts", "arrival", "pos"]
 
 
-def use_rocksdb(spark) -> None:
-    """Keep streaming state on disk instead of the heap."""
-    spark.conf.set(STATE_STORE, ROCKSDB)
-
-
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
-
-
 class _Totals(StatefulProcessor):
-    """A value state of counters and last values, folded row by row."""
+    """A value state of counters and last values."""
 
     schema = ""
     names: tuple[str, ...] = ()
@@ -81,21 +71,38 @@ class UserFeatures(_Totals):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = self.read({n: None if n.startswith(("user_", "last_")) else 0 for n in self.names})
-        for r in _ordered(rows).itertuples(index=False):
-            if r.kind == "pv":
-                if r.req_id is not None and r.req_id != s["last_req"]:
-                    s["total_pv"] += 1
-                    s["last_req"] = r.req_id
-            elif r.kind is not None:
-                s[f"total_{r.kind}"] += 1
-            if not self.days.containsKey((int(r.day),)):
-                self.days.updateValue((int(r.day),), (True,))
-                s["active_days"] += 1
+        shows, days = [], set()
+        known, last_seen, last_came = None, None, None
+        for pdf in rows:
+            for kind, n in pdf["kind"].value_counts().items():
+                if kind != "pv":
+                    s[f"total_{kind}"] += int(n)
+            days.update(int(d) for d in pdf["day"].unique())
+            s["update_ts"] = max(s["update_ts"], int(pdf["ts"].max()))
+            came = pdf.loc[pdf["arrival"].idxmax()]
+            if last_came is None or came["arrival"] >= last_came["arrival"]:
+                last_came = came
+            shown = pdf.loc[(pdf["kind"] == "pv") & pdf["req_id"].notna(), ["ts", "arrival", "req_id"]]
+            shows.append(shown.drop_duplicates())  # all items of one show carry its request
             if not s["user_age"]:
-                s.update(user_age=int(r.user_age), user_city=r.user_city, user_level=int(r.user_level))
-            if s["last_arrival"] is None or r.arrival >= s["last_arrival"]:
-                s["last_arrival"], s["last_active_ts"] = int(r.arrival), int(r.ts)
-            s["update_ts"] = max(s["update_ts"], int(r.ts))
+                pdf = pdf.sort_values(ORDER, kind="stable")
+                aged = pdf[pdf["user_age"].fillna(0) != 0]
+                if len(aged):
+                    known = _by_order(min, known, aged.iloc[0])
+                last_seen = _by_order(max, last_seen, pdf.iloc[-1])
+        for day in days:
+            if not self.days.containsKey((day,)):
+                self.days.updateValue((day,), (True,))
+                s["active_days"] += 1
+        requests = pd.concat(shows).sort_values(["ts", "arrival"], kind="stable")["req_id"].to_numpy(dtype=object)
+        if len(requests):
+            s["total_pv"] += int((requests != np.r_[np.array([s["last_req"]], object), requests[:-1]]).sum())
+            s["last_req"] = requests[-1]
+        if not s["user_age"]:
+            r = last_seen if known is None else known
+            s.update(user_age=int(r["user_age"]), user_city=r["user_city"], user_level=int(r["user_level"]))
+        if s["last_arrival"] is None or last_came["arrival"] >= s["last_arrival"]:
+            s["last_arrival"], s["last_active_ts"] = int(last_came["arrival"]), int(last_came["ts"])
         self.write(s)
         out = {n: [s[n]] for n in self.names if n not in ("last_arrival", "last_req")}
         out["user_city"] = [s["user_city"] or "unknown"]
@@ -132,11 +139,13 @@ class ItemFeatures(_Totals):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = self.read({n: None if n.startswith(("item_", "cat")) else 0 for n in self.names})
-        first_known, last_seen = None, None
+        first_known, last_seen, met = None, None, set()
         for pdf in rows:
             for kind, n in pdf["kind"].value_counts().items():
                 s[f"total_{kind}"] += int(n)
-            for uid in pdf["uid"].dropna().unique():
+            fresh = set(pdf["uid"].dropna().unique()) - met
+            met |= fresh
+            for uid in fresh:
                 if not self.users.containsKey((uid,)):
                     self.users.updateValue((uid,), (True,))
                     s["uv"] += 1
@@ -229,10 +238,14 @@ class DecayedCounts(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         value = {k[0]: v[0] for k, v in self.counts.iterator()}
         last = self.clock.get()[0] if self.clock.exists() else None
-        for r in _ordered(rows).itertuples(index=False):
-            gap = 0 if last is None else max(0, int(r.ts) - last)
-            value[r.kind] = value.get(r.kind, 0.0) * math.exp(-self.rate * gap) + 1.0
-            last = int(r.ts)
+        held = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
+        ts, kind = held["ts"].to_numpy(np.int64), held["kind"].to_numpy()
+        gaps = np.maximum(np.diff(ts, prepend=ts[0] if last is None else last), 0) * self.rate
+        for k in set(kind):
+            # a counter decays by the gaps before its own events only
+            decay = np.cumsum(gaps[kind == k])
+            value[k] = value.get(k, 0.0) * math.exp(-decay[-1]) + float(np.exp(decay - decay[-1]).sum())
+        last = int(ts[-1])
         self.clock.update((last,))
         for k, v in value.items():
             self.counts.updateValue((k,), (v,))

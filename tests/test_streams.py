@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom import schemas
+from clickloom import schemas, session
 from clickloom.operators import cumulative, decay, enrich, sequences, sliding, windows
 from clickloom.sources import feature_store, tables
 from clickloom.streaming import events, jobs, stateful
@@ -29,33 +29,38 @@ def streamed(spark, path):
 
 def test_user_features_over_batches(spark, files):
     path, rows = files
-    stateful.use_rocksdb(spark)
     out = jobs.run_to_features(stateful.user_feature_stream(streamed(spark, path)), "t", ["user_id"], ["update_ts"], 10**9)
     same(out, cumulative.user_features(rows).select(*out.columns))
 
 
 def test_item_features_over_batches(spark, files):
     path, rows = files
-    stateful.use_rocksdb(spark)
     out = jobs.run_to_features(stateful.item_feature_stream(streamed(spark, path)), "i", ["item_id"], ["update_ts"], 10**9)
     same(out, cumulative.item_features(rows).select(*out.columns))
 
 
 def test_sliding_and_decay_over_batches(spark, files):
     path, rows = files
-    stateful.use_rocksdb(spark)
     out = jobs.run_to_features(stateful.sliding_stat_stream(streamed(spark, path)), "s", ["key"], ["last_ts"], 10**9)
     same(out, sliding.latest_stat(rows, ["uid"]).withColumnRenamed("uid", "key").select(*out.columns))
     out = jobs.run_to_features(stateful.decay_stream(streamed(spark, path), "brand"), "d", ["uid", "entity"], ["last_ts"], 10**9)
     same(out, decay.decayed_cross_brand(rows).withColumnRenamed("brand", "entity").select(*out.columns))
 
 
-def test_sequences_over_batches(spark, files):
+@pytest.mark.parametrize("name", [*sequences.SEQUENCES, "query"])
+def test_sequences_over_batches_and_compaction(spark, files, name):
     path, rows = files
-    got = jobs.run_to_sequences(streamed(spark, path), "click")
-    want = sequences.sequence(rows, "click")
+    want = sequences.seq_query(rows) if name == "query" else sequences.sequence(rows, name)
+    target = tempfile.mkdtemp(prefix="clickloom-tests-")
+    jobs.start_sequences(
+        streamed(spark, path), name, f"{target}/data", f"{target}/checkpoint", compact_every=1, availableNow=True
+    ).awaitTermination()
+    got = jobs.read_sequences(spark, name, f"{target}/data")
     flat = [c.select("key", F.to_json("members").alias("m")) for c in (got, want)]
     same(*flat)
+    # the newest base, the one before it, and the batches after that one
+    assert sorted(session.names_in(spark, f"{target}/data/base")) == ["1", "2"]
+    assert [n for n in session.names_in(spark, f"{target}/data/batches") if n.startswith("batch_id")] == ["batch_id=2"]
 
 
 def test_tumbling_windows_are_final(spark, files):
@@ -75,6 +80,86 @@ def test_split_late(spark):
         assert on_time.count() == 4
 
 
+def test_late_split_on_a_running_stream(spark):
+    """Batch borders do not matter: the split equals the one over all rows at once."""
+    path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
+    ts = [T0, T0 + 120_000, T0 + 59_000, T0 + 69_000, T0 + 70_000, T0 + 1_000, T0 + 300_000, T0 + 170_000, T0 + 290_000]
+    rows = spark.createDataFrame(list(enumerate(ts)), "arrival long, ts long")
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        jobs.start_late_split(stream, f"{target}/d", f"{target}/c", availableNow=True).awaitTermination()
+
+    for part in range(3):  # one start per file, each from the checkpoint
+        rows.where(F.floor(F.col("arrival") / 3) == part).coalesce(1).write.mode("append").parquet(path)
+        run()
+    for got, want in zip((jobs.read_split(spark, f"{target}/d", side) for side in (False, True)), events.split_late(rows)):
+        same(got, want)
+
+
+def test_a_failed_batch_is_repeated_after_a_restart(spark, files):
+    path, rows = files
+    target = tempfile.mkdtemp(prefix="clickloom-tests-")
+    broken = []
+
+    def write(batch, batch_id):
+        batch = batch.select("uid", "ts", "arrival")
+        feature_store.upsert_batch(batch, f"{target}/d", batch_id, ["uid"], ["arrival"], F.col("ts"), 10**9, compact_every=2)
+        if batch_id == 1 and not broken:
+            broken.append(batch_id)
+            raise RuntimeError("lost after the write, before the commit")
+
+    def run():
+        jobs.start_batches(streamed(spark, path), write, f"{target}/c", availableNow=True).awaitTermination()
+
+    with pytest.raises(Exception, match="lost after the write"):
+        run()
+    run()
+    got = feature_store.read_features(spark, f"{target}/d", ["uid"]).select("uid", "arrival", "ts")
+    same(got, feature_store.latest_per_key(rows.select("uid", "ts", "arrival"), ["uid"], ["arrival"]))
+
+
+def test_a_rewritten_dimension_is_seen_by_the_next_batch(spark):
+    path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
+
+    def arrive(n):
+        behavior(spark, [event("U1", T0 + n, "click", item="I0000001")]).coalesce(1).write.mode("append").parquet(path)
+
+    def dims(brand):
+        tables.write_dims(spark.createDataFrame([("I0000001", 9, brand, 1.5)], schemas.DIM_ITEM), f"{target}/dim")
+
+    arrive(0)
+    dims("old")
+    stream = tables.stream_behavior(spark, path, "parquet", maxFilesPerTrigger=1)
+    job = jobs.start_enriched(
+        stream, lambda s: s.createDataFrame([], schemas.DIM_USER),
+        lambda s: tables.read_dims(s, f"{target}/dim", schemas.DIM_ITEM), f"{target}/d", f"{target}/c",
+        lambda r: r.select("ts", "item_brand"), processingTime="0 seconds",
+    )
+    try:
+        job.processAllAvailable()
+        dims("new")
+        arrive(1)
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    got = feature_store.current_rows(spark, f"{target}/d").collect()
+    assert {r.ts - T0: r.item_brand for r in got} == {0: "old", 1: "new"}
+
+
+def test_one_user_in_every_row(spark):
+    path = tempfile.mkdtemp(prefix="clickloom-tests-")
+    rows = enrich.enrich(behavior(spark, random_events(600, 5))).withColumn("uid", F.lit("U1"))
+    rows = rows.select(*[f.name for f in schemas.BEHAVIOR_DIM.fields]).cache()
+    for part in range(2):
+        rows.where(F.floor(F.col("arrival") / 300) == part).coalesce(1).write.mode("append").parquet(path)
+    out = jobs.run_to_features(stateful.user_feature_stream(streamed(spark, path)), "t", ["user_id"], ["update_ts"], 10**9)
+    same(out, cumulative.user_features(rows).select(*out.columns))
+    out = jobs.run_to_features(stateful.decay_stream(streamed(spark, path)), "d", ["uid", "entity"], ["last_ts"], 10**9)
+    want = decay.decayed_cross_category(rows).withColumn("entity", F.col("category_id").cast("string"))
+    same(out, want.select(*out.columns))
+
+
 def test_feature_table(spark):
     path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
     for batch, rows in enumerate([[("a", 1, 10), ("b", 1, 10)], [("a", 2, 20), ("a", 3, 30)]]):
