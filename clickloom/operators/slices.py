@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.scalars import minute_index
 from clickloom.session import materialise
 
 # At most this many keys are treated as hot, so any other key holds less than
-# 1/HOT_KEYS of all rows.
-HOT_KEYS = 5_000
+# 1/HOT_KEYS of all rows, and the keys to broadcast stay within a few megabytes.
+HOT_KEYS = 200_000
 # A key with fewer rows is never hot: one task can sort it comfortably.
 HOT_ROWS = 2_000_000
+# The rows of a hot key are cut into slices of this many milliseconds.
+SLICE_MS = 1_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -40,8 +41,9 @@ def with_slice(
     at_most: int = HOT_KEYS,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
+    slice_ms: int = SLICE_MS,
 ) -> DataFrame:
-    """Add ``slice``: the minute of the event for hot keys, 0 for all others.
+    """Add ``slice``: the number of the event's ``slice_ms`` for hot keys, 0 for all others.
 
     ``hot`` may bring the hot keys from a cheaper table than ``df``; any set of
     keys gives the same results.
@@ -49,7 +51,7 @@ def with_slice(
     hot = F.broadcast(hot_keys(df, keys, at_most, min_rows) if hot is None else hot)
     return (
         df.join(hot, list(keys), "left")
-        .withColumn("slice", F.when(F.col("_hot"), minute_index(ts)).otherwise(F.lit(0).cast("long")))
+        .withColumn("slice", F.when(F.col("_hot"), F.floor(F.col(ts) / slice_ms)).otherwise(F.lit(0).cast("long")))
         .drop("_hot")
     )
 

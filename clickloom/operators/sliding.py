@@ -2,7 +2,8 @@
 
 A bucket counts while its start is not older than the event minus the span, so
 an event exactly on a minute sees one bucket more. Events are first summed to
-one row per (key, minute); the wide windows run over those rows only.
+one row per (key, minute, slot of the minute); the wide windows run over those
+rows only, and the running count inside a slot is the only one over events.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from clickloom.functions.scalars import MINUTE_MS, event_kind, minute_index
 ORDER = ["ts", "arrival", "pos"]
 SPANS = {"5min": 5, "1h": 60}
 STAT_TTL_MS = 2 * 3_600_000
+SLOT_MS = 1_000  # a minute of a hot key is counted in slots of this length
 
 
 def _qualifying(dwd: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,10 +34,13 @@ def _qualifying(dwd: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def sliding_stat(dwd: DataFrame, keys: Sequence[str], measures: Sequence[str] = ("pv", "click")) -> DataFrame:
+def sliding_stat(
+    dwd: DataFrame, keys: Sequence[str], measures: Sequence[str] = ("pv", "click"), slot_ms: int = SLOT_MS
+) -> DataFrame:
     """One row per qualifying event with ``{measure}_{span}`` counts."""
-    rows = _qualifying(dwd, keys)
-    buckets = rows.groupBy(*keys, "minute").agg(*[F.sum(m).alias(m) for m in measures])
+    rows = _qualifying(dwd, keys).withColumn("slot", F.floor(F.pmod("ts", F.lit(MINUTE_MS)) / slot_ms))
+    buckets = rows.groupBy(*keys, "minute", "slot").agg(*[F.sum(m).alias(m) for m in measures])
+    sooner = Window.partitionBy(*keys, "minute").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy("minute")
     back = []
     for m in measures:
@@ -43,17 +48,20 @@ def sliding_stat(dwd: DataFrame, keys: Sequence[str], measures: Sequence[str] =
             for edge in (0, 1):
                 frame = over.rangeBetween(-(n - 1 + edge), -1)
                 back.append(F.coalesce(F.sum(m).over(frame), F.lit(0)).alias(f"_{m}_{name}_{edge}"))
-    history = buckets.select(*keys, "minute", *back)
-    here = Window.partitionBy(*keys, "minute").orderBy(*ORDER).rowsBetween(
+    back += [F.coalesce(F.sum(m).over(sooner), F.lit(0)).alias(f"_{m}_sooner") for m in measures]
+    history = buckets.select(*keys, "minute", "slot", *back)
+    here = Window.partitionBy(*keys, "minute", "slot").orderBy(*ORDER).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     rows = rows.select("*", *[F.sum(m).over(here).alias(f"_{m}_here") for m in measures])
     on_edge = F.col("ts") % MINUTE_MS == 0
-    joined = rows.join(history, [*keys, "minute"])
+    joined = rows.join(history, [*keys, "minute", "slot"])
     return joined.select(
         *keys, *ORDER,
         *[
-            (F.col(f"_{m}_here") + F.when(on_edge, F.col(f"_{m}_{s}_1")).otherwise(F.col(f"_{m}_{s}_0"))).alias(f"{m}_{s}")
+            (
+                F.col(f"_{m}_here") + F.col(f"_{m}_sooner") + F.when(on_edge, F.col(f"_{m}_{s}_1")).otherwise(F.col(f"_{m}_{s}_0"))
+            ).alias(f"{m}_{s}")
             for m in measures
             for s in SPANS
         ],

@@ -195,12 +195,6 @@ def bounded_topk_cosine(spark, d):
     return _rank_long(out).withColumn("score", F.round("score", 6))
 
 
-@query("ivf_topk")
-def ivf_topk(spark, d):
-    v = views.content_vectors(spark, d)
-    return vectors.ivf_topk(v.withColumnRenamed("item_id", "query_id"), v, 10)
-
-
 VIEWS["label_centres"] = """
 SELECT label, list(m ORDER BY p) AS c FROM (
   SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS p FROM embeddings) GROUP BY label, p)
@@ -210,28 +204,49 @@ SELECT item_id, v, label FROM (SELECT vec_id AS item_id, embedding::DOUBLE[] AS
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_similarity(v, c) DESC, label) = 1"""
 
 
-@query(
-    "similar_in_cluster",
-    """SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS score,
-      row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.item_id) AS rank
-    FROM label_members a JOIN label_members b ON a.label = b.label AND a.item_id <> b.item_id QUALIFY rank <= 10""",
-)
-def similar_in_cluster(spark, d):
+def _label_centres(spark, d):
+    """One centre per label of the given vectors."""
     import numpy as np
 
-    emb = views.table(spark, d, "embeddings")
-    labelled = emb.select("label", F.col("embedding").alias("vector"))
-    # one centre per label
+    labelled = views.table(spark, d, "embeddings").select("label", F.col("embedding").alias("vector"))
     rows = vectors.label_centroids(labelled, "label", DIM).orderBy("label").collect()
-    centres = np.array([r["vector"] for r in rows])
-    out = vectors.similar_in_cluster(views.content_vectors(spark, d), centres)
+    return np.array([r["vector"] for r in rows])
+
+
+NEAR_SQL = """SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS score,
+      row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.item_id) AS rank
+    FROM label_members a JOIN label_members b ON a.label = b.label AND a.item_id <> b.item_id QUALIFY rank <= 10"""
+
+
+@query("similar_in_cluster", NEAR_SQL)
+def similar_in_cluster(spark, d):
+    out = vectors.similar_in_cluster(views.content_vectors(spark, d), _label_centres(spark, d))
+    return _rank_long(out).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "ivf_topk",
+    """WITH probed AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, label FROM (SELECT vec_id, embedding FROM embeddings) e, label_centres
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], c) DESC, label) <= 2)
+    SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS score,
+      row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.item_id) AS rank
+    FROM probed a JOIN label_members b ON a.label = b.label QUALIFY rank <= 10""",
+)
+def ivf_topk(spark, d):
+    v = views.content_vectors(spark, d)
+    out = vectors.ivf_topk(v.withColumnRenamed("item_id", "query_id"), v, 10, probes=2, centres=_label_centres(spark, d))
     return _rank_long(out).withColumn("score", F.round("score", 6))
 
 
-@query("cluster_recall")
+@query(
+    "cluster_recall",
+    f"""WITH near AS ({NEAR_SQL}), seeds AS (SELECT user_id, item_id FROM interactions
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY create_time DESC, order_key DESC, line DESC, item_id DESC) <= 20)
+    SELECT DISTINCT user_id, near.item_id FROM seeds JOIN near ON seeds.item_id = near.query_id""",
+)
 def cluster_recall(spark, d):
     last = sequences.last_n_interactions(views.interactions(spark, d))
-    return vectors.cluster_recall(last, views.content_vectors(spark, d))
+    return vectors.cluster_recall(last, views.content_vectors(spark, d), centres=_label_centres(spark, d))
 
 
 @query(

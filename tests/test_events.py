@@ -162,6 +162,19 @@ def test_sliding_matches_the_fold(dwd):
     assert latest == last
 
 
+def test_a_hot_minute_is_counted_in_slots(spark):
+    """All events of one user in one minute: small slots and slices give what one sort gives."""
+    rng = random.Random(3)
+    events = [event("U1", T0 + rng.randrange(60_000), rng.choice(["show", "click"]), items=["I0000001"], item="I0000001", req=rng.choice("ab"))
+              for _ in range(300)]
+    rows = enrich.enrich(behavior(spark, events)).cache()
+    whole = sliding.sliding_stat(rows, ["uid"], slot_ms=60_000)
+    assert whole.agg(F.max("pv_5min") + F.max("click_5min")).first()[0] == 300
+    for slot in (1, 7, 1_000):
+        same(sliding.sliding_stat(rows, ["uid"], slot_ms=slot), whole)
+    same(cumulative.user_feature_changes(rows), cumulative.user_feature_changes(rows, **FORCE))
+
+
 def test_sequences_are_bounded_and_newest_first(spark):
     events = [event("U1", T0 + i, "click", item=f"I{i % 60:07d}") for i in range(120)]
     seq = sequences.sequence(enrich.enrich(behavior(spark, events)), "click").collect()[0]
