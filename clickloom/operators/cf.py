@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.slices import first_n
+from clickloom.session import materialise
 
 NEIGHBOURS = 10
 RECOMMENDED = 100
@@ -37,10 +38,17 @@ def last_ratings(interactions: DataFrame) -> DataFrame:
     )
 
 
-def squared_norms(interactions: DataFrame) -> DataFrame:
-    """Sum of squared ratings per item over all rows, repeated pairs included."""
+def stored_ratings(interactions: DataFrame) -> DataFrame:
+    """``last_ratings`` with ``squares``, the sum over all ratings of the pair; read once and stored."""
+    order = F.struct("create_time", "order_key", "line", "rating")
     r = F.col("rating").cast("double")
-    return interactions.groupBy(F.col("item_id").alias("member")).agg(F.sum(r * r).alias("norm"))
+    pairs = interactions.groupBy("user_id", "item_id").agg(F.max(order).alias("_o"), F.sum(r * r).alias("squares"))
+    return materialise(pairs.select("user_id", "item_id", F.col("_o.rating").cast("double").alias("rating"), "squares"))
+
+
+def squared_norms(ratings: DataFrame) -> DataFrame:
+    """Sum of squared ratings per item over all rows of ``stored_ratings``, repeated pairs included."""
+    return ratings.groupBy(F.col("item_id").alias("member")).agg(F.sum("squares").alias("norm"))
 
 
 def large_groups(cells: DataFrame, large: int = LARGE_GROUP, at_most: int = MAX_PROFILE) -> list:
@@ -165,13 +173,20 @@ def user_cells(ratings: DataFrame) -> DataFrame:
 
 def item_cf_similarity(interactions: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
     """(item_id, similar_item, sim, rank) by rating cosine."""
-    out = similarity(item_cells(last_ratings(interactions)), squared_norms(interactions), k, **options)
+    return _item_similarity(stored_ratings(interactions), k, **options)
+
+
+def _item_similarity(ratings: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
+    out = similarity(item_cells(ratings), squared_norms(ratings), k, **options)
     return out.select(F.col("member").alias("item_id"), F.col("other").alias("similar_item"), "sim", "rank")
 
 
 def user_cf_similarity(interactions: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
     """(user_id, similar_user, sim, rank) by common items; ratings play no part."""
-    seen = last_ratings(interactions)
+    return _user_similarity(stored_ratings(interactions), k, **options)
+
+
+def _user_similarity(seen: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
     norms = seen.groupBy(F.col("user_id").alias("member")).agg(F.count(F.lit(1)).cast("double").alias("norm"))
     out = similarity(user_cells(seen), norms, k, **options)
     return out.select(F.col("member").alias("user_id"), F.col("other").alias("similar_user"), "sim", "rank")
@@ -194,8 +209,8 @@ def _top(scores: DataFrame, n: int) -> DataFrame:
 
 def item_cf_recommend(interactions: DataFrame, sims: DataFrame | None = None, n: int = RECOMMENDED) -> DataFrame:
     """Sum of rating * sim over the user's items, without the items themselves, top ``n``."""
-    ratings = last_ratings(interactions)
-    sims = item_cf_similarity(interactions) if sims is None else sims
+    ratings = stored_ratings(interactions)
+    sims = _item_similarity(ratings) if sims is None else sims
     scores = (
         ratings.join(sims.select("item_id", "similar_item", "sim"), "item_id")
         .groupBy("user_id", F.col("similar_item").alias("item_id"))
@@ -206,8 +221,8 @@ def item_cf_recommend(interactions: DataFrame, sims: DataFrame | None = None, n:
 
 def user_cf_recommend(interactions: DataFrame, sims: DataFrame | None = None, n: int = RECOMMENDED) -> DataFrame:
     """Sum of sim * rating over the similar users' items, without the user's own, top ``n``."""
-    ratings = last_ratings(interactions)
-    sims = user_cf_similarity(interactions) if sims is None else sims
+    ratings = stored_ratings(interactions)
+    sims = _user_similarity(ratings) if sims is None else sims
     theirs = ratings.select(F.col("user_id").alias("similar_user"), "item_id", "rating")
     scores = (
         sims.select("user_id", "similar_user", "sim")

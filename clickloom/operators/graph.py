@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.session import materialise
+
 
 def adjacency(interactions: DataFrame) -> DataFrame:
     """Directed edges (src, dst, weight) of the bipartite graph, both ways.
@@ -34,12 +36,15 @@ def propagate(edges: DataFrame, nodes: DataFrame, dims: Sequence[str], layers: i
     ``nodes`` is (node, one double column per dimension). Columns, not arrays:
     each layer is then one join and one sum per dimension that Spark combines
     before the shuffle, so a node with very many edges costs a row per map task.
+    The edges and each layer are stored, as every layer reads them again.
     """
+    edges = materialise(edges)
     current = nodes.select("node", *dims)
     total = current
     for _ in range(layers):
         sent = edges.join(current, F.col("src") == F.col("node"))
-        current = sent.groupBy(F.col("dst").alias("node")).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in dims])
+        sums = [F.sum(F.col(c) * F.col("weight")).alias(c) for c in dims]
+        current = materialise(sent.groupBy(F.col("dst").alias("node")).agg(*sums))
         total = total.unionByName(current)
     scale = 1.0 / (layers + 1)
     return total.groupBy("node").agg(*[(F.sum(c) * scale).alias(c) for c in dims])

@@ -12,14 +12,15 @@ from clickloom.plans import cascade
 from clickloom.plans.oracle_views import VIEWS
 from clickloom.plans.registry import query
 from clickloom.sources import feature_store, tables, views
-from clickloom.session import work_path
+from clickloom.session import materialise, work_path
 
 DIM = 64
 
 
 def tables_of(spark, d) -> cascade.Tables:
+    """The four tables; interactions, a join that every plan reads several times, are stored."""
     return cascade.Tables(
-        views.users(spark, d), views.items(spark, d), views.interactions(spark, d), views.content_vectors(spark, d)
+        views.users(spark, d), views.items(spark, d), materialise(views.interactions(spark, d)), views.content_vectors(spark, d)
     )
 
 
@@ -501,7 +502,7 @@ def _idx_sql(column: str, source: str) -> str:
 )
 def prepare_rank_features(spark, d):
     t = tables_of(spark, d)
-    frame = cascade.raw_features(t, t.interactions.drop("create_time"))
+    frame = materialise(cascade.raw_features(t, t.interactions.drop("create_time")))
     stats = encode.scaler_stats(frame, [*encode.CONTINUOUS, *encode.STATS])
     out = encode.prepare_rank_features(frame, encode.feature_vocabularies(t.users, t.items), stats)
     numbers = ["age_scaled", "price_scaled", "hour_scaled", "item_click_last3m_scaled", "user_buy_last3m_scaled"]
