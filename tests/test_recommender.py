@@ -103,6 +103,26 @@ def test_topk_equals_brute_force_above_the_flat_limit(spark):
         assert all(got[i] == list(want[i]) for i in range(len(v)))
 
 
+@pytest.mark.parametrize("n", [3, 60, 900])
+def test_two_level_search_at_any_size(spark, n):
+    """Every vector gets one cluster; the method is the same at all sizes and finds most neighbours."""
+    v = clustered_vectors(n, 8, 4)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "item_id long, vector array<double>")
+    unit = vectors.unit_vectors(df, "item_id", "item_id")
+    cells = vectors.fit_cells(unit, "item_id")
+    placed = vectors.place(unit, cells, 1, "item_id").collect()
+    assert sorted(r.item_id for r in placed) == list(range(n))
+    assert len(cells.coarse) <= cells.width and {r.cluster // cells.width for r in placed} <= set(range(len(cells.coarse)))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = u @ u.T
+    np.fill_diagonal(scores, -np.inf)
+    k = min(5, n - 1)
+    want = {(i, int(j)) for i in range(n) for j in np.argsort(-np.round(scores[i], 12), kind="stable")[:k]}
+    found = vectors.ivf_topk(df.withColumnRenamed("item_id", "query_id"), df, k, skip_self=True).collect()
+    got = {(r.query_id, r.item_id) for r in found}
+    assert len(got) == len(found) and len(got & want) >= 0.8 * len(want)
+
+
 def test_blocks_do_not_change_the_result(spark):
     v = clustered_vectors(300, 8, 2)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "item_id long, vector array<double>")
