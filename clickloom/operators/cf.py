@@ -1,9 +1,10 @@
 """Neighbourhood recommendation from co-occurrence.
 
 Two members (items, or users) are similar through the groups (users, or items)
-that hold both. Ordinary groups contribute by a self-join. A group far larger
-than the rest would contribute its square in pairs; the few largest are folded
-into a short profile per member instead, which gives the same answer:
+that hold both. Groups meet as packed blocks and are multiplied tile by tile
+(``tiles``), so no pair of members is a row, however many groups are large. The few
+largest are folded into a short profile per member on top, which gives the same
+answer without touching their squares:
 
 * a pair that also meets in an ordinary group adds the product of its profiles;
 * a pair that meets in large groups only scores (profile_i . profile_j) / norms,
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.slices import first_n
+from clickloom.operators.tiles import BLOCK as TILE
+from clickloom.operators.tiles import SLICE_CELLS, best_partners
 from clickloom.session import materialise
 
 NEIGHBOURS = 10
@@ -57,12 +60,11 @@ def large_groups(cells: DataFrame, large: int = LARGE_GROUP, at_most: int = MAX_
     return [r["grp"] for r in sizes.orderBy(F.col("n").desc(), "grp").limit(at_most).collect()]
 
 
-def group_pairs(cells: DataFrame, block: int = BLOCK, profile: Sequence[str] = ()) -> DataFrame:
+def group_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, dot) with a < b, over all groups of ``cells`` (grp, member, weight).
 
     The members of a group are cut into blocks and every block meets the group
     under its own join key, so a group of n members is spread over n / block keys.
-    The product of the ``profile`` columns, the same in every group, is added once.
     """
     sizes = cells.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
     sized = cells.join(sizes, "grp")
@@ -71,20 +73,15 @@ def group_pairs(cells: DataFrame, block: int = BLOCK, profile: Sequence[str] = (
         F.pmod(F.xxhash64("member"), F.col("_k")).cast("int").alias("blk"),
         F.col("member").alias("a"),
         F.col("weight").alias("wa"),
-        *[F.col(p).alias(f"a_{p}") for p in profile],
     )
     right = sized.select(
         "grp",
         F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("blk"),
         F.col("member").alias("b"),
         F.col("weight").alias("wb"),
-        *[F.col(p).alias(f"b_{p}") for p in profile],
     )
     met = left.join(right, ["grp", "blk"]).where(F.col("a") < F.col("b"))
-    dot = F.sum(F.col("wa") * F.col("wb"))
-    if profile:
-        dot = dot + F.max(_product([F.col(f"a_{p}") for p in profile], [F.col(f"b_{p}") for p in profile]))
-    return met.groupBy("a", "b").agg(dot.alias("dot"))
+    return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
 
 
 def _profiles(cells: DataFrame, large: Sequence) -> DataFrame:
@@ -105,14 +102,15 @@ def similarity(
     k: int = NEIGHBOURS,
     large: int = LARGE_GROUP,
     max_profile: int = MAX_PROFILE,
-    block: int = BLOCK,
+    block: int = TILE,
+    slice_cells: int = SLICE_CELLS,
 ) -> DataFrame:
     """Top ``k`` partners per member: (member, other, sim, rank).
 
     ``cells`` is (grp, member, weight > 0), one row per pair; ``norms`` is
     (member, norm), and sim = dot / sqrt(norm_a * norm_b). Ties go to the
-    smaller id. Weights are divided by their norm before members meet, so the
-    pair table needs no further join.
+    smaller id. Weights are divided by their norm before members meet, so sums
+    of products are similarities, and a task keeps the best of its tile.
     """
     norms = norms.where(F.col("norm") > 0)
     big = large_groups(cells, large, max_profile)
@@ -124,19 +122,12 @@ def similarity(
     if profile is not None:
         unit = unit.where(~F.col("grp").isin(*big)).join(profile, "member", "left")
         unit = unit.withColumns({p: F.coalesce(p, F.lit(0.0)) / F.sqrt("norm") for p in names})
-    pairs = group_pairs(unit.select("grp", "member", "weight", *names), block, names)
-    both = F.array(
-        F.struct(F.col("a").alias("member"), F.col("b").alias("other")),
-        F.struct(F.col("b").alias("member"), F.col("a").alias("other")),
-    )
-    mirrored = pairs.select(F.explode(both).alias("_p"), F.col("dot").alias("sim")).select("_p.*", "sim")
-    order = [F.round("sim", 12).desc(), F.col("other")]
-    best = first_n(mirrored, ["member"], order, k)
+    best = best_partners(unit.select("grp", "member", "weight", *names), norms, k, names, block, slice_cells)
     if profile is None:
         return best
     found = best.drop("rank").unionByName(_profile_partners(profile, norms, names, k))
     found = found.groupBy("member", "other").agg(F.max("sim").alias("sim"))
-    return first_n(found, ["member"], order, k)
+    return first_n(found, ["member"], [F.round("sim", 12).desc(), F.col("other")], k)
 
 
 def _profile_partners(profile: DataFrame, norms: DataFrame, names: Sequence[str], k: int) -> DataFrame:

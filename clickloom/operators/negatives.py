@@ -47,8 +47,8 @@ def sample_negatives(
     return out
 
 
-def bpr_triples(interactions: DataFrame, items: DataFrame, batch_size: int, seed: str = "bpr") -> DataFrame:
-    """``batch_size`` distinct users with history: one own item and one item of all.
+def bpr_triples(interactions: DataFrame, items: DataFrame, batch_size: int | None = None, seed: str = "bpr") -> DataFrame:
+    """``batch_size`` distinct users with history, or all of them: one own item and one item of all.
 
     The user sample and the own item are minima of a hash, so neither needs the
     history of a user in one place.
@@ -57,10 +57,9 @@ def bpr_triples(interactions: DataFrame, items: DataFrame, batch_size: int, seed
     picked = rows.groupBy("user_id").agg(
         F.min(F.struct(F.md5(F.concat_ws("|", F.lit(seed), "user_id", "item_id", "order_key", "line")).alias("h"), "item_id")).alias("_p")
     )
-    batch = picked.select("user_id", F.col("_p.item_id").alias("pos_item")).withColumn(
-        "_h", F.md5(F.concat_ws("|", F.lit(seed), "user_id"))
-    )
-    batch = batch.orderBy("_h", "user_id").limit(batch_size).drop("_h")
+    batch = picked.select("user_id", F.col("_p.item_id").alias("pos_item"))
+    if batch_size is not None:
+        batch = batch.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "user_id")), "user_id").limit(batch_size)
     index = item_index(items)
     size = index.agg(F.count(F.lit(1)))
     drawn = batch.withColumn("idx", hash_number(F.lit(seed), F.lit("n"), "user_id") % size.scalar())

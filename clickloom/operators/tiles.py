@@ -1,0 +1,186 @@
+"""Products of members through common groups, tile by tile.
+
+Members are numbered and cut into blocks of ``BLOCK``. A group becomes one packed row per
+block it touches, and the packed rows of a group meet each other, so a group of n members
+gives about (n / BLOCK) ** 2 / 2 rows instead of n ** 2 / 2 pairs. All rows of two blocks form
+a tile: a task adds up their products and hands out the ``k`` best partners of every
+member, or plain sums where the tile holds so many cells that it is cut by group. A task holds one tile of sums
+and one batch of rows, whatever the size of a group or the number of its rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clickloom.operators.slices import dense_index, first_n
+from clickloom.session import materialise
+
+BLOCK = 2_048  # members on one side of a tile
+SLICE_CELLS = 4_000_000  # cells of a block that one task takes
+BATCH_PAIRS = 2_000_000  # products made at once
+
+FOUND = "a long, b long, dot double, extra double"
+
+
+class _Tile:
+    """Sums of one tile: sorted keys while few pairs meet, a matrix once many do."""
+
+    def __init__(self, lo: int, hi: int, parts: int, size: int, width: int):
+        self.lo, self.hi, self.parts, self.size = lo, hi, parts, size
+        self.keys: list[np.ndarray] = []
+        self.dots: list[np.ndarray] = []
+        self.fresh = 0
+        self.matrix: np.ndarray | None = None
+        self.profiles = [np.zeros((size, width)) for _ in "ab"]
+
+    def add(self, key: np.ndarray, dot: np.ndarray) -> None:
+        if self.matrix is not None:
+            self.matrix += np.bincount(key, dot, self.matrix.size)
+            return
+        self.keys.append(key)
+        self.dots.append(dot)
+        self.fresh += len(key)
+        if self.fresh > self.size * self.size // 8:
+            self.matrix = np.zeros(self.size * self.size)
+            for k, d in zip(self.keys, self.dots):
+                self.matrix += np.bincount(k, d, self.matrix.size)
+            self.keys, self.dots = [], []
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.matrix is not None:
+            key = np.flatnonzero(self.matrix)
+            return key, self.matrix[key]
+        if not self.keys:
+            return np.empty(0, np.int64), np.empty(0)
+        key, place = np.unique(np.concatenate(self.keys), return_inverse=True)
+        return key, np.bincount(place, np.concatenate(self.dots), len(key))
+
+    def rows(self, k: int) -> Iterator[pa.RecordBatch]:
+        key, dot = self.sums()
+        if not len(key):
+            return
+        i, j = key // self.size, key % self.size
+        extra = np.zeros(len(key))
+        for a, b in zip(self.profiles[0].T, self.profiles[1].T):
+            extra += a[i] * b[j]
+        ends = i + self.lo * self.size, j + self.hi * self.size
+        for member, other in (ends, ends[::-1]):
+            keep = slice(None) if self.parts > 1 else _best(member, other, dot + extra, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[keep]) for c in (member, other, dot, extra)], ["a", "b", "dot", "extra"]
+            )
+
+
+def _best(member: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of every member; ties go to the smaller partner."""
+    order = np.lexsort((other, -np.round(score, 12), member))
+    sorted_member = member[order]
+    first = np.flatnonzero(np.r_[True, sorted_member[1:] != sorted_member[:-1]])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[rank < k]
+
+
+def _cells(rows: pa.RecordBatch, side: str, names: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """(row, place in the block, weight, profile) of all cells of packed rows."""
+    loc = rows.column(f"{side}_loc")
+    row = np.repeat(np.arange(len(loc)), np.diff(loc.offsets.to_numpy()))
+    values = [rows.column(f"{side}_{c}").flatten().to_numpy(zero_copy_only=False) for c in ("weight", *names)]
+    return row, loc.flatten().to_numpy().astype(np.int64), values[0], np.stack(values[1:], axis=1) if names else None
+
+
+def _add_rows(tile: _Tile, part: pa.RecordBatch, names: Sequence[str]) -> None:
+    row_a, loc_a, w_a, prof_a = _cells(part, "left", names)
+    row_b, loc_b, w_b, prof_b = _cells(part, "right", names)
+    if names:
+        tile.profiles[0][loc_a], tile.profiles[1][loc_b] = prof_a, prof_b
+    held = np.bincount(row_b, minlength=part.num_rows)
+    begin = np.cumsum(held) - held
+    repeat = held[row_a]
+    chunk = np.cumsum(repeat) // BATCH_PAIRS
+    cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        times = repeat[start:end]
+        at_a = np.repeat(np.arange(start, end), times)
+        inside = np.arange(len(at_a)) - np.repeat(np.cumsum(times) - times, times)
+        at_b = begin[row_a[at_a]] + inside
+        a, b = loc_a[at_a], loc_b[at_b]
+        dot = w_a[at_a] * w_b[at_b]
+        if tile.lo == tile.hi:
+            once = a < b
+            a, b, dot = a[once], b[once], dot[once]
+        tile.add(a * tile.size + b, dot)
+
+
+def _tile_batches(k: int, size: int, names: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, current = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lo, hi, part = (batch.column(c).to_numpy() for c in ("lo", "hi", "part"))
+            moved = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (part[1:] != part[:-1])
+            cuts = np.flatnonzero(np.r_[True, moved, True])
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key = (int(lo[start]), int(hi[start]), int(part[start]))
+                if key != current:
+                    if tile is not None:
+                        yield from tile.rows(k)
+                    parts = int(batch.column("parts")[start].as_py())
+                    tile, current = _Tile(key[0], key[1], parts, size, len(names)), key
+                _add_rows(tile, batch.slice(start, end - start), names)
+        if tile is not None:
+            yield from tile.rows(k)
+
+    return run
+
+
+def best_partners(
+    cells: DataFrame,
+    members: DataFrame,
+    k: int,
+    profile: Sequence[str] = (),
+    size: int = BLOCK,
+    slice_cells: int = SLICE_CELLS,
+) -> DataFrame:
+    """(member, other, sim, rank): the ``k`` best partners of every member; ties go to the smaller one.
+
+    ``cells`` is (grp, member, weight > 0) with the ``profile`` columns of the member, one row
+    per pair; ``members`` has every member once. sim is the sum of weight products over the groups
+    that hold both, plus the product of their profiles; members without a common group do not meet.
+    """
+    index = materialise(dense_index(members.select("member").distinct(), ["member"], "_i"))
+    cell = F.struct(F.pmod("_i", F.lit(size)).cast("int").alias("loc"), "weight", *profile)
+    grouped = (
+        cells.join(index, "member")
+        .groupBy("grp", F.floor(F.col("_i") / size).cast("long").alias("block"))
+        .agg(F.collect_list(cell).alias("_c"))  # at most ``size`` cells
+    )
+    lists = ("loc", "weight", *profile)
+    packed = materialise(grouped.select("grp", "block", *[F.col(f"_c.{c}").alias(c) for c in lists]))
+    parts = packed.groupBy("block").agg(F.ceil(F.sum(F.size("loc")) / slice_cells).cast("int").alias("parts"))
+    packed = packed.join(parts, "block")
+
+    def side(block: str, name: str) -> DataFrame:
+        named = [F.col(c).alias(f"{name}_{c}") for c in (*lists, "parts")]
+        return packed.select("grp", F.col("block").alias(block), *named)
+
+    met = side("lo", "left").join(side("hi", "right"), "grp").where("lo <= hi")
+    met = met.withColumn("parts", F.greatest("left_parts", "right_parts")).drop("left_parts", "right_parts")
+    found = (
+        met.withColumn("part", F.pmod(F.xxhash64("grp"), F.col("parts")).cast("int"))
+        .drop("grp")
+        .repartition("lo", "hi", "part")
+        .sortWithinPartitions("lo", "hi", "part")
+        .mapInArrow(_tile_batches(k, size, tuple(profile)), FOUND)
+    )
+    # tiles that were cut by group add up; the others have every pair once
+    sums = found.groupBy("a", "b").agg((F.sum("dot") + F.max("extra")).alias("sim"))
+    best = first_n(sums, ["a"], [F.round("sim", 12).desc(), F.col("b")], k)
+    ends = index.withColumnRenamed("_i", "a")
+    others = index.select(F.col("_i").alias("b"), F.col("member").alias("other"))
+    return best.join(ends, "a").join(others, "b").select("member", "other", "sim", "rank")

@@ -308,8 +308,7 @@ VIEWS["layer2"] = "SELECT e.dst AS node, l.p, sum(e.weight * l.x) AS x FROM edge
 @query(
     "graph_propagate",
     """WITH a AS (SELECT node, p, sum(x) / 3.0 AS x FROM (SELECT * FROM layer0 UNION ALL SELECT * FROM layer1 UNION ALL SELECT * FROM layer2) GROUP BY ALL)
-    SELECT node, round(max(x) FILTER (p = 0), 6) AS e0, round(max(x) FILTER (p = 31), 6) AS e31, round(max(x) FILTER (p = 63), 6) AS e63,
-      round(sqrt(sum(x * x)), 6) AS norm FROM a GROUP BY node""",
+    SELECT node, p AS dim, round(x, 6) + 0.0::DOUBLE AS value, round(sqrt(sum(x * x) OVER (PARTITION BY node)), 6) AS norm FROM a""",
 )
 def graph_propagate(spark, d):
     edges = graph.adjacency(views.interactions(spark, d))
@@ -317,7 +316,9 @@ def graph_propagate(spark, d):
     nodes, dims = graph.spread(vecs, "node", DIM)
     out = graph.propagate(edges, nodes, dims)
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0)))
-    return out.select("node", *[F.round(c, 6).alias(c) for c in ("e0", "e31", "e63")], F.round(norm, 6).alias("norm"))
+    rows = out.select("node", F.round(norm, 6).alias("norm"), F.posexplode(F.array(*dims)).alias("dim", "x"))
+    # adding 0.0 turns a rounded -0.0 into 0.0
+    return rows.select("node", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + F.lit(0.0)).alias("value"), "norm")
 
 
 # ---- sampling ---------------------------------------------------------------
@@ -343,13 +344,12 @@ def sample_negatives(spark, d):
 @query(
     "bpr_triples",
     """WITH h AS (SELECT user_id, min_by(item_id, md5('bpr|' || user_id || '|' || item_id || '|' || order_key || '|' || line) || lpad(item_id::VARCHAR, 12, '0')) AS pos_item
-      FROM interactions GROUP BY user_id),
-    b AS (SELECT * FROM h ORDER BY md5('bpr|' || user_id), user_id LIMIT 64)
-    SELECT b.user_id, pos_item, i.item_id AS neg_item FROM b JOIN item_idx i
-      ON i.idx = ('0x' || substr(md5('bpr|n|' || b.user_id), 1, 15))::BIGINT % (SELECT count(*) FROM items)""",
+      FROM interactions GROUP BY user_id)
+    SELECT h.user_id, pos_item, i.item_id AS neg_item FROM h JOIN item_idx i
+      ON i.idx = ('0x' || substr(md5('bpr|n|' || h.user_id), 1, 15))::BIGINT % (SELECT count(*) FROM items)""",
 )
 def bpr_triples(spark, d):
-    return negatives.bpr_triples(views.interactions(spark, d), views.items(spark, d), 64)
+    return negatives.bpr_triples(views.interactions(spark, d), views.items(spark, d))
 
 
 # ---- encoding ---------------------------------------------------------------
@@ -486,29 +486,38 @@ def _idx_sql(column: str, source: str) -> str:
     return f"(SELECT {column} AS t, row_number() OVER (ORDER BY {column}) - 1 AS idx FROM (SELECT DISTINCT {column} FROM {source}))"
 
 
-@query(
-    "prepare_rank_features",
-    f"""WITH f AS (SELECT n.user_id, n.item_id, n.order_key, n.line, n.hour, u.age, i.price, coalesce(ic, 0) AS ic, coalesce(ub, 0) AS ub,
-        u.user_keywords, i.item_keywords, i.author FROM interactions n
-        LEFT JOIN users u ON u.user_id = n.user_id LEFT JOIN items i ON i.item_id = n.item_id
-        LEFT JOIN item_3m s ON s.item_id = n.item_id LEFT JOIN user_3m us ON us.user_id = n.user_id),
-    m AS (SELECT avg(age) AS am, stddev_pop(age) AS asd, avg(price) AS pm, stddev_pop(price) AS psd, avg(ic) AS im, stddev_pop(ic) AS isd,
-        avg(ub) AS bm, stddev_pop(ub) AS bsd, avg(hour) AS hm, stddev_pop(hour) AS hsd FROM f)
-    SELECT f.user_id, f.item_id, order_key, line, a.idx AS author_idx, uk.idx AS user_keywords_idx, ik.idx AS item_keywords_idx,
-      round((age - am) / asd, 6) AS age_scaled, round((price - pm) / psd, 6) AS price_scaled, round((hour - hm) / hsd, 6) AS hour_scaled,
-      round((ic - im) / isd, 6) AS item_click_last3m_scaled, round((ub - bm) / bsd, 6) AS user_buy_last3m_scaled
-    FROM f JOIN {_idx_sql("author", "items")} a ON a.t = f.author JOIN {_idx_sql("user_keywords", "users")} uk ON uk.t = f.user_keywords
-    JOIN {_idx_sql("item_keywords", "items")} ik ON ik.t = f.item_keywords, m""",
-)
+def _rank_features_sql() -> str:
+    sources = {c: ("users", c) for c in encode.DISCRETE["user"]}
+    sources |= {c: ("items", c.replace("item_city", "city")) for c in encode.DISCRETE["item"]}
+    numbers = [*encode.CONTINUOUS, *encode.STATS]
+    kinds = ("click", "cart", "buy", "forward")
+    last = """SELECT {p}_id, {sums} FROM interactions
+      WHERE create_time > (SELECT max(create_time) FROM interactions) - INTERVAL 3 MONTH GROUP BY {p}_id"""
+    stats = {p: last.format(p=p, sums=", ".join(f"sum({k}) AS {p}_{k}_last3m" for k in kinds)) for p in ("user", "item")}
+    tokens = ", ".join(f"{t[0]}.{column} AS {c}" for c, (t, column) in sources.items())
+    counts = ", ".join(f"coalesce({c}, 0) AS {c}" for c in encode.STATS)
+    moments = ", ".join(f"avg({c}) AS {c}_m, coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_s" for c in numbers)
+    scaled = ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) AS {c}_scaled" for c in numbers)
+    vocabularies = " ".join(f"JOIN {_idx_sql(column, t)} v_{c} ON v_{c}.t = f.{c}" for c, (t, column) in sources.items())
+    return f"""WITH us AS ({stats["user"]}), ns AS ({stats["item"]}),
+    f AS (SELECT n.user_id, n.item_id, n.order_key, n.line, u.age, i.price, n.hour, n.is_weekend, 0 AS is_holiday, {tokens}, {counts}
+      FROM interactions n LEFT JOIN users u ON u.user_id = n.user_id LEFT JOIN items i ON i.item_id = n.item_id
+      LEFT JOIN us ON us.user_id = n.user_id LEFT JOIN ns ON ns.item_id = n.item_id),
+    m AS (SELECT {moments} FROM f)
+    SELECT f.user_id, f.item_id, order_key, line, {", ".join(f"v_{c}.idx AS {c}_idx" for c in sources)}, {scaled}
+    FROM f {vocabularies}, m"""
+
+
+@query("prepare_rank_features", _rank_features_sql())
 def prepare_rank_features(spark, d):
     t = tables_of(spark, d)
     frame = materialise(cascade.raw_features(t, t.interactions.drop("create_time")))
-    stats = encode.scaler_stats(frame, [*encode.CONTINUOUS, *encode.STATS])
-    out = encode.prepare_rank_features(frame, encode.feature_vocabularies(t.users, t.items), stats)
-    numbers = ["age_scaled", "price_scaled", "hour_scaled", "item_click_last3m_scaled", "user_buy_last3m_scaled"]
+    numbers = [*encode.CONTINUOUS, *encode.STATS]
+    vocabularies = encode.feature_vocabularies(t.users, t.items)
+    out = encode.prepare_rank_features(frame, vocabularies, encode.scaler_stats(frame, numbers))
     return out.select(
-        "user_id", "item_id", "order_key", "line", "author_idx", "user_keywords_idx", "item_keywords_idx",
-        *[F.round(c, 6).alias(c) for c in numbers],
+        "user_id", "item_id", "order_key", "line", *[f"{c}_idx" for c in vocabularies],
+        *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in numbers],
     )
 
 
@@ -561,13 +570,9 @@ def _requests(t: cascade.Tables):
 
 
 def _ranked(spark, d, stages):
-    """Both stages over the content channels of all users."""
+    """The stages over all six recall channels of all users."""
     t = tables_of(spark, d)
-    channels = {
-        "category": content.category_recall(t.users, t.items),
-        "keyword": content.keyword_recall(t.users, t.items),
-    }
-    a = cascade.fit(t, channels=channels, stages=stages)
+    a = cascade.fit(t, stages=stages)
     pool = content.recall_union(a.channels).select("user_id", "item_id")
     return cascade.rank_candidates(t, a, _requests(t).join(pool, "user_id"))
 
@@ -594,7 +599,7 @@ def refit_on_new_data(spark, d):
     t = tables_of(spark, d)
     is_new = F.col("create_time") >= F.lit("2000-01-01").cast("timestamp_ntz")
     old = cascade.Tables(t.users, t.items, t.interactions.where(~is_new), t.content_vectors)
-    merged, a = cascade.refit(old, cascade.fit(old, factors=False), new_interactions=t.interactions.where(is_new))
+    merged, a = cascade.refit(old, cascade.fit(old), new_interactions=t.interactions.where(is_new))
     return cascade.cascade_recommend(merged, a, _requests(merged))
 
 

@@ -46,6 +46,8 @@ def brute(cells, norms, k):
         ([1, 2, 3], 2, {"large": 30}),
         ([1, 2, 3], 1, {"large": 30, "max_profile": 2}),
         ([1, 2], 3, {"block": 4}),
+        (list(range(1, 11)), 3, {"block": 16}),
+        (list(range(1, 11)), 3, {"block": 16, "large": 30, "slice_cells": 25}),
     ],
 )
 def test_similarity_is_exact_with_hot_groups(spark, heavy, levels, options):
