@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import hash_number
-from clickloom.operators import encode, mmr, olap, trajectories, vectors, windows
+from clickloom.operators import encode, mmr, negatives, olap, tiles, trajectories, vectors, windows
 from clickloom.plans.cascade import factor_vectors
 from clickloom.sources.views import item_code, user_code
 
@@ -113,3 +113,31 @@ def test_search_methods_agree_at_two_sizes(spark):
             for m in ("flat", "bounded")
         )
         assert flat == bounded
+
+
+def test_triples_of_all_users_or_of_a_batch(spark):
+    seen = spark.createDataFrame([(u, i, u, i) for u in range(30) for i in range(4)], "user_id long, item_id long, order_key long, line long")
+    items = spark.createDataFrame([(i,) for i in range(9)], "item_id long")
+    every = {r["user_id"]: r for r in negatives.bpr_triples(seen, items).collect()}
+    assert len(every) == 30
+    assert all(r["pos_item"] < 4 and r["neg_item"] < 9 for r in every.values())
+    batch = negatives.bpr_triples(seen, items, 7).collect()
+    assert len(batch) == 7
+    assert all(every[r["user_id"]] == r for r in batch)
+
+
+def test_a_tile_task_keeps_ties_and_cut_tiles_add_up(spark):
+    cells = spark.createDataFrame([(g, m, 0.5) for g in range(12) for m in range(9)], "grp long, member long, weight double")
+    members = cells.select("member")
+    for slice_cells in (1_000, 5):
+        got = tiles.best_partners(cells, members, 2, size=4, slice_cells=slice_cells).collect()
+        found = {(r["member"], r["rank"]): (r["other"], r["sim"]) for r in got}
+        assert len(got) == 18
+        for m in range(9):
+            first, second = [o for o in range(9) if o != m][:2]
+            assert found[m, 1] == (first, 3.0) and found[m, 2] == (second, 3.0)
+
+
+def test_no_cells_no_partners(spark):
+    cells = spark.createDataFrame([], "grp long, member long, weight double")
+    assert tiles.best_partners(cells, cells.select("member"), 3).count() == 0
