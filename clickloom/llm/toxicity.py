@@ -114,6 +114,8 @@ def train(toxic: list[str], clean: list[str]) -> ToxicityModel:
     # both classes weigh the same per step of Adam
     share = np.where(labels == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
     bias = 0.0
+    if not len(able):  # nothing learned: the share of toxic texts, and never toxic
+        return ToxicityModel(hit, able, weight, min(float(np.log((n1 + 1) / (n0 + 1))), -1.0))
     mean, square = np.zeros(len(able) + 1), np.zeros(len(able) + 1)
     for step in range(1, ROUNDS + 1):
         margin = bias + np.bincount(row, weight[col] * value, minlength=len(texts))
@@ -138,8 +140,8 @@ def fit(
 ) -> ToxicityModel:
     """Train on at most 2 * ``SAMPLE_DOCS`` labelled texts of each class; held-out documents take no part.
 
-    Rows without a text or a 0/1 label are not learned from. Without both classes, every score is that of an
-    empty text.
+    Rows without a text or a 0/1 label are not learned from. Without both classes, or without
+    an n-gram that tells them apart, every text has the same score, below 0.5.
     """
     marks = labels.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("mark"))
     marks = marks.where(F.col("mark").isin(0, 1) & F.col("doc").isNotNull() & ~held_out(F.col("doc"))).dropDuplicates(["doc"])

@@ -138,3 +138,11 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.rate(df.limit(0), model).collect() == []
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.rate(df, none).collect()} <= {0, 1}
+
+
+def test_toxicity_of_a_model_that_learned_nothing(spark):
+    df = spark.createDataFrame([(1, "you idiot"), (2, "a fine day"), (3, None), (4, "")], "doc_id long, text string")
+    none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    for model in (none, toxicity.train(["same"] * 9, ["same"] * 3), toxicity.train(["a"], [])):
+        assert {r["predicted"] for r in toxicity.rate(df, model).collect()} == {0}
+        assert toxicity.keep_clean(df, model).count() == 4
