@@ -1,46 +1,192 @@
-"""License scans: sparse TF-IDF cosine of header lines and licence files to templates, inherited down the folders.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, inherited down the folders.
 
-Every line of a text that shares a telling word with a template becomes a sparse
-vector of TF-IDF weights and is compared with all templates by cosine; the best
-match at or above the threshold is the file's own license. A file whose whole text is
-little else than its license is a licence file: it speaks for its folder. Files
-without a license of their own take that of the nearest folder above them that
-has a licence file, found by joining each folder with its ancestors.
+Templates are license headers and full license texts. Three kinds of word runs of a text become
+sparse vectors of TF-IDF weights and are compared with all templates by cosine: the whole text,
+every line, and windows of the length of a header that lie across lines or inside a line which as
+a whole is no license. A window starts where a word of the header, found in the text, puts it.
+A license counts at or above the threshold and only where version and variant words agree
+("version 3", "lesser", "nc"). A file whose whole text reaches the threshold is a licence file: it
+speaks for its folder. Otherwise the best line or window is the file's own license. Files without a
+license of their own take that of the nearest folder above them that has a licence file, found by
+joining each folder with its ancestors.
+
+Of every header so many words are looked for that the other ones hold less of its squared weight than
+the squared threshold, or are function words; of a full text, so many of its other words. What holds
+none of them is not compared.
 
 All steps are DataFrame expressions and joins. The templates are a parameter of a few
-rows; their words bound the vocabulary. Lines are compared once per distinct line, so
+rows; their words bound the vocabulary. Lines and windows are compared once per distinct one, so
 a header that a third of all files carry is one row after map-side combining.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
+from json import dumps
+from math import log
+from pkgutil import get_data
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.session import materialise
 
-# fixed values: names and usual wordings of licenses, shortened to their headers
-TEMPLATES: tuple[tuple[str, str], ...] = (
+# fixed values: usual names, headers and marks of licenses
+_GNU_END = (
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. "
+    "You should have received a copy of the GNU {kind}General Public License along with this {what}. "
+    "If not, see <https://www.gnu.org/licenses/>."
+)
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{end}"
+_LATER = "; either version {v} of the License, or (at your option) any later version. "
+
+
+def _gnu(name: str, kind: str, short: str, version: str, dated: str) -> list[tuple[str, str]]:
+    what = "library" if kind in ("Lesser ", "Library ") else "program"
+    plain = version.removesuffix(".0")
+    names = {"what": what, "kind": kind}
+    return [
+        (name, f"GNU {kind}General Public License Version {plain}, {dated}"),
+        (name, f"This work is licensed under the GNU {kind}General Public License, version {plain}."),
+        (name, f"GNU {kind}General Public License v{version}"),
+        (name, f"GNU {kind}General Public License version {plain}"),
+        (name, f"Licensed under the {short} version {plain}"),
+        (name, f"Released under the {short}v{plain}"),
+        (name, (_GNU.format(mark=":", end=_LATER.format(v=plain), **names) + _GNU_END.format(**names))),
+        (name, _GNU.format(mark=":", end=_LATER.format(v=plain), **names)),
+        (name, _GNU.format(mark=";", end=f" version {plain}.", **names)),
+        (name, f"SPDX-License-Identifier: {name}-only"),
+        (name, f"SPDX-License-Identifier: {name}-or-later"),
+        (name, f"SPDX-License-Identifier: {name}"),
+    ]
+
+
+def _cc(parts: str) -> list[tuple[str, str]]:
+    words = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+    full, short = "-".join(words[p] for p in parts.split("-")), parts.upper()
+    name = f"CC-{short}-4.0"
+    return [
+        (name, f"Licensed under CC {short} 4.0."),
+        (name, f"Creative Commons {full} 4.0 International License"),
+        (name, f"This work is licensed under a Creative Commons {full} 4.0 International License."),
+        (name, f"https://creativecommons.org/licenses/{parts}/4.0/"),
+        (name, f"SPDX-License-Identifier: {name}"),
+    ]
+
+
+HEADERS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+        'law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES '
+        "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
+    ),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions:",
+    ),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    *_gnu("GPL-2.0", "", "GPL", "2.0", "June 1991"),
+    *_gnu("GPL-3.0", "", "GPL", "3.0", "29 June 2007"),
+    *_gnu("LGPL-2.0", "Library ", "LGPL", "2.0", "June 1991"),
+    *_gnu("LGPL-2.1", "Lesser ", "LGPL", "2.1", "February 1999"),
+    *_gnu("LGPL-3.0", "Lesser ", "LGPL", "3.0", "29 June 2007"),
+    *_gnu("AGPL-3.0", "Affero ", "AGPL", "3.0", "19 November 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    *_cc("by"),
+    *_cc("by-sa"),
+    *_cc("by-nd"),
+    *_cc("by-nc"),
+    *_cc("by-nc-sa"),
+    *_cc("by-nc-nd"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-1.1", "SPDX-License-Identifier: MPL-1.1"),
+    ("EPL-2.0", "Eclipse Public License Version 2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+)
+FULL = (
+    "Apache-2.0 MIT ISC BSD-2-Clause BSD-3-Clause Unlicense GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 "
+    "CC0-1.0 GFDL-1.2 GFDL-1.3 Artistic-1.0"
+).split()
+# the AGPL is the GPL but for its title and a section
+TEMPLATES: tuple[tuple[str, str], ...] = HEADERS + tuple(
+    (name, get_data(__name__, f"license_texts/{name.replace('AGPL', 'GPL')}.txt").decode()) for name in [*FULL, "AGPL-3.0"]
 )
-# fixed values: words that occur in license lines and hardly elsewhere; a line without any is not compared
-TELLING = ("license", "licensed", "licence", "licenced", "spdx", "redistribution", "redistribute", "granted")
+
+
+def _version(version: str, *shorts: str) -> list[str]:
+    plain = version.removesuffix(".0")
+    return [f"{s}{v}" for s in ("", "v", *shorts, *[f"{s}v" for s in shorts]) for v in sorted({version, plain})]
+
+
+_LESSER, _AFFERO = ["lesser", "library", "lgpl"], ["affero", "agpl"]
+_LGPL, _AGPL, _GPL = ([f"{s}{v}{n}" for v in ("", "v") for n in ("2", "2.0", "2.1", "3", "3.0")] for s in ("lgpl", "agpl", "gpl"))
+_CC = {"by": ["by", "attribution"], "nc": ["nc", "noncommercial", "commercial"], "sa": ["sa", "sharealike"], "nd": ["nd", "noderivatives", "noderivs"]}
+
+
+def _cc_marks(parts: str) -> tuple[list[list[str]], list[str]]:
+    have = parts.split("-")
+    return [_version("4.0"), *[_CC[p] for p in have]], [w for p in _CC if p not in have for w in _CC[p]]
+
+
+# per license: of each list a word must be there; words that must not
+MARKS: dict[str, tuple[list[list[str]], list[str]]] = {
+    "Apache-2.0": ([_version("2.0", "apache", "license"), ["apache", *_version("2.0", "apache")[4:]]], []),
+    "GPL-1.0": ([_version("1.0", "gpl")], _LESSER + _AFFERO + _LGPL + _AGPL),
+    "GPL-2.0": ([_version("2.0", "gpl")], _LESSER + _AFFERO + _LGPL + _AGPL),
+    "GPL-3.0": ([_version("3.0", "gpl")], _LESSER + _AFFERO + _LGPL + _AGPL),
+    "LGPL-2.0": ([_version("2.0", "lgpl"), _LESSER + _LGPL], _AFFERO + _AGPL),
+    "LGPL-2.1": ([_version("2.1", "lgpl"), _LESSER + _LGPL], _AFFERO + _AGPL),
+    "LGPL-3.0": ([_version("3.0", "lgpl"), _LESSER + _LGPL], _AFFERO + _AGPL),
+    "AGPL-3.0": ([_version("3.0", "agpl"), _AFFERO + _AGPL], []),
+    **{f"CC-{p.upper()}-4.0": _cc_marks(p) for p in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")},
+    "MPL-1.1": ([_version("1.1", "mpl")], []),
+    "MPL-2.0": ([_version("2.0", "mpl")], []),
+    "EPL-2.0": ([_version("2.0", "epl")], []),
+    "GFDL-1.2": ([_version("1.2", "gfdl")], []),
+    "GFDL-1.3": ([_version("1.3", "gfdl")], []),
+}
+# words that are looked for last
+COMMON = set("a all an and any are as at be by do for from if in is it its may no not of on one or other our see that the this to under use was will with you your".split())
+WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 THRESHOLD = 0.7
-FILE_SHARE = 0.25  # of a licence file's words that its license line makes up
+HEADER_WORDS = 250  # templates up to this length are looked for inside texts, longer ones are compared with whole texts
+TITLE_WORDS = 60  # at the beginning of a whole text, where its version and variant must be
 DECIMALS = 6
 
 
@@ -49,6 +195,41 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)*)"), F.lit(1))
 
 
+def sought(templates: Sequence[tuple[str, str]], threshold: float) -> list[tuple[list[str], dict[str, float], set[str]]]:
+    """Per template its words in order, their squared weights, and the words that are looked for."""
+    listed = [WORD.findall(text.lower()) for _, text in templates]
+    of = Counter(w for words in listed for w in set(words))
+    out, known = [], set()
+    for words in listed:
+        squares = {w: (n * (1 + log((len(templates) + 1) / (of[w] + 1)))) ** 2 for w, n in Counter(words).items()}
+        # function words outweigh all others in long texts
+        left, chosen = sum(v for w, v in squares.items() if len(words) <= HEADER_WORDS or w not in COMMON), set()
+        least = (threshold - 10**-DECIMALS) ** 2 * left * (1 - 1e-9)
+        # heavy words first, among short templates' those that are looked for anyway
+        for w in sorted(squares.keys() - COMMON, key=lambda w: (len(words) <= HEADER_WORDS and w not in known, -squares[w], w)):
+            if left < least:
+                break
+            chosen.add(w)
+            left -= squares[w]
+        known |= chosen
+        out.append((words, squares, chosen))
+    return out
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern for any of the words as a whole one, by first letters."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    inner = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
+    return rf"(?<![a-z0-9])(?:{inner})(?![a-z0-9])"
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often and deep ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def weights(lines: DataFrame, idf: DataFrame, idf_else: Column) -> DataFrame:
     """(key, word, weight, norm) of the words of each line; ``lines``: key, words."""
     counted = lines.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -75,70 +256,165 @@ def scan(
     answered each. Further columns are ignored.
     """
     spark = df.sparkSession
-    files = df.select(F.col(id_col).alias("doc"), path.alias("path"), F.col(text_col).alias("text"))
-    # what a row needs later is small: its telling lines and its size
-    telling = F.lit(r"\b(" + "|".join(TELLING) + r")\b")
-    lines = F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)),
-        lambda x: F.regexp_like(F.lower(x), telling),
+    looked = sought(templates, threshold)
+    every_word = set().union(*[chosen for _, _, chosen in looked])
+    short = [i for i, (words, _, _) in enumerate(looked) if 0 < len(words) <= HEADER_WORDS]
+    of_short = set(short)
+    reach = max((len(looked[i][0]) for i in short), default=1)
+    starts = set().union(*[looked[i][2] for i in short])
+
+    # a template can only be near where the text, and so any part of it, shares enough of its squared weight
+    bounds = [
+        {
+            "squares": [{"word": w, "square": v} for w, v in squares.items() if i in of_short or w in chosen],
+            "least": (threshold - 10**-DECIMALS) ** 2 * sum(squares.values()) * (1 - 1e-9) if i in of_short else 0.0,
+        }
+        for i, (_, squares, chosen) in enumerate(looked)
+    ]
+    bound = F.from_json(F.lit(dumps(bounds)), "array<struct<squares:array<struct<word:string,square:double>>,least:double>>")
+    vocabulary = F.array(*[F.lit(w) for w in sorted({x["word"] for t in bounds for x in t["squares"]})]).cast("array<string>")
+    shared = lambda squares, words: F.aggregate(
+        F.filter(squares, lambda s: F.array_contains(words, s["word"])), F.lit(0.0), lambda total, s: total + s["square"]
     )
+    holds = let(
+        F.array_intersect(words_of(F.col("text")), vocabulary),
+        lambda common: F.exists(bound, lambda t: shared(t["squares"], common) > t["least"]),
+    )
+    asks = F.regexp_like(F.lower("text"), F.lit(any_of(every_word))) if every_word else F.lit(False)
+    files = df.select(F.col(id_col).alias("doc"), path.alias("path"), F.col(text_col).alias("text"))
+    files = files.withColumn("asks", F.coalesce(F.when(asks, holds), F.lit(False)))
+    # only texts that are compared are kept; equal texts share a key
     files = materialise(
-        files.select(
-            "doc",
-            "path",
-            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).alias("n_words"),
-            F.array_distinct(lines).alias("lines"),
-        )
+        files.select("doc", "path", F.when(F.col("asks"), F.sha2("text", 256)).alias("text_key"), F.when(F.col("asks"), F.col("text")).alias("text"))
     )
+    texts = files.where("text_key is not null").select("text_key", "text")
 
-    bank = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "key long, license string, line string")
-    bank_words = bank.select("key", words_of(F.col("line")).alias("words"))
-    seen = bank_words.select("key", F.explode(F.array_distinct("words")).alias("word"))
+    bank = spark.createDataFrame(
+        [(i, name, looked[i][0], *MARKS.get(name, ([], []))) for i, (name, _) in enumerate(templates)],
+        "key long, license string, words array<string>, must array<array<string>>, never array<string>",
+    )
+    seen = bank.select("key", F.explode(F.array_distinct("words")).alias("word"))
     n = len(templates)
     idf = seen.groupBy("word").agg((F.lit(1.0) + F.log(F.lit(float(n + 1)) / (F.count(F.lit(1)) + 1))).alias("idf"))
     rare = F.lit(1.0) + F.log(F.lit(float(n + 1)))  # a word of no template
+    marks = sorted({w for must, never in MARKS.values() for ws in [*must, never] for w in ws})
+    marked = lambda words: F.array_intersect(words, F.array(*[F.lit(w) for w in marks]))
+    joined = lambda words: F.sha2(F.array_join(words, " "), 256)
+
+    # every line, by its words
+    split_up = let(
+        F.transform(F.split("text", "\n"), lambda x: words_of(x)),
+        lambda found: F.struct(found.alias("line_words"), F.transform(found, lambda x: joined(x)).alias("line_keys")),
+    )
+    held = F.array(*[F.lit(w) for w in sorted(starts)]).cast("array<string>")
+    zipped = let(split_up, lambda t: F.arrays_zip(t["line_words"].alias("line_words"), t["line_keys"].alias("line_keys")))
+    of_lines = texts.select("text_key", F.explode(zipped).alias("line")).select(
+        "text_key",
+        F.col("line.line_keys").alias("unit"),
+        F.lit(None).cast("string").alias("within"),
+        F.col("line.line_words").alias("words"),
+    )
+    of_lines = of_lines.where(F.arrays_overlap("words", held))
 
-    # each distinct line once, whoever carries it
-    distinct = files.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("files"))
-    line_words = distinct.select(F.col("line").alias("key"), words_of(F.col("line")).alias("words"))
-    of_lines = weights(line_words, idf, rare)
-    of_bank = weights(bank_words, idf, rare).join(bank.select("key", "license"), "key")
-    of_bank = of_bank.select(F.col("key").alias("template"), "license", "word", F.col("weight").alias("w2"), F.col("norm").alias("n2"))
+    # windows: texts in pieces as long as the longest header, with as many words before and after
+    stream = let(
+        split_up,
+        lambda t: F.flatten(
+            F.transform(
+                t["line_words"],
+                lambda ws, i: let(
+                    F.element_at(t["line_keys"], i + 1),
+                    lambda line: F.transform(ws, lambda w: F.struct(w.alias("w"), line.alias("line"), i.alias("i"))),
+                ),
+            )
+        ),
+    )
+    piece = lambda words, at: F.struct(
+        F.least(at, F.lit(reach)).alias("before"),
+        F.slice(words, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + 2 * reach).alias("near"),
+    )
+    cut = let(
+        stream, lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(reach)), lambda at: piece(words, at))
+    )
+    pieces = texts.select("text_key", F.explode(cut).alias("piece"))
+    pieces = pieces.select("text_key", F.col("piece.before").alias("before"), F.col("piece.near").alias("near"))
+    own_word = lambda s: (s["k"] >= F.col("before")) & (s["k"] < F.col("before") + reach) & F.array_contains(held, s["w"])
+    hits = pieces.select(
+        "text_key",
+        "near",
+        F.explode(F.filter(F.transform("near", lambda s, k: F.struct(s["w"].alias("w"), k.alias("k"))), own_word)).alias("hit"),
+    ).select("text_key", "near", F.col("hit.w").alias("start"), F.col("hit.k").alias("k"))
+    headers = spark.createDataFrame(
+        [
+            (w, looked[i][0].index(w), len(looked[i][0]), list(looked[i][1].items()), (threshold - 10**-DECIMALS) ** 2 * sum(looked[i][1].values()) * (1 - 1e-9))
+            for i in short
+            for w in sorted(looked[i][2])
+        ],
+        "start string, place int, n int, squares array<struct<word:string,square:double>>, least double",
+    )
+    first = F.greatest(F.col("k") - F.col("place"), F.lit(0))
+    window = F.slice("near", first + 1, F.least(F.col("k") - F.col("place") + F.col("n"), F.size("near")) - first)
+    of_windows = (
+        hits.join(F.broadcast(headers), "start")
+        .select("text_key", window.alias("window"), "squares", "least")
+        .select(
+            "text_key",
+            F.when(F.element_at("window", 1)["i"] == F.element_at("window", -1)["i"], F.element_at("window", 1)["line"]).alias("within"),
+            F.transform("window", lambda s: s["w"]).alias("words"),
+            "squares",
+            "least",
+        )
+        .where(let(F.col("words"), lambda words: shared(F.col("squares"), words)) >= F.col("least"))
+        .select("text_key", joined(F.col("words")).alias("unit"), "within", "words")
+    )
+    runs = of_lines.unionByName(of_windows).select("text_key", "unit", "within", "words")
+    runs = materialise(runs.dropDuplicates(["text_key", "unit", "within"]))
+
+    # each distinct run once, whoever carries it; equal whole texts add up, which leaves their cosine as it is
+    whole = texts.select(F.concat(F.lit("text "), "text_key").alias("key"), words_of(F.col("text")).alias("words"))
+    units = runs.select(F.col("unit").alias("key"), "words").dropDuplicates(["key"])
+    of_units = weights(units.unionByName(whole), idf, rare)
+    of_bank = weights(bank.select("key", "words"), idf, rare)
+    of_bank = of_bank.select(F.col("key").alias("template"), "word", F.col("weight").alias("w2"), F.col("norm").alias("n2"))
     cosine = F.round(F.sum(F.col("weight") * F.col("w2")) / F.first("norm") / F.first("n2"), DECIMALS)
+    near = of_units.join(F.broadcast(of_bank), "word").groupBy("key", "template").agg(cosine.alias("similarity"))
+    near = near.where(F.col("similarity") >= threshold).join(
+        F.broadcast(bank.select(F.col("key").alias("template"), "license", "must", "never")), "template"
+    )
+    spoken = units.select("key", marked(F.col("words")).alias("marks")).unionByName(
+        whole.select("key", marked(F.slice("words", 1, TITLE_WORDS)).alias("marks")).dropDuplicates(["key"])
+    )
+    agree = F.forall("must", lambda any_word: F.arrays_overlap(any_word, "marks")) & ~F.arrays_overlap("never", "marks")
     matched = (
-        of_lines.join(F.broadcast(of_bank), "word")
-        .groupBy("key", "template", "license")
-        .agg(cosine.alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+        near.join(spoken, "key")
+        .where(agree)
         .groupBy("key")
-        .agg(F.max(F.col("similarity")).alias("similarity"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own_license"))
-    )
-    matched = materialise(matched.select(F.col("key").alias("line"), "similarity", "own_license"))
-
-    # the best line of each file; files without lines never reach the join
-    carried = files.where(F.size("lines") > 0).select("doc", "path", "n_words", F.explode("lines").alias("line"))
-    best = (
-        carried.join(matched, "line")
-        .groupBy("doc", "path", "n_words")
-        .agg(
-            F.min(
-                F.struct(
-                    (-F.col("similarity")).alias("far"),
-                    "own_license",
-                    F.size(F.split("line", r"\s+")).alias("line_words"),
-                )
-            ).alias("best")
-        )
-        .select(
-            "doc",
-            "path",
-            "n_words",
-            F.col("best.own_license").alias("own_license"),
-            (-F.col("best.far")).alias("similarity"),
-            (F.col("best.line_words") >= FILE_SHARE * F.col("n_words")).alias("licence_file"),
-        )
+        .agg(F.max("similarity").alias("similarity"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own_license"))
+    )
+    matched = materialise(matched)
+
+    # the whole text, else the best line or window outside lines that are licenses as a whole
+    unit = matched.withColumnRenamed("key", "unit")
+    asked = runs.select("text_key", "unit", "within").join(unit, "unit")
+    asked = asked.where("within is null").unionByName(
+        asked.where("within is not null").join(unit.select(F.col("unit").alias("within")), "within", "left_anti").select(asked.columns)
+    )
+    says = lambda part: F.struct(F.lit(part).alias("part"), (-F.col("similarity")).alias("far"), "own_license")
+    best = asked.select("text_key", says(1).alias("said")).unionByName(
+        matched.where("key like 'text %'").select(F.substring("key", 6, 64).alias("text_key"), says(0).alias("said"))
+    )
+    best = best.groupBy("text_key").agg(F.min("said").alias("said")).select(
+        "text_key",
+        F.col("said.own_license").alias("own_license"),
+        (-F.col("said.far")).alias("similarity"),
+        (F.col("said.part") == 0).alias("licence_file"),
+    )
+    rows = files.select("doc", "path", "text_key")
+    # rows that are not compared skip the join
+    silent = rows.where("text_key is null").select(
+        "doc", "path", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("licence_file")
     )
-    best = materialise(best)
+    best = materialise(rows.where("text_key is not null").join(best, "text_key", "left").drop("text_key"))
 
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     speakers = (
@@ -160,18 +436,7 @@ def scan(
         .agg(F.max_by(F.struct("license", "source"), "depth").alias("given"))
         .select(F.col("start").alias("folder"), F.col("given.license").alias("given"), F.col("given.source").alias("source"))
     )
-    own = best.select("doc", "path", "n_words", "own_license", "similarity", "licence_file").withColumnRenamed("n_words", "words")
-    rows = files.select("doc", "path", "n_words", folder.alias("folder"), (F.size("lines") > 0).alias("asks"))
-    # rows that carry no telling line skip the join
-    carrying = rows.where("asks").join(
-        own,
-        rows["doc"].eqNullSafe(own["doc"]) & rows["path"].eqNullSafe(own["path"]) & (rows["n_words"] == own["words"]),
-        "left",
-    ).select(rows["doc"], rows["path"], "folder", "own_license", "similarity", "licence_file")
-    silent = rows.where("not asks").select(
-        "doc", "path", "folder", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("licence_file")
-    )
-    every = carrying.unionByName(silent).join(nearest, "folder", "left")
+    every = best.unionByName(silent).withColumn("folder", folder).join(nearest, "folder", "left")
     return every.select(
         F.col("doc").alias(id_col),
         "path",

@@ -170,6 +170,32 @@ def test_license_cosine_against_plain_python(spark):
         assert abs(found[i]["similarity"] - (best if best >= licenses.THRESHOLD else 0)) < 1e-5
 
 
+def test_whole_license_texts_wrapped_headers_and_variants(spark):
+    full = dict(licenses.TEMPLATES[len(licenses.HEADERS) :])
+    gpl3 = next(t for n, t in licenses.HEADERS if n == "GPL-3.0" and "any later version" in t and "WARRANTY" in t)
+    prose = "ordinary words about nothing in particular " * 40
+    wrap = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        (1, "m/LICENSE", full["MIT"].replace("<year> <copyright holders>", "2020 Somebody"), ("MIT", True)),
+        (2, "m/x.c", "int main;", (None, False)),
+        (3, "g/COPYING", full["GPL-3.0"], ("GPL-3.0", True)),
+        (4, "h/COPYING", full["AGPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1), ("AGPL-3.0", True)),
+        (5, "s/a.c", wrap(gpl3, 7) + "\n" + prose, ("GPL-3.0", False)),
+        (6, "s/b.c", prose + "Released under the MIT License. " + prose, ("MIT", False)),
+        (7, "s/c.c", wrap(gpl3.replace("version 3", "version 2"), 9) + "\n" + prose, ("GPL-2.0", False)),
+        (8, "s/d.c", wrap(gpl3.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), 8) + "\n" + prose, ("LGPL-2.1", False)),
+        (9, "s/e.c", prose + "\nLicensed under CC BY 4.0.", ("CC-BY-4.0", False)),
+        (10, "s/f.c", prose + "\nLicensed under the Apache License, Version 1.1.", (None, False)),
+        (11, "p/LICENSE", full["Apache-2.0"], ("Apache-2.0", True)),
+        (12, "l/LICENSE", full["BSD-2-Clause"], ("BSD-2-Clause", True)),
+        (13, "s/g.c", prose, (None, False)),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(df, df["path"]).collect()}
+    assert {i: (r["own_license"], r["licence_file"]) for i, r in found.items()} == {r[0]: r[3] for r in rows}
+    assert found[2]["license"] == "MIT" and found[2]["inherited_from"] == "m/LICENSE" and found[13]["license"] is None
+
+
 # ---- pipeline
 
 
