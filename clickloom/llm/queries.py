@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import ann, bpe, html_text, lang_id, licenses, media, near_dups, packing, pii, toxicity
+from clickloom.llm import ann, bpe, divergence, html_text, lang_id, licenses, media, near_dups, packing, pii, toxicity
 from clickloom.llm.common import prepare, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(prepare(spark), sf_dir, "documents"), words=4)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Plan] = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Plan] = {
     "op8_licenses": op8_licenses,
     "op9_html": op9_html,
     "op10_near_dups": op10_near_dups,
+    "op12_divergence": op12_divergence,
 }
 
 NEAR_DUPS_SQL = r"""
@@ -87,4 +92,28 @@ SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y,
   doc_id <= coalesce(y, doc_id) AS kept
 FROM sets LEFT JOIN least_of ON x = doc_id"""
 
-ORACLE: dict[str, str] = {"op10_near_dups": NEAR_DUPS_SQL}
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS whole FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(whole) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS c FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+cell AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, whole,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (whole + 2)) // (v.n + 2 * v.v) AS q
+  FROM g JOIN kept ON g.lang = kept.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+t AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM cell WHERE c > 0 AND p > q),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM pr))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE: dict[str, str] = {"op10_near_dups": NEAR_DUPS_SQL, "op12_divergence": DIVERGENCE_SQL}

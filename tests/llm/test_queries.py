@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_one_query_per_operator():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
