@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import ann, bpe, divergence, html_text, lang_id, licenses, media, near_dups, packing, pii, toxicity
+from clickloom.llm import (
+    ann,
+    bpe,
+    divergence,
+    html_text,
+    lang_id,
+    licenses,
+    media,
+    near_dups,
+    packing,
+    pii,
+    prefix_trie,
+    repeats,
+    toxicity,
+)
 from clickloom.llm.common import prepare, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -56,10 +70,18 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(prepare(spark), sf_dir, "documents"), words=4)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(prepare(spark), sf_dir, "documents"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Plan] = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
@@ -71,7 +93,9 @@ QUERIES: dict[str, Plan] = {
     "op8_licenses": op8_licenses,
     "op9_html": op9_html,
     "op10_near_dups": op10_near_dups,
+    "op11_trie": op11_trie,
     "op12_divergence": op12_divergence,
+    "op13_repeats": op13_repeats,
 }
 
 NEAR_DUPS_SQL = r"""
@@ -116,4 +140,44 @@ pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.val
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM pr))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
 
-ORACLE: dict[str, str] = {"op10_near_dups": NEAR_DUPS_SQL, "op12_divergence": DIVERGENCE_SQL}
+TRIE_SQL = r"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 100 AS base,
+    list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), k, 1)) AS BIGINT)) AS bytes FROM own),
+crc AS (SELECT c, base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h FROM ids),
+turns AS (SELECT crc.c, 0 AS side, i, role, text FROM crc JOIN own ON own.c = base AND i <= h
+  UNION ALL SELECT crc.c, 1, i, role, text FROM crc JOIN own ON own.c = crc.c AND i > h),
+built AS (SELECT c, list({'role': role, 'text': text} ORDER BY side, i) AS ts FROM turns GROUP BY c),
+every AS (SELECT crc.c, coalesce(ts, []) AS ts FROM crc LEFT JOIN built ON built.c = crc.c),
+steps AS (SELECT c, len(ts) AS n, d, ts[1:d] AS k, CASE WHEN d > 0 THEN length(ts[d].text) ELSE 0 END AS chars
+  FROM every, unnest(range(0, len(ts) + 1)) AS u(d)),
+nodes AS (SELECT k, d, min(c) AS c, count(*) AS n_convs, max(chars) AS chars, count(*) FILTER (n = d) AS n_ends,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM steps GROUP BY k, d),
+below AS (SELECT a.k, count(*) FILTER (b.d = a.d + 1) AS n_children, count(*) FILTER (b.n_ends = b.n_convs) AS n_leaves,
+    sum((b.n_convs - 1) * b.chars) AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY a.k)
+SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n_convs, n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN below ON below.k = a.k LEFT JOIN nodes p ON a.d > 0 AND p.d = a.d - 1 AND p.k = a.k[1:a.d - 1]"""
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT row, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM d, unnest(range(1, len(ws) - 11)) AS u(i)),
+first_in AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+gone AS (SELECT DISTINCT row, i + j AS i FROM w JOIN first_in USING (k), range(0, 13) AS r(j) WHERE doc_id > least),
+words AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)"""
+
+ORACLE: dict[str, str] = {
+    "op10_near_dups": NEAR_DUPS_SQL,
+    "op11_trie": TRIE_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
+    "op13_repeats": REPEATS_SQL,
+}
