@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from clickloom.session import materialise, work_path
 LEAST_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-STRIPE_CELLS = 400_000  # (term, source) cells a task holds before it spills
+STRIPE_CELLS = 1_000_000  # (term, source) cells a task holds before it spills
+SPILL_ROWS = 8_192
+MERGE_ROWS = 16_384  # rows merged in one step
 BLOCK = 128  # sources of a block
 SALT_TERMS = 8_192  # terms added up under one key
 PIECE = 1 << 20  # bytes of a text handled at once
@@ -41,12 +44,12 @@ for _c in range(65, 91):
     _LETTERS[_c] = _LETTERS[_c + 32] = _c + 32
 _LETTERS = bytes(_LETTERS)
 
+_STRIPE_NAMES = ["lang", "term", "docs", "sources", "counts"]
 STRIPES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def term_counts(raw: bytes) -> Counter:
-    """Terms of a text: runs of letters A-Z, a-z and of all characters beyond ASCII; A-Z count as a-z."""
-    found: Counter = Counter()
+def term_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """Terms of a text, piece by piece: runs of letters A-Z, a-z and of all characters beyond ASCII; A-Z count as a-z."""
     at = 0
     while at < len(raw):
         piece = raw[at : at + PIECE].translate(_LETTERS)
@@ -56,93 +59,122 @@ def term_counts(raw: bytes) -> Counter:
             if not end:
                 piece = raw[at:].translate(_LETTERS)
                 end = piece.find(b" ") + 1 or len(piece)
-        found.update(piece[:end].split())
+        yield piece[:end].split()
         at += end
-    return found
 
 
-def _rows(stripes: dict[str, dict[bytes, list]], flush: int = 8_192) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for lang, table in stripes.items():
-        for term, (docs, cells) in table.items():
-            held.append((lang, term, docs, list(cells), list(cells.values())))
-            if len(held) >= flush:
-                yield _batch(held)
-                held = []
-    if held:
-        yield _batch(held)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, docs, sources, counts = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(lang, pa.string()),
-            pa.array(term, pa.binary()).cast(pa.string()),
-            pa.array(docs, pa.int64()),
-            pa.array(sources, pa.list_(pa.string())),
-            pa.array(counts, pa.list_(pa.int64())),
-        ],
-        ["lang", "term", "docs", "sources", "counts"],
-    )
+def _stripe_rows(docs: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+    """What a task holds as stripes; ``counts`` is emptied on the way."""
+    for lang, of_lang in docs.items():
+        table: dict[bytes, tuple[list, list]] = {}
+        for key in [k for k in counts if k[0] == lang]:
+            for term, n in counts.pop(key).items():
+                stripe = table.get(term)
+                if stripe is None:
+                    table[term] = [key[1]], [n]
+                else:
+                    stripe[0].append(key[1])
+                    stripe[1].append(n)
+        terms = list(table)
+        for at in range(0, len(terms), SPILL_ROWS):
+            some = terms[at : at + SPILL_ROWS]
+            cells = [table[t] for t in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(some), pa.string()),
+                    pa.array(some, pa.binary()).cast(pa.string()),
+                    pa.array([of_lang[t] for t in some], pa.int64()),
+                    pa.array([c[0] for c in cells], pa.list_(pa.string())),
+                    pa.array([c[1] for c in cells], pa.list_(pa.int64())),
+                ],
+                names=_STRIPE_NAMES,
+            )
 
 
 def _fold(most_cells: int):
     """Whole documents into stripes; ``most_cells`` bounds what is held besides the document at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[str, dict[bytes, list]] = {}
+        docs: dict[str, Counter] = {}
+        counts: dict[tuple[str, str], Counter] = {}
         cells = 0
         for batch in batches:
             raw, off = utf8_buffers(batch.column("text"))
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            for i, (lang, source) in enumerate(zip(langs, sources)):
-                table = stripes.setdefault(lang, {})
-                for term, n in term_counts(raw[off[i] : off[i + 1]].tobytes()).items():
-                    stripe = table.get(term)
-                    if stripe is None:
-                        table[term] = [1, {source: n}]
-                        cells += 1
-                        continue
-                    stripe[0] += 1
-                    of = stripe[1]
-                    if source in of:
-                        of[source] += n
-                    else:
-                        of[source] = n
-                        cells += 1
+            for i, key in enumerate(zip(langs, sources)):
+                count, distinct = counts.setdefault(key, Counter()), set()
+                cells -= len(count)
+                for terms in term_lists(raw[off[i] : off[i + 1]].tobytes()):
+                    count.update(terms)
+                    distinct.update(terms)
+                cells += len(count)
+                docs.setdefault(key[0], Counter()).update(distinct)
                 if cells >= most_cells:
-                    yield from _rows(stripes)
-                    stripes, cells = {}, 0
-        yield from _rows(stripes)
+                    yield from _stripe_rows(docs, counts)
+                    docs, counts, cells = {}, {}, 0
+        yield from _stripe_rows(docs, counts)
 
     return run
 
 
+def _merged(rows: pa.Table, least_docs: int) -> pa.RecordBatch:
+    """One row per key of rows sorted by key; all keys below ``least_docs`` documents go but the last, which may go on."""
+    lang, term, docs, sources, counts = (rows.column(c).combine_chunks() for c in _STRIPE_NAMES)
+    n = rows.num_rows
+    first = np.ones(n, bool)
+    if n > 1:
+        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(term.slice(1), term.slice(0, n - 1)))
+        first[1:] = ~same.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(first)
+    total = np.add.reduceat(docs.to_numpy(), starts)
+    stay = total >= least_docs
+    stay[-1] = True
+    group = np.cumsum(first) - 1
+    use = np.flatnonzero(stay[group])
+    number = (np.cumsum(stay) - 1)[group[use]]
+    sources, counts = sources.take(pa.array(use)), counts.take(pa.array(use))
+    sizes = np.diff(sources.offsets.to_numpy())
+    names = sources.flatten().dictionary_encode()
+    code = np.repeat(number, sizes) * len(names.dictionary) + names.indices.to_numpy()
+    cells, place = np.unique(code, return_inverse=True)
+    sums = np.zeros(len(cells), np.int64)
+    np.add.at(sums, place, counts.flatten().to_numpy())
+    owner, name = np.divmod(cells, max(1, len(names.dictionary)))
+    offsets = pa.array(np.searchsorted(owner, np.arange(int(stay.sum()) + 1)), pa.int32())
+    keys = pa.array(starts[stay])
+    return pa.RecordBatch.from_arrays(
+        [
+            lang.take(keys),
+            term.take(keys),
+            pa.array(total[stay], pa.int64()),
+            pa.ListArray.from_arrays(offsets, names.dictionary.take(pa.array(name))),
+            pa.ListArray.from_arrays(offsets, pa.array(sums)),
+        ],
+        names=_STRIPE_NAMES,
+    )
+
+
 def _merge(least_docs: int):
-    """Stripes sorted by (language, term) into one per key; those in fewer than ``least_docs`` documents go."""
+    """Stripes sorted by (language, term) into one per key; those in fewer than ``least_docs`` documents go.
+
+    Only the stripe of the last key is held from one step to the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, cells = None, 0, {}
-        done: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")]
-            for lang, term, n, sources, counts in zip(*columns):
-                if (lang, term) != key:
-                    if docs >= least_docs:
-                        done.append((key[0], key[1].encode(), docs, list(cells), list(cells.values())))
-                    key, docs, cells = (lang, term), n, dict(zip(sources, counts))
-                    continue
-                docs += n
-                for source, count in zip(sources, counts):
-                    cells[source] = cells.get(source, 0) + count
-            if len(done) >= 4_096:
-                yield _batch(done)
-                done = []
-        if docs >= least_docs:
-            done.append((key[0], key[1].encode(), docs, list(cells), list(cells.values())))
-        if done:
-            yield _batch(done)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= MERGE_ROWS:
+                done = _merged(pa.Table.from_batches(held), least_docs)
+                yield done.slice(0, done.num_rows - 1)
+                held, rows = [done.slice(done.num_rows - 1)], 1
+        if held:
+            done = _merged(pa.Table.from_batches(held), least_docs)
+            yield done if done.column("docs")[-1].as_py() >= least_docs else done.slice(0, done.num_rows - 1)
 
     return run
 
