@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash_words(raw: np.ndarray) -> np.ndarray:
     solid = ~_SPACE[raw]
-    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
+    edge = np.diff(np.pad(solid.view(np.int8), 1))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out = np.empty((DEPTH, len(starts)), U64)
     if not len(starts):
@@ -125,7 +126,7 @@ def _raw_rows(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 
 def _alone(texts: pa.Table, notes: pa.Table) -> np.ndarray:
     """Rows of the bucket that are not copies of a smaller id's text and have an id."""
-    copies = set(notes.filter(pa.compute.equal(notes.column("kind"), 0)).column("row").to_pylist())
+    copies = set(notes.filter(pc.equal(notes.column("kind"), 0)).column("row").to_pylist())
     return np.array([r not in copies and d is not None for r, d in zip(texts.column("row").to_pylist(), texts.column("doc").to_pylist())], bool)
 
 
@@ -207,7 +208,7 @@ def _segments(block: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _places(notes: pa.Table, row: int, width_bits: int) -> np.ndarray:
     """Which of the 2^bits counters of a sketch row reached two, as far as the bucket touches them, rising."""
-    mine = notes.filter(pa.compute.equal(notes.column("kind"), 1))
+    mine = notes.filter(pc.equal(notes.column("kind"), 1))
     parts = sorted((p & ((1 << 48) - 1), d) for p, d in zip(mine.column("part").to_pylist(), mine.column("data").to_pylist()) if p >> 48 == row)
     return np.concatenate([np.empty(0, np.int64), *((p << SEGMENT_BITS) + unpack_places(d) for p, d in parts)])
 
@@ -294,7 +295,7 @@ def _remove(window: int, with_text: bool):
     def work(texts: pa.Table, notes: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _RESULT.empty_table()
-        told = notes.filter(pa.compute.equal(notes.column("kind"), 2))
+        told = notes.filter(pc.equal(notes.column("kind"), 2))
         parts = [np.frombuffer(d, np.int64).reshape(3, -1) for d in told.column("data").to_pylist()]
         known = np.concatenate([np.empty((3, 0), np.int64), *parts], axis=1)
         keys = known[:2].view(U64)
