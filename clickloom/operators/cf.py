@@ -1,35 +1,21 @@
 """Neighbourhood recommendation from co-occurrence.
 
 Two members (items, or users) are similar through the groups (users, or items)
-that hold both. Groups meet as packed blocks and are multiplied tile by tile
-(``tiles``), so no pair of members is a row, however many groups are large. The few
-largest are folded into a short profile per member on top, which gives the same
-answer without touching their squares:
-
-* a pair that also meets in an ordinary group adds the product of its profiles;
-* a pair that meets in large groups only scores (profile_i . profile_j) / norms,
-  so for members with equal profiles the best partners are the ones with the
-  smallest norm, and k + 1 of them per profile are enough for a top k.
+that hold both. ``partners`` finds the best of every member by bounds: no pair of
+members is a row, and a group that holds everybody costs each member a few places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.partners import best_partners
 from clickloom.operators.slices import first_n
-from clickloom.operators.tiles import BLOCK as TILE
-from clickloom.operators.tiles import SLICE_CELLS, best_partners
 from clickloom.session import materialise
 
 NEIGHBOURS = 10
 RECOMMENDED = 100
-LARGE_GROUP = 20_000  # members; larger groups are folded into profiles
-MAX_PROFILE = 4  # groups in a profile
-MAX_PATTERNS = 512  # distinct profiles that may meet each other
 BLOCK = 256  # members of a group on one side of one join key
 
 
@@ -54,12 +40,6 @@ def squared_norms(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy(F.col("item_id").alias("member")).agg(F.sum("squares").alias("norm"))
 
 
-def large_groups(cells: DataFrame, large: int = LARGE_GROUP, at_most: int = MAX_PROFILE) -> list:
-    """Ids of the few largest groups with more than ``large`` members."""
-    sizes = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
-    return [r["grp"] for r in sizes.orderBy(F.col("n").desc(), "grp").limit(at_most).collect()]
-
-
 def group_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, dot) with a < b, over all groups of ``cells`` (grp, member, weight).
 
@@ -84,72 +64,17 @@ def group_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
 
 
-def _profiles(cells: DataFrame, large: Sequence) -> DataFrame:
-    """One row per member of a large group: its weight in each of them."""
-    hot = cells.where(F.col("grp").isin(*large))
-    return hot.groupBy("member").agg(
-        *[F.sum(F.when(F.col("grp") == g, F.col("weight")).otherwise(0.0)).alias(f"p{i}") for i, g in enumerate(large)]
-    )
-
-
-def _product(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [x * y for x, y in zip(a, b)])
-
-
-def similarity(
-    cells: DataFrame,
-    norms: DataFrame,
-    k: int = NEIGHBOURS,
-    large: int = LARGE_GROUP,
-    max_profile: int = MAX_PROFILE,
-    block: int = TILE,
-    slice_cells: int = SLICE_CELLS,
-) -> DataFrame:
+def similarity(cells: DataFrame, norms: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
     """Top ``k`` partners per member: (member, other, sim, rank).
 
     ``cells`` is (grp, member, weight > 0), one row per pair; ``norms`` is
     (member, norm), and sim = dot / sqrt(norm_a * norm_b). Ties go to the
     smaller id. Weights are divided by their norm before members meet, so sums
-    of products are similarities, and a task keeps the best of its tile.
+    of products are similarities; ``options`` are those of ``partners.best_partners``.
     """
-    norms = norms.where(F.col("norm") > 0)
-    big = large_groups(cells, large, max_profile)
-    if len(big) > 1 and _profiles(cells, big).drop("member").distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        big = big[:1]
-    names = [f"p{i}" for i in range(len(big))]
-    unit = cells.join(norms, "member").withColumn("weight", F.col("weight") / F.sqrt("norm"))
-    profile = _profiles(cells, big) if big else None
-    if profile is not None:
-        unit = unit.where(~F.col("grp").isin(*big)).join(profile, "member", "left")
-        unit = unit.withColumns({p: F.coalesce(p, F.lit(0.0)) / F.sqrt("norm") for p in names})
-    best = best_partners(unit.select("grp", "member", "weight", *names), norms, k, names, block, slice_cells)
-    if profile is None:
-        return best
-    found = best.drop("rank").unionByName(_profile_partners(profile, norms, names, k))
-    found = found.groupBy("member", "other").agg(F.max("sim").alias("sim"))
-    return first_n(found, ["member"], [F.round("sim", 12).desc(), F.col("other")], k)
-
-
-def _profile_partners(profile: DataFrame, norms: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """The best partners by the large groups alone, up to k + 1 candidates per member."""
-    known = profile.join(norms, "member")
-    if len(names) == 1:
-        # p_j / sqrt(norm_j) orders the partners of every member alike
-        pool = known.orderBy(F.round(F.col(names[0]) / F.sqrt("norm"), 12).desc(), "member").limit(k + 1)
-    else:
-        pool = first_n(known, names, [F.col("norm"), F.col("member")], k + 1).drop("rank")
-    # at most MAX_PATTERNS * (k + 1) entries
-    entries = pool.agg(
-        F.collect_list(F.struct(*[F.col(c).alias(f"o_{c}") for c in names], F.col("member").alias("other"), F.col("norm").alias("o_norm")))
-    )
-    patterns = known.select(*names).distinct()
-    score = _product([F.col(c) for c in names], [F.col(f"o_{c}") for c in names])
-    met = patterns.select("*", F.explode(entries.scalar()).alias("_o")).select(*names, "_o.*")
-    met = met.withColumn("_score", score).where(F.col("_score") > 0)
-    short = first_n(met, names, [F.round(F.col("_score") / F.sqrt("o_norm"), 12).desc(), F.col("other")], k + 1)
-    return known.join(short, list(names)).where(F.col("member") != F.col("other")).select(
-        "member", "other", (F.col("_score") / F.sqrt(F.col("norm") * F.col("o_norm"))).alias("sim")
-    )
+    known = cells.join(norms.where(F.col("norm") > 0), "member")
+    unit = known.select("grp", "member", (F.col("weight") / F.sqrt("norm")).alias("weight"))
+    return best_partners(unit, k, **options)
 
 
 def item_cells(ratings: DataFrame) -> DataFrame:

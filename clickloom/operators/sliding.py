@@ -1,9 +1,12 @@
 """Counts over the last 5 minutes and the last hour, in one-minute buckets.
 
 A bucket counts while its start is not older than the event minus the span, so
-an event exactly on a minute sees one bucket more. Events are first summed to
-one row per (key, minute, slot of the minute); the wide windows run over those
-rows only, and the running count inside a slot is the only one over events.
+an event exactly on a minute sees one bucket more. The sums are built in two levels, so
+a key that holds most events is never one sort:
+
+* events are sorted by (key, time) in blocks, and a key may lie in several; inside a block a running count starts
+  anew with every minute, and one row per (key, minute, block) carries what the earlier blocks counted in that minute;
+* minutes are summed over spans inside one (key, hour), with the minutes of the hour before as border.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import MINUTE_MS, event_kind, minute_index
+from clickloom.session import materialise
 
 ORDER = ["ts", "arrival", "pos"]
 SPANS = {"5min": 5, "1h": 60}
 STAT_TTL_MS = 2 * 3_600_000
-SLOT_MS = 1_000  # a minute of a hot key is counted in slots of this length
 
 
 def _qualifying(dwd: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,28 +37,39 @@ def _qualifying(dwd: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def sliding_stat(
-    dwd: DataFrame, keys: Sequence[str], measures: Sequence[str] = ("pv", "click"), slot_ms: int = SLOT_MS
-) -> DataFrame:
-    """One row per qualifying event with ``{measure}_{span}`` counts."""
-    rows = _qualifying(dwd, keys).withColumn("slot", F.floor(F.pmod("ts", F.lit(MINUTE_MS)) / slot_ms))
-    buckets = rows.groupBy(*keys, "minute", "slot").agg(*[F.sum(m).alias(m) for m in measures])
-    sooner = Window.partitionBy(*keys, "minute").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(*keys).orderBy("minute")
+def _spans(minutes: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """(keys, minute, ``_{measure}_{span}_{edge}``): what the minutes before each minute of a key add to its spans."""
+    hours = F.explode(F.array(F.lit(0), F.lit(1))).alias("_border")  # no span reaches further than the hour before
+    hour = F.floor(F.col("minute") / 60)
+    rows = minutes.select("*", hours).withColumn("_hour", hour + F.col("_border"))
+    over = Window.partitionBy(*keys, "_hour").orderBy("minute")
     back = []
     for m in measures:
         for name, n in SPANS.items():
             for edge in (0, 1):
                 frame = over.rangeBetween(-(n - 1 + edge), -1)
                 back.append(F.coalesce(F.sum(m).over(frame), F.lit(0)).alias(f"_{m}_{name}_{edge}"))
-    back += [F.coalesce(F.sum(m).over(sooner), F.lit(0)).alias(f"_{m}_sooner") for m in measures]
-    history = buckets.select(*keys, "minute", "slot", *back)
-    here = Window.partitionBy(*keys, "minute", "slot").orderBy(*ORDER).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    return rows.select(*keys, "minute", "_border", *back).where("_border = 0").drop("_border")
+
+
+def sliding_stat(
+    dwd: DataFrame, keys: Sequence[str], measures: Sequence[str] = ("pv", "click"), blocks: int | None = None
+) -> DataFrame:
+    """One row per qualifying event with ``{measure}_{span}`` counts; events are sorted in ``blocks`` blocks."""
+    by = [*keys, *ORDER]
+    rows = _qualifying(dwd, keys)
+    rows = rows.repartitionByRange(blocks, *by) if blocks else rows.repartitionByRange(*by)
+    rows = materialise(rows.withColumn("block", F.spark_partition_id()))
+    place = [*keys, "minute", "block"]
+    counted = rows.groupBy(*place).agg(*[F.sum(m).alias(m) for m in measures])
+    sooner = Window.partitionBy(*keys, "minute").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counted.select(*place, *[F.coalesce(F.sum(m).over(sooner), F.lit(0)).alias(f"_{m}_sooner") for m in measures])
+    minutes = counted.groupBy(*keys, "minute").agg(*[F.sum(m).alias(m) for m in measures])
+    carried = carried.join(_spans(minutes, keys, measures), [*keys, "minute"])
+    here = Window.partitionBy(*place).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("*", *[F.sum(m).over(here).alias(f"_{m}_here") for m in measures])
     on_edge = F.col("ts") % MINUTE_MS == 0
-    joined = rows.join(history, [*keys, "minute", "slot"])
+    joined = rows.join(carried, place)
     return joined.select(
         *keys, *ORDER,
         *[

@@ -106,6 +106,26 @@ def finished(spark: SparkSession, path: str) -> bool:
     return "_SUCCESS" in names_in(spark, path)
 
 
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in its place in one step: readers see the whole of it or none."""
+    system, place = _folder(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not system.rename(draft, place):  # a replay writes the same note again
+        system.delete(place, False)
+        system.rename(draft, place)
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    system, place = _folder(spark, path)
+    stream = system.open(place)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of ours that nothing reads any more."""
     system, place = _folder(spark, path)

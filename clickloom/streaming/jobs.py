@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from clickloom.functions.scalars import MINUTE_MS
 from clickloom.operators.enrich import enrich
 from clickloom.operators.sequences import (
+    QUERY_TTL_MS,
     SEQUENCES,
     as_sequence,
     newest_members,
@@ -60,7 +61,7 @@ def start_features(
     keys: Sequence[str],
     order: Sequence[str],
     ttl_ms: int,
-    compact_every: int = feature_store.COMPACT_EVERY,
+    merge_every: int = feature_store.MERGE_EVERY,
     **trigger,
 ) -> StreamingQuery:
     """Upsert the rows a stateful stream emits into a feature table.
@@ -69,7 +70,7 @@ def start_features(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        feature_store.upsert_batch(batch, path, batch_id, keys, order, F.col(order[0]), ttl_ms, compact_every)
+        feature_store.upsert_batch(batch, path, batch_id, keys, order, F.col(order[0]), ttl_ms, merge_every)
 
     return start_batches(df, write, checkpoint, **trigger)
 
@@ -83,22 +84,24 @@ def _newest(rows: DataFrame, name: str) -> DataFrame:
 
 
 def start_sequences(
-    dwd: DataFrame, name: str, path: str, checkpoint: str, compact_every: int = feature_store.COMPACT_EVERY, **trigger
+    dwd: DataFrame, name: str, path: str, checkpoint: str, merge_every: int = feature_store.MERGE_EVERY, **trigger
 ) -> StreamingQuery:
     """Bounded sequence ``name`` on a stream: one of ``SEQUENCES``, or ``query`` with its repeats.
 
     A batch appends its own newest members per key. Newest-N is associative, so
-    reading merges the batches and cuts again, and so does compaction.
+    reading merges the batches and cuts again, and so does every merge of levels, which
+    also lets go of keys whose newest member is older than the sequence's time to live.
     """
+    ttl_ms = QUERY_TTL_MS if name == QUERY_SEQUENCE else SEQUENCES[name][3]
+
+    def merge(rows: DataFrame) -> DataFrame:
+        kept = _newest(rows.drop("batch_id"), name).drop("rank")
+        return kept.select("*", F.lit(None).cast("long").alias("batch_id"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = query_events(batch) if name == QUERY_SEQUENCE else sequence_events(batch, name)
         feature_store.append_batch(_newest(rows, name).drop("rank"), path, batch_id)
-        if (batch_id + 1) % compact_every == 0:
-            number = F.lit(batch_id).cast("long").alias("batch_id")
-            feature_store.fold_batches(
-                batch.sparkSession, path, batch_id, lambda r: _newest(r.drop("batch_id"), name).drop("rank").select("*", number)
-            )
+        feature_store.merge_levels(batch.sparkSession, path, batch_id, ["key"], merge, merge_every, expiry=F.col("ts") + ttl_ms, ttl_ms=ttl_ms)
 
     return start_batches(dwd, write, checkpoint, mode="append", **(trigger or {"processingTime": FLUSH}))
 

@@ -162,19 +162,31 @@ def test_sliding_matches_the_fold(dwd):
     assert latest == last
 
 
-def test_a_hot_minute_is_counted_in_slots(spark):
-    """All events of one user in one minute: small slots and slices give what one sort gives."""
+def test_a_hot_second_is_counted_in_blocks(spark):
+    """All events of one item in one second, after an hour of others: tiny blocks give what one sort gives."""
     rng = random.Random(3)
-    events = [event("U1", T0 + rng.randrange(60_000), rng.choice(["show", "click"]), items=["I0000001"], item="I0000001", req=rng.choice("ab"))
+    events = [event("U1", T0 + 3_600_000 + rng.randrange(1_000), rng.choice(["show", "click"]), items=["I0000001"], item="I0000001", req=rng.choice("ab"))
               for _ in range(300)]
+    events += [event("U1", T0 + 60_000 * m, "click", item="I0000001") for m in range(0, 61, 3)]
     rows = enrich.enrich(behavior(spark, events)).cache()
-    whole = sliding.sliding_stat(rows, ["uid"], slot_ms=60_000)
-    assert whole.agg(F.max("pv_5min") + F.max("click_5min")).first()[0] == 300
-    for slot in (1, 7, 1_000):
-        same(sliding.sliding_stat(rows, ["uid"], slot_ms=slot), whole)
+    whole = sliding.sliding_stat(rows, ["item_id"], blocks=1)
+    assert whole.agg(F.max("pv_5min") + F.max("click_5min")).first()[0] == 302
+    for blocks in (7, 60):
+        got = sliding.sliding_stat(rows, ["item_id"], blocks=blocks)
+        same(got, whole)
+        assert got.count() == 321
     same(cumulative.user_feature_changes(rows), cumulative.user_feature_changes(rows, **FORCE))
 
 
+def test_no_window_of_sliding_counts_is_larger_than_a_block(spark, monkeypatch):
+    events = [event("U1", T0 + m, "click", item="I0000001") for m in range(400)]
+    kept = []
+    monkeypatch.setattr(sliding, "materialise", lambda df: kept.append(df.cache()) or kept[-1])
+    sliding.sliding_stat(enrich.enrich(behavior(spark, events)), ["item_id"], blocks=20).collect()
+    sizes = [r["count"] for r in kept[0].groupBy("item_id", "minute", "block").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 80  # a window is one (key, minute, block)
+
+
 def test_sequences_are_bounded_and_newest_first(spark):
     events = [event("U1", T0 + i, "click", item=f"I{i % 60:07d}") for i in range(120)]
     seq = sequences.sequence(enrich.enrich(behavior(spark, events)), "click").collect()[0]

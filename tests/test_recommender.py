@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import cf, encode, graph, mmr, slices, vectors
+from clickloom.operators import cf, cf_update, encode, graph, mmr, partners, slices, vectors
 
 
 def ratings(seed, heavy, levels=4, users=40, items=60):
@@ -42,12 +42,12 @@ def brute(cells, norms, k):
     "heavy, levels, options",
     [
         ([], 4, {}),
-        ([1], 4, {"large": 30}),
-        ([1, 2, 3], 2, {"large": 30}),
-        ([1, 2, 3], 1, {"large": 30, "max_profile": 2}),
+        ([1], 4, {"first": 6}),
+        ([1, 2, 3], 2, {"first": 6}),
+        ([1, 2, 3], 1, {"first": 6, "block": 7}),
         ([1, 2], 3, {"block": 4}),
-        (list(range(1, 11)), 3, {"block": 16}),
-        (list(range(1, 11)), 3, {"block": 16, "large": 30, "slice_cells": 25}),
+        (list(range(1, 11)), 3, {"first": 6, "block": 16}),
+        (list(range(1, 11)), 3, {"first": 6, "block": 16, "slice_cells": 25}),
     ],
 )
 def test_similarity_is_exact_with_hot_groups(spark, heavy, levels, options):
@@ -72,13 +72,63 @@ def test_real_valued_hot_profiles(spark):
         norms[m] += w * w
     cells = spark.createDataFrame([(g, m, w) for (g, m), w in rows.items()], "grp long, member long, weight double")
     norm_df = spark.createDataFrame(list(norms.items()), "member long, norm double")
-    out = cf.similarity(cells, norm_df, 4, large=30, max_profile=1)
+    out = cf.similarity(cells, norm_df, 4, first=5)
     got = defaultdict(list)
     for r in out.orderBy("member", "rank").collect():
         got[r.member].append(r.other)
     assert dict(got) == {a: [b for b, _ in v] for a, v in brute(rows, norms, 4).items()}
 
 
+def partners_of(spark, rows, norms, k, **options):
+    cells = spark.createDataFrame([(g, m, w) for (g, m), w in rows.items()], "grp long, member long, weight double")
+    norm_df = spark.createDataFrame(list(norms.items()), "member long, norm double")
+    got = defaultdict(list)
+    for r in cf.similarity(cells, norm_df, k, **options).orderBy("member", "rank").collect():
+        got[r.member].append((r.other, round(r.sim, 9)))
+    return dict(got)
+
+
+def test_a_group_of_everybody_costs_few_products(spark, monkeypatch):
+    """One group holds all members: exact top k, and far fewer products than pairs of members."""
+    rng = random.Random(8)
+    n = 3_000
+    rows = {(0, m): float(rng.randint(1, 60)) for m in range(n)}
+    rows |= {(1 + rng.randrange(900), m): float(rng.randint(1, 60)) for m in range(n) for _ in range(2)}
+    norms = defaultdict(float)
+    for (_, m), w in rows.items():
+        norms[m] += w * w
+    made = []
+    whole = partners.meetings
+
+    def counted(*args):
+        out = whole(*args)
+        made.append(out.select(F.sum(F.size("of") * F.size("place"))).first()[0])
+        return out
+
+    monkeypatch.setattr(partners, "meetings", counted)
+    got = partners_of(spark, rows, norms, 5, first=16)
+    want = {a: [(b, round(s, 9)) for b, s in v] for a, v in brute(rows, norms, 5).items()}
+    assert got == want
+    assert sum(made) < n * n / 15
+
+
+@pytest.mark.parametrize("first", [6, 256])
+def test_equal_members_are_one_class(spark, first):
+    """Hundreds of members with the same two groups, and some with only one of them: no square, exact ties."""
+    rows = {}
+    for m in range(300):
+        rows[(1, m)] = rows[(2, m)] = 2.0
+    for m in range(300, 340):
+        rows[(1 + m % 2, m)] = 1.0 + m % 3
+    for m in range(340, 380):
+        rows[(1, m)], rows[(2, m)], rows[(3 + m % 5, m)] = 1.0, 2.0, float(m % 7 + 1)
+    norms = defaultdict(float)
+    for (_, m), w in rows.items():
+        norms[m] += w * w
+    want = {a: [(b, round(s, 9)) for b, s in v] for a, v in brute(rows, norms, 5).items()}
+    assert partners_of(spark, rows, norms, 5, first=first) == want
+
+
 def clustered_vectors(n, dim, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, dim))
@@ -188,3 +238,33 @@ def test_scaler_merge(spark):
     arr = np.array([1.0, 2.0, 10.0])
     assert out.x_scaled == pytest.approx((10 - arr.mean()) / arr.std())
     assert out.y_scaled == 0.0
+
+
+def test_updated_neighbourhoods_equal_a_new_fit(spark):
+    """New rows touch some members; the others keep what they have, and all of it equals a fit from scratch."""
+    rng = random.Random(6)
+    rows = {(g, m): float(rng.randint(1, 4)) for m in range(200) for g in rng.sample(range(60), 3)}
+    grown = dict(rows)
+    for m in rng.sample(range(200), 6):
+        for g in rng.sample(range(60), 2):
+            grown[(g, m)] = float(rng.randint(1, 4))
+    grown |= {(3, 300): 2.0, (4, 300): 1.0}  # a new member
+    dropped = next(k for k in rows if k[1] == 17)
+    del grown[dropped]  # a rating that fell to nothing: similarities fall, others come up
+
+    def side(of):
+        norms = defaultdict(float)
+        for (_, m), w in of.items():
+            norms[m] += w * w
+        cells = spark.createDataFrame([(g, m, w) for (g, m), w in of.items()], "grp long, member long, weight double")
+        return cells, spark.createDataFrame(list(norms.items()), "member long, norm double")
+
+    def listed(partners):
+        return sorted((r["member"], r["rank"], r["other"], round(r["sim"], 9)) for r in partners.collect())
+
+    old = cf_update.fit_side(*side(rows), 5)
+    new, again = cf_update.update_side(old, *side(grown), 5)
+    assert listed(new.partners) == listed(cf_update.fit_side(*side(grown), 5).partners)
+    searched = {r["member"] for r in again.collect()}
+    changed = {m for m in range(201) for of in [{k: w for k, w in rows.items() if k[1] == m} != {k: w for k, w in grown.items() if k[1] == m}] if of}
+    assert changed <= searched and len(searched) < 110

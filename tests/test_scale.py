@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import hash_number
-from clickloom.operators import encode, mmr, negatives, olap, tiles, trajectories, vectors, windows
+from clickloom.operators import encode, mmr, negatives, olap, partners, slices, trajectories, vectors, windows
 from clickloom.plans.cascade import factor_vectors
 from clickloom.sources.views import item_code, user_code
 
@@ -126,18 +126,27 @@ def test_triples_of_all_users_or_of_a_batch(spark):
     assert all(every[r["user_id"]] == r for r in batch)
 
 
-def test_a_tile_task_keeps_ties_and_cut_tiles_add_up(spark):
-    cells = spark.createDataFrame([(g, m, 0.5) for g in range(12) for m in range(9)], "grp long, member long, weight double")
-    members = cells.select("member")
+def test_ties_go_to_smaller_members_and_cut_blocks_add_up(spark):
+    cells = spark.createDataFrame([(g, m, 0.25) for g in range(12) for m in range(9)], "grp long, member long, weight double")
+    cells = cells.unionByName(spark.createDataFrame([(50 + m, m, 0.01 * m) for m in range(1, 9)], cells.schema))
     for slice_cells in (1_000, 5):
-        got = tiles.best_partners(cells, members, 2, size=4, slice_cells=slice_cells).collect()
-        found = {(r["member"], r["rank"]): (r["other"], r["sim"]) for r in got}
+        got = partners.best_partners(cells, 2, first=3, block=4, slice_cells=slice_cells).collect()
+        found = {(r["member"], r["rank"]): (r["other"], round(r["sim"], 9)) for r in got}
         assert len(got) == 18
         for m in range(9):
             first, second = [o for o in range(9) if o != m][:2]
-            assert found[m, 1] == (first, 3.0) and found[m, 2] == (second, 3.0)
+            assert found[m, 1] == (first, 0.75) and found[m, 2] == (second, 0.75)
 
 
 def test_no_cells_no_partners(spark):
     cells = spark.createDataFrame([], "grp long, member long, weight double")
-    assert tiles.best_partners(cells, cells.select("member"), 3).count() == 0
+    assert partners.best_partners(cells, 3).count() == 0
+
+
+def test_rows_are_numbered_over_several_tasks(spark):
+    rows = spark.range(1_000).select((F.col("id") % 3 != 0).cast("int").alias("key"), F.xxhash64("id").alias("h"), "id")
+    got = slices.row_numbers(rows, ["key"], [F.desc("h"), F.asc("id")]).collect()
+    for key in (0, 1):
+        mine = sorted((r for r in got if r["key"] == key), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(len(mine)))
+        assert [r["h"] for r in mine] == sorted((r["h"] for r in mine), reverse=True)

@@ -53,13 +53,20 @@ def test_sequences_over_batches_and_compaction(spark, files, name):
     want = sequences.seq_query(rows) if name == "query" else sequences.sequence(rows, name)
     target = tempfile.mkdtemp(prefix="clickloom-tests-")
     jobs.start_sequences(
-        streamed(spark, path), name, f"{target}/data", f"{target}/checkpoint", compact_every=1, availableNow=True
+        streamed(spark, path), name, f"{target}/data", f"{target}/checkpoint", merge_every=1, availableNow=True
     ).awaitTermination()
-    got = jobs.read_sequences(spark, name, f"{target}/data")
-    flat = [c.select("key", F.to_json("members").alias("m")) for c in (got, want)]
-    same(*flat)
-    # the newest base, the one before it, and the batches after that one
-    assert sorted(session.names_in(spark, f"{target}/data/base")) == ["1", "2"]
+    got = {r["key"]: r["members"] for r in jobs.read_sequences(spark, name, f"{target}/data").collect()}
+    ttl = sequences.QUERY_TTL_MS if name == "query" else sequences.SEQUENCES[name][3]
+    every = {r["key"]: r for r in want.collect()}
+    now = max(r["last_ts"] for r in every.values())
+    # merges let go of keys whose life ended; one that came back starts anew, all others are whole
+    assert set(got) == {k for k, r in every.items() if r["last_ts"] + ttl >= now}
+    for key, members in got.items():
+        assert members == every[key]["members"][: len(members)]
+        times = [m["ts"] for m in every[key]["members"]]
+        assert len(members) == len(times) or any(a - b > ttl for a, b in zip(times, times[1:]))
+    # what the two newest merges name, and the batches after the older one
+    assert sorted(session.names_in(spark, f"{target}/data/manifests")) == ["1.json", "2.json"]
     assert [n for n in session.names_in(spark, f"{target}/data/batches") if n.startswith("batch_id")] == ["batch_id=2"]
 
 
@@ -104,7 +111,7 @@ def test_a_failed_batch_is_repeated_after_a_restart(spark, files):
 
     def write(batch, batch_id):
         batch = batch.select("uid", "ts", "arrival")
-        feature_store.upsert_batch(batch, f"{target}/d", batch_id, ["uid"], ["arrival"], F.col("ts"), 10**9, compact_every=2)
+        feature_store.upsert_batch(batch, f"{target}/d", batch_id, ["uid"], ["arrival"], F.col("ts"), 10**9, merge_every=2)
         if batch_id == 1 and not broken:
             broken.append(batch_id)
             raise RuntimeError("lost after the write, before the commit")
@@ -172,6 +179,66 @@ def test_feature_table(spark):
     assert {r.k: r.v for r in feature_store.read_features(spark, f"{target}/t", ["k"]).collect()} == {"a": 3, "b": 1}
 
 
+def upsert(spark, path, batch, rows, write_ms, ttl_ms=10**6, **how):
+    df = spark.createDataFrame(rows, "k string, v long, ts long")
+    feature_store.upsert_batch(df, path, batch, ["k"], ["ts"], write_ms, ttl_ms, **how)
+
+
+def bucket_files(spark, path):
+    """File names of every bucket the newest manifest names."""
+    now = feature_store.manifest(spark, path)
+    folders = {b: f"{path}/base/{n}/hash_bucket={b}" for b, (n, _, _) in now.base.items()}
+    return {b: sorted(n for n in session.names_in(spark, f) if n.endswith(".parquet")) for b, f in folders.items()}
+
+
+def test_a_merge_rewrites_touched_buckets_only(spark):
+    path = tempfile.mkdtemp(prefix="clickloom-tests-")
+    how = {"merge_every": 2, "buckets": 16}
+    keys = [f"k{i}" for i in range(200)]
+    want = {}
+    for batch in range(8):
+        some = keys if batch < 4 else keys[:2]
+        upsert(spark, path, batch, [(k, batch, batch) for k in some], 1_000 + batch, **how)
+        want |= {k: batch for k in some}
+        if batch == 3:
+            before = bucket_files(spark, path)
+            assert len(before) == 16
+    after = bucket_files(spark, path)
+    rewritten = [b for b in after if after[b] != before[b]]
+    touched = {r[0] for r in spark.createDataFrame([(k,) for k in keys[:2]], "k string").select(F.pmod(F.xxhash64("k"), F.lit(16))).collect()}
+    assert {int(b) for b in rewritten} == touched and len(rewritten) <= 2
+    got = feature_store.read_features(spark, path, ["k"]).collect()
+    assert {r.k: r.v for r in got} == want
+    # runs are gone once they are in the base; only what the two newest manifests name is left
+    assert feature_store.manifest(spark, path).runs == []
+    assert len(session.names_in(spark, f"{path}/manifests")) == 2
+
+
+def test_an_expired_key_vanishes_with_a_merge(spark):
+    path = tempfile.mkdtemp(prefix="clickloom-tests-")
+    how = {"ttl_ms": 5, "merge_every": 2, "buckets": 1}
+    for batch, (k, at) in enumerate([("old", 100), ("kept", 120), ("kept", 121), ("new", 122)]):
+        upsert(spark, path, batch, [(k, batch, batch)], at, **how)
+    assert {r.k for r in feature_store.current_rows(spark, path).collect()} == {"kept", "new"}
+    # a bucket whose keys all ended goes without being read
+    path = tempfile.mkdtemp(prefix="clickloom-tests-")
+    how["buckets"] = 64
+    for batch in range(4):
+        upsert(spark, path, batch, [(f"k{i}", batch, batch) for i in range(100)], 100 + batch, **how)
+    for batch in range(4, 8):
+        upsert(spark, path, batch, [("late", batch, batch)], 1_000, **how)
+    assert len(feature_store.manifest(spark, path).base) == 1
+    assert [r.k for r in feature_store.read_features(spark, path, ["k"]).collect()] == ["late"]
+
+
+def test_a_key_lives_on_when_an_older_row_would_have_ended(spark):
+    """Only the newest row decides: a key renewed late stays, one whose newest row ended goes, older rows do not come back."""
+    path = tempfile.mkdtemp(prefix="clickloom-tests-")
+    for batch, rows in enumerate([[("a", 1, 1), ("b", 1, 1)], [("a", 2, 2)], [("c", 3, 3)], [("c", 4, 4)]]):
+        upsert(spark, path, batch, rows, [100, 106, 107, 108][batch], ttl_ms=5, merge_every=2, buckets=2)
+    assert {r.k: r.v for r in feature_store.read_features(spark, path, ["k"]).collect()} == {"a": 2, "c": 4}
+
+
 def test_parse_behavior(spark):
     good = '{"uid": "U1", "ts": 5, "unknown": 1, "bhv_ext": {"items": [{"item_id": "I1", "position": 0}]}}'
     text = spark.createDataFrame([(good,), ("",), (None,), ("{broken",)], "value string")
