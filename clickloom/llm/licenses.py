@@ -1,22 +1,25 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, inherited down the folders.
 
-Templates are license headers and full license texts. Three kinds of word runs of a text become
-sparse vectors of TF-IDF weights and are compared with all templates by cosine: the whole text,
-every line, and windows of the length of a header that lie across lines or inside a line which as
-a whole is no license. A window starts where a word of the header, found in the text, puts it.
-A license counts at or above the threshold and only where version and variant words agree
-("version 3", "lesser", "nc"). A file whose whole text reaches the threshold is a licence file: it
-speaks for its folder. Otherwise the best line or window is the file's own license. Files without a
-license of their own take that of the nearest folder above them that has a licence file, found by
-joining each folder with its ancestors.
+Templates are license headers and full license texts. Three kinds of word runs of a text become sparse vectors of
+TF-IDF weights, (1 + log tf) * idf, and are compared by cosine:
+
+* the whole text with all templates: at the threshold the file is a licence file and speaks for its folder;
+* every line that holds a telling word, with all templates;
+* windows of a template's length, across lines or inside a line that is no license as a whole, with that template:
+  one starts where a telling word of the template stands in the text. Templates of up to ``LOOSE_WORDS`` words have
+  each telling word as anchor, longer ones each telling word with a neighbour.
+
+A telling word is one that names a license ("licen", "gpl", "permission", ...); a run without any is no license, and texts
+without any are not looked at further. Headers count only where version and variant words agree ("version 3", "lesser",
+"nc"); full texts are told apart by their similarity alone. What is accepted has to be within ``MARGIN`` of the
+most similar template of the same run, so a template refused for its marks does not bring forward a far weaker one.
 
-Of every header so many words are looked for that the other ones hold less of its squared weight than
-the squared threshold, or are function words; of a full text, so many of its other words. What holds
-none of them is not compared.
+Files without a license of their own take that of the nearest folder above them that has a licence file, found by
+joining each folder with its ancestors.
 
-All steps are DataFrame expressions and joins. The templates are a parameter of a few
-rows; their words bound the vocabulary. Lines and windows are compared once per distinct one, so
-a header that a third of all files carry is one row after map-side combining.
+All steps are DataFrame expressions and joins. The templates are a parameter of a few rows; their words bound what is
+broadcast. Equal texts, lines and windows are compared once, so a header that a third of all files carry is
+one row after map-side combining.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from json import dumps
-from math import log
+from functools import reduce
+from math import log, sqrt
 from pkgutil import get_data
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.session import materialise
+from clickloom.session import materialise, work_path
 
 # fixed values: usual names, headers and marks of licenses
 _GNU_END = (
@@ -143,10 +146,7 @@ FULL = (
     "Apache-2.0 MIT ISC BSD-2-Clause BSD-3-Clause Unlicense GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 "
     "CC0-1.0 GFDL-1.2 GFDL-1.3 Artistic-1.0"
 ).split()
-# the AGPL is the GPL but for its title and a section
-TEMPLATES: tuple[tuple[str, str], ...] = HEADERS + tuple(
-    (name, get_data(__name__, f"license_texts/{name.replace('AGPL', 'GPL')}.txt").decode()) for name in [*FULL, "AGPL-3.0"]
-)
+TEMPLATES: tuple[tuple[str, str], ...] = HEADERS + tuple((name, get_data(__name__, f"license_texts/{name}.txt").decode()) for name in FULL)
 
 
 def _version(version: str, *shorts: str) -> list[str]:
@@ -181,12 +181,12 @@ MARKS: dict[str, tuple[list[list[str]], list[str]]] = {
     "GFDL-1.2": ([_version("1.2", "gfdl")], []),
     "GFDL-1.3": ([_version("1.3", "gfdl")], []),
 }
-# words that are looked for last
-COMMON = set("a all an and any are as at be by do for from if in is it its may no not of on one or other our see that the this to under use was will with you your".split())
+# parts of the words that name a license
+TELLING = ("licen", "permission", "redistribution", "unencumbered", "commons", "spdx", "gpl")
 WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 THRESHOLD = 0.7
-HEADER_WORDS = 250  # templates up to this length are looked for inside texts, longer ones are compared with whole texts
-TITLE_WORDS = 60  # at the beginning of a whole text, where its version and variant must be
+MARGIN = 0.05
+LOOSE_WORDS = 60  # templates up to this length are looked for at every telling word of theirs
 DECIMALS = 6
 
 
@@ -195,49 +195,53 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)*)"), F.lit(1))
 
 
-def sought(templates: Sequence[tuple[str, str]], threshold: float) -> list[tuple[list[str], dict[str, float], set[str]]]:
-    """Per template its words in order, their squared weights, and the words that are looked for."""
-    listed = [WORD.findall(text.lower()) for _, text in templates]
-    of = Counter(w for words in listed for w in set(words))
-    out, known = [], set()
-    for words in listed:
-        squares = {w: (n * (1 + log((len(templates) + 1) / (of[w] + 1)))) ** 2 for w, n in Counter(words).items()}
-        # function words outweigh all others in long texts
-        left, chosen = sum(v for w, v in squares.items() if len(words) <= HEADER_WORDS or w not in COMMON), set()
-        least = (threshold - 10**-DECIMALS) ** 2 * left * (1 - 1e-9)
-        # heavy words first, among short templates' those that are looked for anyway
-        for w in sorted(squares.keys() - COMMON, key=lambda w: (len(words) <= HEADER_WORDS and w not in known, -squares[w], w)):
-            if left < least:
-                break
-            chosen.add(w)
-            left -= squares[w]
-        known |= chosen
-        out.append((words, squares, chosen))
-    return out
-
-
-def any_of(words: set[str]) -> str:
-    """A pattern for any of the words as a whole one, by first letters."""
-    by_first: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
-    inner = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
-    return rf"(?<![a-z0-9])(?:{inner})(?![a-z0-9])"
-
-
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often and deep ``then`` uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def weights(lines: DataFrame, idf: DataFrame, idf_else: Column) -> DataFrame:
-    """(key, word, weight, norm) of the words of each line; ``lines``: key, words."""
-    counted = lines.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counted.join(F.broadcast(idf), "word", "left").select(
-        "key", "word", (F.col("tf") * F.coalesce("idf", idf_else)).alias("weight")
+def telling(word: str) -> bool:
+    return any(part in word for part in TELLING)
+
+
+def tells(word: Column) -> Column:
+    return F.regexp_like(word, F.lit("|".join(TELLING)))
+
+
+class Bank:
+    """The templates' words, weights and anchors."""
+
+    def __init__(self, templates: Sequence[tuple[str, str]]):
+        self.words = [WORD.findall(text.lower()) for _, text in templates]
+        of = Counter(w for words in self.words for w in set(words))
+        self.idf = {w: log((len(templates) + 1) / (n + 0.5)) for w, n in of.items()}
+        self.rare = log((len(templates) + 1) / 0.5)  # a word of no template
+        self.weights = []
+        for words in self.words:
+            raw = {w: (1 + log(n)) * self.idf[w] for w, n in Counter(words).items()}
+            norm = sqrt(sum(v * v for v in raw.values())) or 1.0
+            self.weights.append({w: v / norm for w, v in raw.items()})
+
+    def anchors(self) -> list[tuple[str, int, int, int]]:
+        """(anchor, template, its place, the template's length): the first place of each anchor."""
+        out = []
+        for t, words in enumerate(self.words):
+            first: dict[str, int] = {}
+            for at, w in enumerate(words):
+                if not telling(w):
+                    continue
+                near = [w] if len(words) <= LOOSE_WORDS else [" ".join(words[i : i + 2]) for i in (at - 1, at) if 0 <= i < len(words) - 1]
+                for anchor in near:
+                    first.setdefault(anchor, at)
+            out += [(anchor, t, at, len(words)) for anchor, at in first.items()]
+        return out
+
+
+def weigh(runs: DataFrame, bank: Bank) -> DataFrame:
+    """(key, word, weight) of runs (key, words), each key once; the weights of a key have norm 1."""
+    spark = runs.sparkSession
+    idf = F.broadcast(spark.createDataFrame(list(bank.idf.items()) or [("", 0.0)], "word string, idf double"))
+    counted = runs.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
+    raw = counted.join(idf, "word", "left").select(
+        "key", "word", ((1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(bank.rare))).alias("raw"), F.col("idf").isNotNull().alias("known")
     )
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, "key")
+    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.where("known").join(norm, "key").select("key", "word", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def scan(
@@ -256,158 +260,79 @@ def scan(
     answered each. Further columns are ignored.
     """
     spark = df.sparkSession
-    looked = sought(templates, threshold)
-    every_word = set().union(*[chosen for _, _, chosen in looked])
-    short = [i for i, (words, _, _) in enumerate(looked) if 0 < len(words) <= HEADER_WORDS]
-    of_short = set(short)
-    reach = max((len(looked[i][0]) for i in short), default=1)
-    starts = set().union(*[looked[i][2] for i in short])
-
-    # a template can only be near where the text, and so any part of it, shares enough of its squared weight
-    bounds = [
-        {
-            "squares": [{"word": w, "square": v} for w, v in squares.items() if i in of_short or w in chosen],
-            "least": (threshold - 10**-DECIMALS) ** 2 * sum(squares.values()) * (1 - 1e-9) if i in of_short else 0.0,
-        }
-        for i, (_, squares, chosen) in enumerate(looked)
-    ]
-    bound = F.from_json(F.lit(dumps(bounds)), "array<struct<squares:array<struct<word:string,square:double>>,least:double>>")
-    vocabulary = F.array(*[F.lit(w) for w in sorted({x["word"] for t in bounds for x in t["squares"]})]).cast("array<string>")
-    shared = lambda squares, words: F.aggregate(
-        F.filter(squares, lambda s: F.array_contains(words, s["word"])), F.lit(0.0), lambda total, s: total + s["square"]
-    )
-    holds = let(
-        F.array_intersect(words_of(F.col("text")), vocabulary),
-        lambda common: F.exists(bound, lambda t: shared(t["squares"], common) > t["least"]),
-    )
-    asks = F.regexp_like(F.lower("text"), F.lit(any_of(every_word))) if every_word else F.lit(False)
-    files = df.select(F.col(id_col).alias("doc"), path.alias("path"), F.col(text_col).alias("text"))
-    files = files.withColumn("asks", F.coalesce(F.when(asks, holds), F.lit(False)))
-    # only texts that are compared are kept; equal texts share a key
-    files = materialise(
-        files.select("doc", "path", F.when(F.col("asks"), F.sha2("text", 256)).alias("text_key"), F.when(F.col("asks"), F.col("text")).alias("text"))
-    )
-    texts = files.where("text_key is not null").select("text_key", "text")
-
-    bank = spark.createDataFrame(
-        [(i, name, looked[i][0], *MARKS.get(name, ([], []))) for i, (name, _) in enumerate(templates)],
-        "key long, license string, words array<string>, must array<array<string>>, never array<string>",
-    )
-    seen = bank.select("key", F.explode(F.array_distinct("words")).alias("word"))
-    n = len(templates)
-    idf = seen.groupBy("word").agg((F.lit(1.0) + F.log(F.lit(float(n + 1)) / (F.count(F.lit(1)) + 1))).alias("idf"))
-    rare = F.lit(1.0) + F.log(F.lit(float(n + 1)))  # a word of no template
-    marks = sorted({w for must, never in MARKS.values() for ws in [*must, never] for w in ws})
-    marked = lambda words: F.array_intersect(words, F.array(*[F.lit(w) for w in marks]))
-    joined = lambda words: F.sha2(F.array_join(words, " "), 256)
-
-    # every line, by its words
-    split_up = let(
-        F.transform(F.split("text", "\n"), lambda x: words_of(x)),
-        lambda found: F.struct(found.alias("line_words"), F.transform(found, lambda x: joined(x)).alias("line_keys")),
-    )
-    held = F.array(*[F.lit(w) for w in sorted(starts)]).cast("array<string>")
-    zipped = let(split_up, lambda t: F.arrays_zip(t["line_words"].alias("line_words"), t["line_keys"].alias("line_keys")))
-    of_lines = texts.select("text_key", F.explode(zipped).alias("line")).select(
-        "text_key",
-        F.col("line.line_keys").alias("unit"),
-        F.lit(None).cast("string").alias("within"),
-        F.col("line.line_words").alias("words"),
-    )
-    of_lines = of_lines.where(F.arrays_overlap("words", held))
-
-    # windows: texts in pieces as long as the longest header, with as many words before and after
-    stream = let(
-        split_up,
-        lambda t: F.flatten(
-            F.transform(
-                t["line_words"],
-                lambda ws, i: let(
-                    F.element_at(t["line_keys"], i + 1),
-                    lambda line: F.transform(ws, lambda w: F.struct(w.alias("w"), line.alias("line"), i.alias("i"))),
-                ),
-            )
-        ),
-    )
-    piece = lambda words, at: F.struct(
-        F.least(at, F.lit(reach)).alias("before"),
-        F.slice(words, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + 2 * reach).alias("near"),
-    )
-    cut = let(
-        stream, lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(reach)), lambda at: piece(words, at))
-    )
-    pieces = texts.select("text_key", F.explode(cut).alias("piece"))
-    pieces = pieces.select("text_key", F.col("piece.before").alias("before"), F.col("piece.near").alias("near"))
-    own_word = lambda s: (s["k"] >= F.col("before")) & (s["k"] < F.col("before") + reach) & F.array_contains(held, s["w"])
-    hits = pieces.select(
-        "text_key",
-        "near",
-        F.explode(F.filter(F.transform("near", lambda s, k: F.struct(s["w"].alias("w"), k.alias("k"))), own_word)).alias("hit"),
-    ).select("text_key", "near", F.col("hit.w").alias("start"), F.col("hit.k").alias("k"))
-    headers = spark.createDataFrame(
-        [
-            (w, looked[i][0].index(w), len(looked[i][0]), list(looked[i][1].items()), (threshold - 10**-DECIMALS) ** 2 * sum(looked[i][1].values()) * (1 - 1e-9))
-            for i in short
-            for w in sorted(looked[i][2])
-        ],
-        "start string, place int, n int, squares array<struct<word:string,square:double>>, least double",
-    )
-    first = F.greatest(F.col("k") - F.col("place"), F.lit(0))
-    window = F.slice("near", first + 1, F.least(F.col("k") - F.col("place") + F.col("n"), F.size("near")) - first)
-    of_windows = (
-        hits.join(F.broadcast(headers), "start")
-        .select("text_key", window.alias("window"), "squares", "least")
-        .select(
-            "text_key",
-            F.when(F.element_at("window", 1)["i"] == F.element_at("window", -1)["i"], F.element_at("window", 1)["line"]).alias("within"),
-            F.transform("window", lambda s: s["w"]).alias("words"),
-            "squares",
-            "least",
-        )
-        .where(let(F.col("words"), lambda words: shared(F.col("squares"), words)) >= F.col("least"))
-        .select("text_key", joined(F.col("words")).alias("unit"), "within", "words")
-    )
-    runs = of_lines.unionByName(of_windows).select("text_key", "unit", "within", "words")
-    runs = materialise(runs.dropDuplicates(["text_key", "unit", "within"]))
-
-    # each distinct run once, whoever carries it; equal whole texts add up, which leaves their cosine as it is
-    whole = texts.select(F.concat(F.lit("text "), "text_key").alias("key"), words_of(F.col("text")).alias("words"))
-    units = runs.select(F.col("unit").alias("key"), "words").dropDuplicates(["key"])
-    of_units = weights(units.unionByName(whole), idf, rare)
-    of_bank = weights(bank.select("key", "words"), idf, rare)
-    of_bank = of_bank.select(F.col("key").alias("template"), "word", F.col("weight").alias("w2"), F.col("norm").alias("n2"))
-    cosine = F.round(F.sum(F.col("weight") * F.col("w2")) / F.first("norm") / F.first("n2"), DECIMALS)
-    near = of_units.join(F.broadcast(of_bank), "word").groupBy("key", "template").agg(cosine.alias("similarity"))
-    near = near.where(F.col("similarity") >= threshold).join(
-        F.broadcast(bank.select(F.col("key").alias("template"), "license", "must", "never")), "template"
-    )
-    spoken = units.select("key", marked(F.col("words")).alias("marks")).unionByName(
-        whole.select("key", marked(F.slice("words", 1, TITLE_WORDS)).alias("marks")).dropDuplicates(["key"])
-    )
-    agree = F.forall("must", lambda any_word: F.arrays_overlap(any_word, "marks")) & ~F.arrays_overlap("never", "marks")
-    matched = (
-        near.join(spoken, "key")
-        .where(agree)
-        .groupBy("key")
-        .agg(F.max("similarity").alias("similarity"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("own_license"))
-    )
-    matched = materialise(matched)
-
-    # the whole text, else the best line or window outside lines that are licenses as a whole
-    unit = matched.withColumnRenamed("key", "unit")
-    asked = runs.select("text_key", "unit", "within").join(unit, "unit")
-    asked = asked.where("within is null").unionByName(
-        asked.where("within is not null").join(unit.select(F.col("unit").alias("within")), "within", "left_anti").select(asked.columns)
-    )
-    says = lambda part: F.struct(F.lit(part).alias("part"), (-F.col("similarity")).alias("far"), "own_license")
-    best = asked.select("text_key", says(1).alias("said")).unionByName(
-        matched.where("key like 'text %'").select(F.substring("key", 6, 64).alias("text_key"), says(0).alias("said"))
+    bank = Bank(templates)
+    low = F.lower(F.col(text_col))
+    asks = reduce(lambda a, b: a | b, [F.contains(low, F.lit(part)) for part in TELLING])
+    files = df.select(F.col(id_col).alias("doc"), path.alias("path"), F.when(asks, F.col(text_col)).alias("text"))
+    files = files.withColumn("text_key", F.when(F.col("text").isNotNull(), F.sha2("text", 256)))
+    # texts with a telling word, equal ones once
+    store = work_path(spark, "license-texts")
+    held = files.where("text_key is not null").select("text_key", "text").dropDuplicates(["text_key"])
+    held.write.option("compression", "zstd").parquet(store)
+    texts = spark.read.parquet(store)
+    files = materialise(files.drop("text"))
+
+    known = spark.createDataFrame(
+        [(t, name, t < len(HEADERS) or templates is not TEMPLATES, *MARKS.get(name, ([], []))) for t, (name, _) in enumerate(templates)],
+        "template int, license string, marked boolean, must array<array<string>>, never array<string>",
     )
-    best = best.groupBy("text_key").agg(F.min("said").alias("said")).select(
-        "text_key",
-        F.col("said.own_license").alias("own_license"),
-        (-F.col("said.far")).alias("similarity"),
-        (F.col("said.part") == 0).alias("licence_file"),
+    weights = [(t, w, v) for t, of in enumerate(bank.weights) for w, v in of.items() if v]
+    weights = F.broadcast(spark.createDataFrame(weights or [(-1, "", 0.0)], "template int, word string, theirs double"))
+    marks = F.array(*[F.lit(w) for w in sorted({w for must, never in MARKS.values() for ws in [*must, never] for w in ws})])
+    of_words = lambda words: F.sha2(F.array_join(words, " "), 256)
+    similar = F.round(F.sum(F.col("weight") * F.col("theirs")), DECIMALS).alias("similarity")
+
+    def accepted(near: DataFrame, runs: DataFrame) -> DataFrame:
+        """(key, said): the best agreeing template of each run, as (-similarity, license)."""
+        spoken = runs.select("key", F.array_intersect("words", marks).alias("marks"))
+        agree = ~F.col("marked") | (F.forall("must", lambda any_word: F.arrays_overlap(any_word, "marks")) & ~F.arrays_overlap("never", "marks"))
+        best = near.groupBy("key").agg(F.max("similarity").alias("top"))
+        fit = near.join(F.broadcast(known), "template").join(spoken, "key").join(best, "key")
+        fit = fit.where(agree & (F.col("similarity") >= F.col("top") - MARGIN))
+        return fit.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("far"), F.col("license").alias("own_license"))).alias("said"))
+
+    def nearest_of(runs: DataFrame) -> DataFrame:
+        near = weigh(runs, bank).join(weights, "word").groupBy("key", "template").agg(similar)
+        return materialise(accepted(near.where(F.col("similarity") >= threshold), runs))
+
+    # whole texts, and lines with a telling word
+    whole = nearest_of(texts.select(F.col("text_key").alias("key"), words_of(F.col("text")).alias("words"))).withColumnRenamed("key", "text_key")
+    rest = texts.join(whole.select("text_key"), "text_key", "left_anti")
+    lines = rest.select("text_key", F.posexplode(F.split("text", "\n")).alias("line", "of_line"))
+    lines = lines.where(tells(F.lower("of_line"))).select("text_key", "line", words_of(F.col("of_line")).alias("words"))
+    lines = lines.withColumn("key", of_words(F.col("words")))
+    by_line = nearest_of(lines.select("key", "words").dropDuplicates(["key"]))
+    spoken = materialise(lines.select("text_key", "line", "key").join(by_line, "key").select("text_key", "line", "said"))
+
+    # windows, but for telling words in lines that are licenses
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    stream = rest.select("text_key", F.flatten(numbered).alias("stream"))
+    stream = stream.select("text_key", F.col("stream.w").alias("words"), F.col("stream.line").alias("lines"))
+    hit = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda s: tells(s["w"]))
+    hits = stream.select("text_key", "words", "lines", F.explode(hit).alias("hit"))
+    word = lambda at: F.try_element_at("words", at)
+    at = F.col("hit.k")
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    around = F.array(F.col("hit.w"), F.when(at > 0, pair(word(F.greatest(at, F.lit(1))), F.col("hit.w"))), pair(F.col("hit.w"), word(at + 2)))
+    hits = hits.select("text_key", "words", at.alias("k"), F.get("lines", at).alias("line"), F.explode(F.array_distinct(around)).alias("anchor"))
+    anchors = spark.createDataFrame(bank.anchors() or [("", -1, 0, 0)], "anchor string, template int, place int, n int")
+    begun = hits.join(F.broadcast(anchors), "anchor").join(spoken.select("text_key", "line"), ["text_key", "line"], "left_anti")
+    start = F.greatest(F.col("k") - F.col("place"), F.lit(0))
+    cut = F.slice("words", start + 1, F.col("n"))
+    windows = begun.select("text_key", "template", start.alias("start"), cut.alias("words")).dropDuplicates(["text_key", "template", "start"])
+    windows = windows.select("text_key", "template", of_words(F.col("words")).alias("key"), "words")
+    store = work_path(spark, "license-windows")
+    windows.dropDuplicates(["text_key", "template", "key"]).write.option("compression", "zstd").parquet(store)
+    windows = spark.read.parquet(store)
+    runs = windows.select("key", "words").dropDuplicates(["key"])
+    pairs = windows.select("key", "template").distinct()
+    near = weigh(runs, bank).join(pairs, "key").join(weights, ["template", "word"]).groupBy("key", "template").agg(similar)
+    by_window = materialise(accepted(near.where(F.col("similarity") >= threshold), runs))
+
+    parts = spoken.select("text_key", "said").unionByName(windows.select("text_key", "key").distinct().join(by_window, "key").select("text_key", "said"))
+    parts = parts.groupBy("text_key").agg(F.min("said").alias("said")).withColumn("licence_file", F.lit(False))
+    best = whole.withColumn("licence_file", F.lit(True)).unionByName(parts).select(
+        "text_key", F.col("said.own_license").alias("own_license"), (-F.col("said.far")).alias("similarity"), "licence_file"
     )
     rows = files.select("doc", "path", "text_key")
     # rows that are not compared skip the join
