@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clickloom.llm.common import in_groups, slices_of, utf8_buffers
 from clickloom.llm.components import connected
@@ -143,7 +144,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0
 
 
-SKETCHES = "doc long, n long, h1 long, h2 long, bands array<long>, near binary"
+SKETCHES = "doc long, node long, t long, n long, h1 long, h2 long, bands array<long>, near binary"
 
 
 def _sketch_batches(words: int):
@@ -168,13 +169,15 @@ def _sketch_batches(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc"),
+                        piece.column("node"),
+                        piece.column("t"),
                         pa.array(sizes, pa.int64()),
                         pa.array(one, pa.int64()),
                         pa.array(two, pa.int64()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(near, pa.binary()),
                     ],
-                    ["doc", "n", "h1", "h2", "bands", "near"],
+                    ["doc", "node", "t", "n", "h1", "h2", "bands", "near"],
                 )
 
     return run
@@ -226,9 +229,9 @@ def _set_batches(words: int):
             for piece in slices_of(batch, "text", WORK_BYTES):
                 expected = zip(piece.column("h1").to_pylist(), piece.column("h2").to_pylist())
                 docs, sets = [], []
-                for s, doc, digest in zip(shingle_sets(piece.column("text"), words), piece.column("doc").to_pylist(), expected):
+                for s, node, digest in zip(shingle_sets(piece.column("text"), words), piece.column("node").to_pylist(), expected):
                     if _digest(s) == digest:  # else another row with this id
-                        docs.append(doc)
+                        docs.append(node)
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
@@ -323,36 +326,28 @@ def _links(fit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row per row of ``df``.
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(doc, n, h1, h2, component): one row per row of ``df`` with an id; h1 and h2 stand for its set.
 
-    Documents are linked when 100 * |A & B| >= ``percent`` * |A | B| over their sets of
-    ``words``-word shingles; ``component_id`` is the smallest id reachable over links.
-    Null, empty and blank texts have no shingles and are linked with nothing. A row
-    with a null id keeps a null ``component_id`` and is kept. Rows that repeat an id with
-    the same text count as one document. Further columns of ``df`` are ignored, whatever their names.
+    What is linked are sets, not ids: a node is one row per distinct set, known by a number of its own.
     """
     spark = df.sparkSession
-    every = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    texts = every.where("doc is not null")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    texts = texts.where("doc is not null")
 
     path = work_path(spark, "sketches")
-    texts.mapInArrow(_sketch_batches(words), SKETCHES).write.parquet(path)
+    numbered = texts.withColumn("node", F.monotonically_increasing_id())
+    numbered.mapInArrow(_sketch_batches(words), SKETCHES).write.parquet(path)
     sketches = spark.read.parquet(path)
 
     # copies: one row per set that several rows have
-    copies = materialise(
-        sketches.where("n > 0")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"))
-        .where("rows > 1")
-        .select("h1", "h2", "rep")
-    )
-    known = sketches.join(copies, ["h1", "h2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
+    first = F.min(F.struct("doc", "node"))
+    copies = sketches.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = materialise(copies.select("h1", "h2", F.col("first.doc").alias("rep_doc"), F.col("first.node").alias("rep")))
+    known = sketches.join(copies, ["h1", "h2"], "left")
+    known = known.withColumns({"rep": F.coalesce("rep", "node"), "rep_doc": F.coalesce("rep_doc", "doc")})
     reps_path = work_path(spark, "representatives")
-    known.where("n > 0 and rep = doc").select("doc", "n", "h1", "h2", "bands", "near").write.parquet(reps_path)
+    known.where("n > 0 and rep = node").select(F.col("node").alias("doc"), F.col("doc").alias("id"), "t", "n", "h1", "h2", "bands", "near").write.parquet(reps_path)
     reps = spark.read.parquet(reps_path)
 
     # places where representatives meet
@@ -376,8 +371,8 @@ def near_duplicates(
     large = members.where("blocks > 1")
     wanted = materialise(fit.select("doc").unionByName(large.select("doc")).distinct())
     sets_path = work_path(spark, "sets")
-    asked = wanted.join(reps.select("doc", "h1", "h2"), "doc")
-    texts.join(asked, "doc").mapInArrow(_set_batches(words), "doc long, shingles binary").write.parquet(sets_path)
+    asked = wanted.join(reps, "doc").select(F.col("id").alias("doc"), "t", F.col("doc").alias("node"), "h1", "h2")
+    texts.join(asked, ["doc", "t"]).mapInArrow(_set_batches(words), "doc long, shingles binary").write.parquet(sets_path)
     sets = spark.read.parquet(sets_path)
     links = materialise(_links(fit, sets, percent))
     labels = connected(links)
@@ -402,24 +397,70 @@ def near_duplicates(
         links = links.unionByName(_links(_fit(across, reps, percent), sets, percent))
         labels = connected(materialise(links))
 
-    found = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")
+    # the smallest id of each component of linked sets
+    ids = labels.join(reps.select(F.col("doc").alias("node"), "id"), "node")
+    least = ids.groupBy("label").agg(F.min("id").alias("component"))
+    named = labels.join(least, "label").select(F.col("node").alias("rep"), "component")
+    return known.join(named, "rep", "left").select("doc", "n", "h1", "h2", F.coalesce("component", "rep_doc").alias("component"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept): one row per row of ``df``.
+
+    Documents are linked when 100 * |A & B| >= ``percent`` * |A | B| over their sets of
+    ``words``-word shingles; ``component_id`` is the smallest id reachable over links.
+    Null, empty and blank texts have no shingles and are linked with nothing. A row
+    with a null id keeps a null ``component_id`` and is kept. Rows that repeat an id are linked each by its own
+    text and may lie in different components; with the same text they count as one document. Further columns of
+    ``df`` are ignored, whatever their names.
+    """
+    found = _components(df, id_col, text_col, words, percent).select(
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
     found = found.withColumn("kept", F.col(id_col) == F.col("component_id"))
-    nameless = every.where("doc is null").mapInArrow(_sketch_batches(words), SKETCHES)
+    none = F.lit(None).cast("long")
+    nameless = df.where(F.col(id_col).isNull()).select(none.alias("doc"), none.alias("node"), none.alias("t"), F.col(text_col).alias("text"))
     return found.unionByName(
-        nameless.select(
+        nameless.mapInArrow(_sketch_batches(words), SKETCHES).select(
             F.col("doc").alias(id_col),
             F.col("n").alias("n_shingles"),
-            F.lit(None).cast("long").alias("component_id"),
+            none.alias("component_id"),
             F.lit(True).alias("kept"),
         )
     )
 
 
+def _with_digest(words: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest(s) for s in shingle_sets(batch.column(text_col), words)]
+            marks = [pa.array([d[i] for d in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, "_h1", "_h2"])
+
+    return run
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: the smallest id of each component stays, once."""
-    found = near_duplicates(df, id_col, text_col, words, percent)
-    stay = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    once = df.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
+    """The rows of ``df`` without near-duplicates: the smallest id of each component stays, once.
+
+    Of rows that repeat an id, those with the same set of shingles count as one; each other text is judged for itself. Rows
+    with a null id stay, and so does one row without words per id.
+    """
+    found = _components(df, id_col, text_col, words, percent).select("doc", "h1", "h2", (F.col("doc") == F.col("component")).alias("kept"))
+    of_id = found.groupBy("doc").agg(
+        F.max("kept").alias("any"), ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("mixed")
+    )
+    of_id = materialise(of_id.where("any"))
+    whole = df.join(of_id.where("not mixed").select(F.col("doc").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
+    parts = df.where(F.col(id_col).isNull()).unionByName(whole)
+    several = of_id.where("mixed").select("doc")
+    if not several.isEmpty():  # ids with several texts are joined by their sets, too
+        stay = found.join(several, "doc").where("kept").select(F.col("doc").alias(id_col), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+        rows = df.join(several.withColumnRenamed("doc", id_col), id_col, "left_semi")
+        schema = StructType([*rows.schema.fields, StructField("_h1", LongType()), StructField("_h2", LongType())])
+        marked = rows.mapInArrow(_with_digest(words, text_col), schema)
+        key = [id_col, "_h1", "_h2"]
+        parts = parts.unionByName(marked.join(stay, key, "left_semi").dropDuplicates(key).select(*df.columns))
+    return parts.select(*df.columns)

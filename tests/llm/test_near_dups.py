@@ -140,3 +140,26 @@ def test_components_of_chains_and_stars(spark):
     found = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {5000: 4000, 4000: 4000}
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_an_id_with_several_texts(spark):
+    """Every text of an id is linked for itself, and only what is alike goes."""
+    a = " ".join(f"w{i}" for i in range(40))
+    b = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a, "x"), (2, b, "x"), (2, a + " more", "x"), (3, b + " more", "y"), (2, a + " more", "z"), (4, "", "x"), (4, None, "x"), (None, a, "x")]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string, node string")
+    found = near_dups.near_duplicates(df).collect()
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in found)
+    assert got == sorted(
+        [("1", 36, "1", True), ("2", 36, "2", True), ("2", 37, "1", False), ("2", 37, "1", False), ("3", 37, "2", False)]
+        + [("4", 0, "4", True)] * 2 + [("None", 36, "None", True)]
+    )
+    kept = near_dups.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("1", a), ("2", b), ("4", ""), ("None", a)]
+
+
+def test_unlike_texts_of_an_id_all_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    df = prepare(spark).createDataFrame([(7, t) for t in texts + texts[:1]] + [(8, texts[2])], "doc_id long, text string")
+    assert sorted(r["text"] for r in near_dups.keep_one(df).collect()) == sorted(texts)
