@@ -125,7 +125,7 @@ class ArchiveWriter:
         self.at += len(head) + len(label) + len(data)
 
     def close(self) -> None:
-        start = self.at
+        start = self.start = self.at
         for label, at, crc, size in self.members:
             self._put(
                 struct.pack("<4sHHHHHHIIIHHHHHII", CENTRAL, 20, 20, 0x800, 0, 0, 0x21, crc, size, size, len(label), 0, 0, 0, 0, 0, at)
@@ -200,7 +200,7 @@ def _folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Archives(WriterCommitMessage):
-    names: list[tuple[str, int]]
+    names: list[tuple[str, int, int]]  # file, its bytes, where its directory begins
 
 
 @dataclass
@@ -235,12 +235,12 @@ class MediaWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         folder, top = _folder(self.uri)
         folder.create_dir(top, recursive=True)
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int]] = []
         archive, name = None, ""
 
         def close() -> None:
             archive.close()
-            done.append((name, archive.at))
+            done.append((name, archive.at, archive.start))
 
         for batch in batches:
             for label, n, media in zip(*(batch.column(c) for c in ("name", "n_bytes", "media"))):
@@ -278,9 +278,7 @@ class MediaReader(DataSourceReader):
             if not info.base_name.startswith(MANIFEST):
                 continue
             with folder.open_input_file(info.path) as f:
-                for name, size in json.loads(f.read()):
-                    with folder.open_input_file(f"{top}/{name}") as archive:
-                        start, _ = central_directory(archive, size)
+                for name, size, start in json.loads(f.read()):
                     cuts = [*range(0, start, self.range_bytes), start]
                     ranges += [ByteRange(name, size, a, b) for a, b in zip(cuts[:-1], cuts[1:])]
         return ranges
@@ -340,9 +338,13 @@ def register(spark: SparkSession) -> None:
 
 
 def store(df: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every row of ``df`` as a picture into archives under ``uri``; a null id becomes the name ``null``."""
+    """Write every row of ``df`` as a picture into archives under ``uri``.
+
+    The name of a picture is "=" and the id; a null id becomes the name ``null``.
+    """
     register(df.sparkSession)
-    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("doc"), F.col(text_col).alias("text"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+    rows = df.select(name.alias("doc"), F.col(text_col).alias("text"))
     drawn = rows.mapInArrow(_draw_batches, "name string, n_bytes long, media binary")
     drawn.write.format("media_archive").mode("append").save(uri)
 
@@ -390,5 +392,5 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     uri = uri or work_path(spark, "media")
     store(df, uri, id_col, text_col)
     found = load(spark, uri).mapInArrow(_feature_batches, FEATURES)
-    doc = F.when(F.col("name") != "null", F.col("name").cast(dict(df.dtypes)[id_col]))
+    doc = F.when(F.col("name") != "null", F.substring("name", 2, 1 << 30).cast(dict(df.dtypes)[id_col]))
     return found.select(doc.alias(id_col), *[c.split()[0] for c in FEATURES.split(", ")[1:]])

@@ -7,21 +7,19 @@ Inside a bucket the documents are numbered by (length, id) and cut into
 batches of ``budget // bound`` rows, one row at least.
 
 What reaches the driver is the histogram: one row per distinct length, whatever the
-number of documents. Numbering needs no global sort: the histogram says where each
-length starts, a hot length is cut into ranges of ids counted beforehand, and a window
-numbers one such range.
+number of documents. Numbering needs no single sort: the histogram says where each length starts, and inside a length documents are numbered over sorted ranges, so a hot length lies in several tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.slices import row_numbers
 from clickloom.session import materialise
 
 BUCKETS = 16
 BUDGET = 16_384
-RANGE_ROWS = 100_000  # about so many documents are numbered in one window
 
 
 def word_count(text: Column) -> Column:
@@ -90,20 +88,21 @@ def pack(
     length: Column | None = None,
     buckets: int = BUCKETS,
     budget: int = BUDGET,
-    range_rows: int = RANGE_ROWS,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """(id, n_tokens, bucket, bound, batch, position) for every row of ``df``.
 
     ``length`` is the token count of a row; by default the words of its text. ``bucket`` counts from 0 by rising
     bound, ``batch`` from 0 inside the bucket, ``position`` from 0 inside the batch. A batch times its bound
     stays within ``budget`` unless one document alone is longer: it then is a batch of its own. Null and
-    empty texts have length 0 and share a bucket of bound 0 or the shortest one. Rows that repeat an id follow each
-    other in any order; a null id comes first. Further columns are ignored.
+    empty texts have length 0 and share a bucket of bound 0 or the shortest one. Ids may be of any type and lie
+    anywhere; null and repeated ids are rows like others. Further columns are ignored.
     """
     spark = df.sparkSession
     length = word_count(F.col(text_col)) if length is None else length
     # numbered rows must not change between the passes
-    rows = materialise(df.select(F.col(id_col).alias("doc"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
+    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
     cells = sorted((r["n_tokens"], r["n"]) for r in histogram.toLocalIterator())
     bounds = best_bounds(cells, buckets)
@@ -112,28 +111,13 @@ def pack(
     for cell, n in cells:
         if cell > bounds[bucket]:
             bucket, before = bucket + 1, 0
-        placed.append((cell, bucket, bounds[bucket], before, n))
+        placed.append((cell, bucket, bounds[bucket], before))
         before += n
-    table = spark.createDataFrame(placed, "n_tokens long, bucket int, bound long, before long, n long")
+    table = spark.createDataFrame(placed, "n_tokens long, bucket int, bound long, before long")
 
-    # a hot length is numbered in ranges of ids
-    low, high = F.min("doc"), F.max("doc")
-    spans = rows.groupBy("n_tokens").agg(low.alias("low"), high.alias("high"))
-    table = table.join(spans, "n_tokens").withColumn(
-        "step", F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1).cast("double") * range_rows / F.col("n"))
-    )
-    cut = rows.join(table.select("n_tokens", "bucket", "bound", "before", "low", "step"), "n_tokens").withColumn(
-        "part", F.coalesce(F.floor((F.col("doc") - F.col("low")).cast("double") / F.col("step")), F.lit(-1)).cast("long")
-    )
-    counts = cut.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("n_tokens", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("skip"))
-    inside = F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc")) - 1
-    numbered = (
-        cut.withColumn("inside", inside)
-        .join(offsets, ["n_tokens", "part"])
-        .withColumn("place", F.col("before") + F.col("skip") + F.col("inside"))
-    )
+    parts = max(1, sum(n for _, n in cells) // range_rows) if range_rows else None
+    numbered = row_numbers(rows, ["n_tokens"], [F.asc_nulls_first("doc"), F.asc("row")], "inside", parts)
+    numbered = numbered.join(table, "n_tokens").withColumn("place", F.col("before") + F.col("inside"))
     per_batch = F.greatest(F.lit(1).cast("long"), F.expr(f"{int(budget)}L div greatest(bound, 1L)"))
     return numbered.withColumn("per_batch", per_batch).select(
         F.col("doc").alias(id_col),

@@ -280,3 +280,23 @@ def test_media_of_odd_rows(spark, tmp_path):
         ("None", 0, 192),
     ]
     assert media.media_features(df.limit(0), uri=f"file://{tmp_path}/b").collect() == []
+
+
+def test_media_names_are_no_ids(spark, tmp_path):
+    rows = [("null", "a"), (None, "b"), ("=x/1", "c"), ("", "d")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    found = media.media_features(df, uri=f"file://{tmp_path}/n").collect()
+    sha = lambda t: sha256(t.encode() + b" " * (192 - len(t))).hexdigest()
+    assert {(r["doc_id"], r["payload_sha256"]) for r in found} == {(i, sha(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [-(2**63), -9 * 10**18, 5, 9 * 10**18, 2**63 - 1, None, None, 5]), ("string", ["a", "", None, None, "zz", "b", "c", "a"])])
+def test_packing_takes_any_id(spark, kind, ids):
+    rows = [(i, "w " * 3) for i in ids] + [(ids[0], "w " * 5)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    for range_rows in (1, 3, 1000):
+        found = packing.pack(df, budget=9, range_rows=range_rows).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == sorted((str(i), len(t.split())) for i, t in rows)
+        places = [(r["bucket"], r["batch"], r["position"]) for r in found]
+        assert len(set(places)) == len(places)
+        assert all(r["position"] < max(1, 9 // r["bound"]) for r in found)
