@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.session import tune
 from clickloom.sources.views import table
 
-__all__ = ["bounded_sample", "held_out", "in_groups", "prepare", "slices_of", "table", "utf8_buffers"]
+__all__ = ["bounded_sample", "held_out", "in_groups", "prepare", "sample_number", "slices_of", "table", "utf8_buffers"]
 
 # Texts are long: small batches keep a Python worker's memory flat.
 BATCH_ROWS = 512
@@ -30,10 +30,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sample_number(key: Column) -> Column:
+    """A number below a million by a hash of ``key``."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1_000_000))
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
     """About ``rows`` and never more than 2 x ``rows`` of ``total`` rows, picked by a hash of ``key``."""
     share = min(1_000_000, int(1_000_000 * rows / max(total, 1)) + 1)
-    return df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1_000_000)) < share).limit(2 * rows)
+    return df.where(sample_number(key) < share).limit(2 * rows)
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,12 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import bounded_sample, held_out, slices_of, utf8_buffers
+from clickloom.llm.common import held_out, sample_number, slices_of, utf8_buffers
+from clickloom.operators.slices import first_n
+from clickloom.session import materialise
 
 WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400  # per language, fitting only
-MOST_LANGUAGES = 64
+SAMPLE_ALL = 25_600  # of all languages together, which share them where they are many
 SLOPE = np.float32(0.25)
 STEPS, BATCH_WINDOWS = 260, 160
 LANES = 1024  # windows that advance together
@@ -223,23 +225,21 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Train on at most 2 * ``SAMPLE_DOCS`` labelled texts of each of the ``MOST_LANGUAGES`` most frequent languages.
+    """Train on at most 2 * ``SAMPLE_DOCS`` labelled texts of each language, fewer where there are more than 64 languages.
 
-    Held-out documents take no part. None if there is nothing to learn from.
+    All languages are learned. Held-out documents take no part. None if there is nothing to learn from.
     """
     rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & ~held_out(F.col("doc"))
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = sizes.count()
+    if not languages:
         return None
-    parts = [
-        bounded_sample(rows.where((F.col("lang") == c["lang"]) & F.col("text").isNotNull()), F.col("doc"), SAMPLE_DOCS, c["count"])
-        for c in counts
-    ]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // languages))
+    share = F.least(F.lit(1_000_000).cast("long"), F.floor(F.lit(1_000_000.0 * each) / F.col("n")) + 1)
+    drawn = rows.where("text is not null").join(sizes, "lang").where(sample_number(F.col("doc")) < share)
+    sample = first_n(drawn.select("lang", "text", "doc"), ["lang"], [sample_number(F.col("doc")), F.col("doc"), F.col("text")], 2 * each)
     found = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").toLocalIterator())
     if not found:
         return None

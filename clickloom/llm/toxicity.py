@@ -22,7 +22,6 @@ from clickloom.llm.common import bounded_sample, held_out, slices_of
 ORDERS = (3, 4, 5, 6)
 SLOTS_LOG2 = 22
 SAMPLE_DOCS = 3_000  # per class, fitting only
-MOST_FEATURES = 20_000
 LEAST_DOCS = 6  # documents a feature must be seen in
 LEAST_Z = 6.0  # standard errors between the two shares of documents
 LEAST_RATIO = 1.5  # log-count ratio, either way
@@ -96,8 +95,6 @@ def train(toxic: list[str], clean: list[str]) -> ToxicityModel:
     able = np.empty(0, np.int64)
     if n1 and n0:
         able = np.flatnonzero((in1 + in0 >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z) & (np.abs(np.log(p1 / p0)) >= LEAST_RATIO))
-    if len(able) > MOST_FEATURES:
-        able = np.sort(able[np.argsort(-np.abs(z[able]), kind="stable")[:MOST_FEATURES]])
     ratio = np.log(p1[able] / p0[able])
     hit = np.zeros(1 << SLOTS_LOG2, np.uint8)
     hit[able] = 1
