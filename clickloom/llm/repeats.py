@@ -110,13 +110,6 @@ def unpack_places(data: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.int64)[out < np.iinfo(kind).max]
 
 
-def _bucket_windows(texts: pa.Table, window: int) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
-    """(place in the bucket, id, window hashes, text) per text."""
-    ids = texts.column("doc").to_pylist()
-    for i, chunk_row in enumerate(_raw_rows(texts.column("text"))):
-        yield i, ids[i], windows_of(words_of(chunk_row), window), chunk_row
-
-
 def _raw_rows(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
     for chunk in column.chunks:
         raw, off = utf8_buffers(chunk)
@@ -124,6 +117,38 @@ def _raw_rows(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield raw[a:b]
 
 
+def _in_pieces(texts: pa.Table, use: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows to look at, about ``PIECE`` bytes of text at a time."""
+    at, held, size = [], [], 0
+    for i, raw in enumerate(_raw_rows(texts.column("text"))):
+        if not use[i]:
+            continue
+        if at and size + len(raw) > PIECE:
+            yield at, held
+            at, held, size = [], [], 0
+        at.append(i)
+        held.append(raw)
+        size += len(raw)
+    if at:
+        yield at, held
+
+
+_GAP = np.array([32], np.uint8)
+
+
+def _windows(rows: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts at once: words per text, window hashes, and the first word and the text of each window."""
+    joined = np.concatenate([part for raw in rows for part in (raw, _GAP)])
+    solid = ~_SPACE[joined]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    counts = np.add.reduceat(first, np.cumsum([0, *(len(r) + 1 for r in rows[:-1])]), dtype=np.int64)
+    found = windows_of(words_of(joined), window)
+    owner = np.repeat(np.arange(len(rows)), counts)
+    start = np.flatnonzero(owner[: found.shape[1]] == owner[window - 1 :][: found.shape[1]])
+    return counts, found[:, start], start, owner[start]
+
+
 def _alone(texts: pa.Table, notes: pa.Table) -> np.ndarray:
     """Rows of the bucket that are not copies of a smaller id's text and have an id."""
     copies = set(notes.filter(pc.equal(notes.column("kind"), 0)).column("row").to_pylist())
@@ -136,10 +161,10 @@ def _gathered(texts: pa.Table, notes: pa.Table, window: int) -> tuple[np.ndarray
     ids = np.array([d or 0 for d in texts.column("doc").to_pylist()], np.int64)
     number = np.unique(ids, return_inverse=True)[1].astype(np.uint32)
     parts, owner = [np.empty((DEPTH, 0), U64)], [np.empty(0, np.uint32)]
-    for i, _, found, _ in _bucket_windows(texts, window):
-        if use[i] and found.shape[1]:
-            parts.append(found)
-            owner.append(np.full(found.shape[1], number[i], np.uint32))
+    for at, rows in _in_pieces(texts, use):
+        _, found, _, row = _windows(rows, window)
+        parts.append(found)
+        owner.append(number[at][row])
     return np.concatenate(parts, axis=1), np.concatenate(owner)
 
 
@@ -303,25 +328,33 @@ def _remove(window: int, with_text: bool):
         keys, least = keys[:, order], known[2, order]
         runs = int(np.unique(keys[0], return_counts=True)[1].max()) if len(least) else 0
         use, docs, row_ids = _alone(texts, notes), texts.column("doc").to_pylist(), texts.column("row").to_pylist()
+        removed: dict[int, np.ndarray] = {}
+        ids = np.array([d or 0 for d in docs], np.int64)
+        for at, pieces in _in_pieces(texts, use & bool(len(least))):
+            counts, found, start, row = _windows(pieces, window)
+            hit = np.zeros(found.shape[1], bool)
+            place, mine = np.searchsorted(keys[0], found[0]), ids[at][row]
+            for k in range(runs):
+                near = np.minimum(place + k, len(least) - 1)
+                hit |= (keys[0][near] == found[0]) & (keys[1][near] == found[1]) & (least[near] < mine)
+            if hit.any():
+                ends = np.zeros(int(counts.sum()) + 1, np.int64)
+                ends[start[hit]] += 1
+                ends[start[hit] + window] -= 1
+                gone = np.cumsum(ends[:-1]) > 0
+                cuts = np.cumsum(counts) - counts
+                removed.update((at[i], gone[cuts[i] : cuts[i] + counts[i]]) for i in np.unique(row[hit]).tolist())
         rows = []
         for i, raw in enumerate(_raw_rows(texts.column("text"))):
             words = raw.tobytes().split()
-            n, gone = len(words), np.zeros(len(words), bool)
-            if not use[i]:
-                gone[:] = docs[i] is not None and n >= window
-            elif n >= window and len(least):
-                found = windows_of(words_of(raw), window)
-                hit = np.zeros(found.shape[1], bool)
-                start = np.searchsorted(keys[0], found[0])
-                for k in range(runs):
-                    at = np.minimum(start + k, len(least) - 1)
-                    hit |= (keys[0][at] == found[0]) & (keys[1][at] == found[1]) & (least[at] < docs[i])
-                ends = np.zeros(n + 1, np.int64)
-                np.add.at(ends, np.flatnonzero(hit), 1)
-                np.subtract.at(ends, np.flatnonzero(hit) + window, 1)
-                gone = np.cumsum(ends[:n]) > 0
-            kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
-            rows.append((docs[i], row_ids[i], n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            n, gone = len(words), removed.get(i)
+            if gone is None:
+                lost = n if not use[i] and docs[i] is not None and n >= window else 0
+                kept = b"" if lost else b" ".join(words)
+            else:
+                lost = int(gone.sum())
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+            rows.append((docs[i], row_ids[i], n, lost, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
 
     return work

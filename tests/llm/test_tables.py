@@ -1,7 +1,10 @@
 """Vector search, HTML extraction, license scans and the pipeline."""
 
+import random
 import re
+from collections import Counter
 from html import unescape
+from math import log, sqrt
 
 import numpy as np
 import pytest
@@ -88,14 +91,89 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head>
 <section class="comments"><p>First! {i}</p></section><div class="cookie-notice">We use cookies</div><form>Name <input></form></body></html>"""
 
 
+def texts_of(spark, pages, host="h.example"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_text.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
 def test_template_of_a_host_without_article_tags(spark):
-    rows = [(i, f"http://h.example/{i}", PAGE.format(i=i)) for i in range(12)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    known = html_text.templates(df.select(html_text.host_of("url").alias("host"), df.page_id.alias("key"), "html")).collect()
-    assert [r["main"] for r in known] == ["/html/body.page sidebar/div#x7"]
-    for r in html_text.extract(df).collect():
-        i = r["page_id"]
-        assert r["text"] == f"Head {i}\nBody of & page {i} bold next\nSecond {i}\none {i}"
+    texts = texts_of(prepare(spark), [PAGE.format(i=i) for i in range(12)])
+    assert texts == [f"Head {i}\nSame words on every page\nBody of & page {i} bold next\nSecond {i}\none {i}\ntwo" for i in range(12)]
+
+
+TOP = '<nav><a href="/">News</a><a>Contact</a></nav><div id="logo">Site</div>'
+END = '<div class="sidebar">Most read {i}</div><div class="comment-list"><p>So true {i}</p></div><footer>Contact</footer>'
+SHAPES = {
+    "inner": ("<article><h1>Head {i}</h1><p>Lead {i}</p><div class='body'><p>Long text {i} " + "of words " * 30 + "</p><p>End {i}</p></div></article>"),
+    "plain": ("<article><h1>Head {i}</h1><p>Lead {i}</p><p>Long text {i} " + "of words " * 30 + "</p><p>End {i}</p></article>"),
+    "named": (
+        '<div class="content has-sidebar"><h1 class="entry-header">Head {i}</h1><p>Lead {i}</p><div><p>Long text {i} ' + "of words " * 30 + "</p><p>End {i}</p></div></div>"
+    ),
+    "search": ('<div id="main" class="search"><h1>Head {i}</h1><p>Lead {i}</p><div><p>Long text {i} ' + "of words " * 30 + "</p><p>End {i}</p></div></div>"),
+    "header": ("<main><header><h1>Head {i}</h1></header><p>Lead {i}</p><section class='share-story'><p>Long text {i} " + "of words " * 30 + "</p><p>End {i}</p></section></main>"),
+}
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+@pytest.mark.parametrize("n", [2, 3, 7, 8, 20])
+def test_whole_articles_at_every_host_size(spark, shape, n):
+    pages = [f"<html><body>{TOP}{SHAPES[shape]}{END}</body></html>".replace("{i}", str(i)) for i in range(n)]
+    want = [f"Head {i}\nLead {i}\nLong text {i} " + ("of words " * 30).strip() + f"\nEnd {i}" for i in range(n)]
+    assert texts_of(prepare(spark), pages) == want
+
+
+@pytest.mark.parametrize("n", [7, 8])
+def test_copies_and_headings_like_menu_entries(spark, n):
+    prepare(spark)
+    page = f"<html><body>{TOP}{SHAPES['inner']}{END}</body></html>"
+    same = page.replace("{i}", "1")
+    whole = "Head 1\nLead 1\nLong text 1 " + ("of words " * 30).strip() + "\nEnd 1"
+    assert texts_of(spark, [same] * n) == [whole] * n  # one page, however often
+    mirrors = [same.replace("News", f"News {i}") for i in range(n)]  # copies of the article under other menus
+    assert texts_of(spark, mirrors) == [whole] * n
+    news = [page.replace("Head {i}", "News").replace("{i}", str(i)) for i in range(n)]
+    assert [t.split("\n")[0] for t in texts_of(spark, news)] == ["News"] * n
+
+
+def test_class_names_vote():
+    extra = ["ad", "top-menu", "cookie-notice", "comment-list", "site_footer", "sidebar", "share-links"]
+    kept = ["has-sidebar", "with-ads", "search-page", "share-story", "shadow", "reader", "entry", "content", "no-comments", "commentary", ""]
+    assert all(html_text.votes_out([n]) for n in extra) and not any(html_text.votes_out([n]) for n in kept)
+    attributes = [e for kind, e, _ in html_text.scan('<div data-id="menu" data-class="ad" title="class=ad">x</div>') if kind == "open"]
+    assert not attributes[0].voted
+
+
+def test_classes_against_a_plain_deduction(spark):
+    """Occurrence vectors kept whole, classes by equal vectors, the deepest element that holds half of the text."""
+    rng = random.Random(4)
+    pages = []
+    for i in range(9):
+        extra = "<div class='x'><p>maybe</p></div>" * rng.randrange(3)
+        body = "<div class='t'><div class='u'>" + "".join(f"<p>words {i} {j} " + "w " * rng.randrange(30) + "</p>" for j in range(1 + rng.randrange(4))) + "</div></div>"
+        pages.append(f"<html><body><div class='logo'><p>Site</p></div>{extra}{body}<p>by {i}</p></body></html>")
+    vectors, kinds = {}, {}
+    for i, page in enumerate(pages):
+        for token, (kind, depth, home, n, mass, free) in html_text.page_tokens(page).items():
+            vectors.setdefault(token, [0] * len(pages))[i] = n
+            kinds.setdefault(token, [kind, depth, home, 0])[3] += free
+    whole = kinds[html_text.ROOT][3]
+    classes = {}
+    for token, v in vectors.items():
+        if kinds[token][0] != html_text.IS_PAGE and sum(x > 0 for x in v) > 1 and 2 * sum(x > 0 for x in v) >= len(pages):
+            classes.setdefault(tuple(v), []).append(token)
+    valid = [t for ts in classes.values() if len(ts) >= html_text.LEAST_CLASS for t in ts]
+    slots = [
+        t for t in valid
+        if kinds[t][0] == html_text.IS_TAG and kinds[t][1] > 0 and 2 * kinds[t][3] >= whole and max(vectors[t]) == 1
+    ]
+    want = max(slots, key=lambda t: (kinds[t][1], kinds[t][3], t))
+    written = sorted(t for t, v in vectors.items() if kinds[t][0] == html_text.IS_TEXT and min(v) > 0)
+    df = prepare(spark).createDataFrame([("h", i * 7919, p) for i, p in enumerate(pages)], "host string, key long, html string")
+    found = html_text.templates(df.repartition(4)).collect()
+    assert [(r["main"], r["written"]) for r in found] == [(want, written)]
+    inner = [t for t, (kind, e) in ((t, ("open", e)) for p in pages for k, e, _ in html_text.scan(p) if k == "open" for t in [e.token] if e.name == "div") if t == want]
+    assert inner  # the slot is one of the div elements
+    assert texts_of(spark, pages)[0].endswith("by 0") and "Site" not in texts_of(spark, pages)[0]
 
 
 def test_pages_without_template_and_odd_rows(spark):
@@ -149,37 +227,97 @@ def test_licenses_are_inherited_from_the_nearest_folder(spark):
     assert licenses.scan(df.limit(0), df["path"]).collect() == []
 
 
-def test_license_cosine_against_plain_python(spark):
-    from collections import Counter
-    from math import log, sqrt
-
+def plain_license(text):
+    """(license, similarity, licence file) of one text, with loops: whole text, lines, windows."""
     words = lambda t: re.findall(r"[a-z0-9]+(?:\.[a-z0-9]+)*", t.lower())
-    bank = [Counter(words(t)) for _, t in licenses.TEMPLATES]
+    tells = lambda w: any(p in w for p in licenses.TELLING)
+    bank = [words(t) for _, t in licenses.TEMPLATES]
     n = len(bank)
-    idf = lambda w: 1 + log((n + 1) / (sum(w in b for b in bank) + 1))
-
-    def cosine(a, b):
-        x, y = ({w: c * idf(w) for w, c in t.items()} for t in (a, b))
-        return sum(x[w] * y[w] for w in x if w in y) / sqrt(sum(v * v for v in x.values())) / sqrt(sum(v * v for v in y.values()))
-
-    lines = ["Licensed under the Apache License Version 2.0 with more words", "released under an MIT license", "a license"]
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    found = {r["doc_id"]: r for r in licenses.scan(df, df["text"]).collect()}
-    for i, line in enumerate(lines):
-        best = max(cosine(Counter(words(line)), b) for b in bank)
-        assert abs(found[i]["similarity"] - (best if best >= licenses.THRESHOLD else 0)) < 1e-5
+    df = Counter(w for b in bank for w in set(b))
+
+    def vector(ws):
+        raw = {w: (1 + log(c)) * log((n + 1) / (df[w] + 0.5)) for w, c in Counter(ws).items()}
+        norm = sqrt(sum(v * v for v in raw.values())) or 1.0
+        return {w: v / norm for w, v in raw.items()}
+
+    vectors = [vector(b) for b in bank]
+
+    def said(ws, some):
+        v = vector(ws)
+        near = {t: round(sum(v[w] * vectors[t].get(w, 0.0) for w in v), 6) for t in some}
+        near = {t: x for t, x in near.items() if x >= licenses.THRESHOLD}
+        fit = []
+        for t, x in near.items():
+            name = licenses.TEMPLATES[t][0]
+            must, never = licenses.MARKS.get(name, ([], [])) if t < len(licenses.HEADERS) else ([], [])
+            if all(set(m) & set(ws) for m in must) and not set(never) & set(ws) and x >= max(near.values()) - licenses.MARGIN:
+                fit.append((-x, name))
+        return min(fit, default=None)
+
+    if not any(p in text.lower() for p in licenses.TELLING):
+        return None, 0.0, False
+    if whole := said(words(text), range(n)):
+        return whole[1], -whole[0], True
+    found, stream = [], []
+    for line in text.split("\n"):
+        one = said(words(line), range(n)) if any(p in line.lower() for p in licenses.TELLING) else None
+        found += [one] if one else []
+        stream += [(w, one is not None) for w in words(line)]
+    ws = [w for w, _ in stream]
+    for k, (w, done) in enumerate(stream):
+        if not tells(w) or done:
+            continue
+        for t, b in enumerate(bank):
+            for at, x in enumerate(b):
+                if x == w and (
+                    at == b.index(w)
+                    if len(b) <= licenses.LOOSE_WORDS
+                    else any(
+                        0 <= i < len(b) - 1 and 0 <= i - at + k < len(ws) - 1 and b[i : i + 2] == ws[i - at + k : i - at + k + 2]
+                        and next(j for j in range(len(b)) if tells(b[j]) and (b[j - 1 : j + 1] == b[i : i + 2] or b[j : j + 2] == b[i : i + 2])) == at
+                        for i in (at - 1, at)
+                    )
+                ):
+                    one = said(ws[max(0, k - at) : max(0, k - at) + len(b)], [t])
+                    found += [one] if one else []
+    best = min(found, default=None)
+    return (best[1], -best[0], False) if best else (None, 0.0, False)
+
+
+def test_licenses_against_plain_python(spark):
+    rng = random.Random(9)
+    prose = lambda k: " ".join(f"w{rng.randrange(500)}" for _ in range(k))
+    headers = [t for _, t in licenses.HEADERS]
+    texts = ["Licensed under the Apache License Version 2.0 with more words", "released under an MIT license", "a license", "", None]
+    for _ in range(25):
+        header = rng.choice(headers).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            header[rng.randrange(len(header))] = f"x{rng.randrange(9)}"
+        wrapped = " ".join(header[:3]) + rng.choice([" ", "\n"]) + " ".join(header[3:])
+        texts.append(prose(rng.choice([0, 4, 40])) + rng.choice(["\n", " "]) + wrapped + rng.choice(["\n", " "]) + prose(rng.choice([0, 30])))
+    texts += [prose(100) + "\n" + licenses.TEMPLATES[-1][1][:3_000], prose(20) + " this license " + prose(5)]
+    df = prepare(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(df, licenses.F.lit(None).cast("string")).collect()}
+    for i, text in enumerate(texts):
+        name, similarity, whole = plain_license(text or "")
+        assert (found[i]["own_license"], found[i]["licence_file"]) == (name, whole), text
+        assert abs(found[i]["similarity"] - similarity) < 2e-6
 
 
 def test_whole_license_texts_wrapped_headers_and_variants(spark):
     full = dict(licenses.TEMPLATES[len(licenses.HEADERS) :])
     gpl3 = next(t for n, t in licenses.HEADERS if n == "GPL-3.0" and "any later version" in t and "WARRANTY" in t)
     prose = "ordinary words about nothing in particular " * 40
+    long = " ".join(f"word{i}" for i in range(1_500))
     wrap = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
     rows = [
         (1, "m/LICENSE", full["MIT"].replace("<year> <copyright holders>", "2020 Somebody"), ("MIT", True)),
         (2, "m/x.c", "int main;", (None, False)),
         (3, "g/COPYING", full["GPL-3.0"], ("GPL-3.0", True)),
-        (4, "h/COPYING", full["AGPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1), ("AGPL-3.0", True)),
+        (4, "h/COPYING", prose + "\n" + full["Apache-2.0"] + "\n" + prose, ("Apache-2.0", True)),
+        (14, "s/h.c", long + "\n" + full["Apache-2.0"] + "\n" + long, ("Apache-2.0", False)),
+        (15, "s/i.c", prose * 3 + full["MIT"].replace("\n", " ") + prose * 3, ("MIT", False)),
+        (16, "s/j.c", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n" + prose, ("AGPL-3.0", False)),
         (5, "s/a.c", wrap(gpl3, 7) + "\n" + prose, ("GPL-3.0", False)),
         (6, "s/b.c", prose + "Released under the MIT License. " + prose, ("MIT", False)),
         (7, "s/c.c", wrap(gpl3.replace("version 3", "version 2"), 9) + "\n" + prose, ("GPL-2.0", False)),
