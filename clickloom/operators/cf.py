@@ -87,14 +87,32 @@ def user_cells(ratings: DataFrame) -> DataFrame:
     return ratings.select(F.col("item_id").alias("grp"), F.col("user_id").alias("member"), F.lit(1.0).alias("weight"))
 
 
+def item_inputs(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, norms) of the item side, from ``stored_ratings``."""
+    return item_cells(ratings), squared_norms(ratings)
+
+
+def user_inputs(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, norms) of the user side: common items count, ratings play no part."""
+    norms = ratings.groupBy(F.col("user_id").alias("member")).agg(F.count(F.lit(1)).cast("double").alias("norm"))
+    return user_cells(ratings), norms
+
+
+def as_item_sims(partners: DataFrame) -> DataFrame:
+    return partners.select(F.col("member").alias("item_id"), F.col("other").alias("similar_item"), "sim", "rank")
+
+
+def as_user_sims(partners: DataFrame) -> DataFrame:
+    return partners.select(F.col("member").alias("user_id"), F.col("other").alias("similar_user"), "sim", "rank")
+
+
 def item_cf_similarity(interactions: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
     """(item_id, similar_item, sim, rank) by rating cosine."""
     return _item_similarity(stored_ratings(interactions), k, **options)
 
 
 def _item_similarity(ratings: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
-    out = similarity(item_cells(ratings), squared_norms(ratings), k, **options)
-    return out.select(F.col("member").alias("item_id"), F.col("other").alias("similar_item"), "sim", "rank")
+    return as_item_sims(similarity(*item_inputs(ratings), k, **options))
 
 
 def user_cf_similarity(interactions: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
@@ -103,9 +121,7 @@ def user_cf_similarity(interactions: DataFrame, k: int = NEIGHBOURS, **options)
 
 
 def _user_similarity(seen: DataFrame, k: int = NEIGHBOURS, **options) -> DataFrame:
-    norms = seen.groupBy(F.col("user_id").alias("member")).agg(F.count(F.lit(1)).cast("double").alias("norm"))
-    out = similarity(user_cells(seen), norms, k, **options)
-    return out.select(F.col("member").alias("user_id"), F.col("other").alias("similar_user"), "sim", "rank")
+    return as_user_sims(similarity(*user_inputs(seen), k, **options))
 
 
 def co_occurrence(interactions: DataFrame) -> DataFrame:

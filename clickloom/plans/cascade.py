@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.operators import cf, content, encode, mmr, olap, rank, sequences, vectors
-from clickloom.operators.slices import dense_index
+from clickloom.operators import cf, cf_update, content, encode, factors, mmr, olap, rank, sequences, vectors
 from clickloom.session import materialise, spread
 
 FACTOR_TOP = 50
@@ -32,40 +30,41 @@ class Artefacts:
     stats: DataFrame
     rough: dict = field(default_factory=dict)
     fine: dict = field(default_factory=dict)
+    # what new interactions are folded into: both neighbourhoods, (user, item) factors
+    sides: dict[str, cf_update.Side] = field(default_factory=dict)
+    factors: tuple[DataFrame, DataFrame] | None = None
 
 
-def factor_vectors(interactions: DataFrame, rank_: int = 16, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(user vectors, item vectors) from implicit-feedback factorisation."""
-    # the factor model wants int ids: dense numbers stand in for ids of any size
-    seen = cf.last_ratings(interactions)
-    numbers = {c: dense_index(seen.select(c).distinct(), [c], f"_{c}") for c in ("user_id", "item_id")}
-    for c, index in numbers.items():
-        numbers[c] = index = materialise(index.withColumn(f"_{c}", F.col(f"_{c}").cast("int")))
-        seen = seen.join(index, c)
-    als = ALS(
-        rank=rank_, maxIter=5, implicitPrefs=True, seed=seed, userCol="_user_id", itemCol="_item_id", ratingCol="rating",
-        coldStartStrategy="drop",
-    )
-    model = als.fit(seen.select("_user_id", "_item_id", "rating"))
+def factor_recall(interactions: DataFrame, k: int = FACTOR_TOP, seed: int = 42) -> DataFrame:
+    """(user_id, item_id, score): nearest item factors of every user."""
+    return factor_channel(*factors.factor_vectors(interactions, seed=seed), k)
 
-    def named(factors: DataFrame, c: str, out: str) -> DataFrame:
-        rows = factors.join(numbers[c].withColumnRenamed(f"_{c}", "id"), "id")
-        return rows.select(F.col(c).alias(out), F.col("features").alias("vector"))
 
-    return named(model.userFactors, "user_id", "query_id"), named(model.itemFactors, "item_id", "item_id")
+def factor_channel(users: DataFrame, items: DataFrame, k: int = FACTOR_TOP, method: str = "ivf") -> DataFrame:
+    """(user_id, item_id, score): nearest of ``items`` (item_id, vector) for every vector of ``users`` (query_id, vector)."""
+    found = vectors.vector_topk(users, items, k, method=method)
+    return found.select(F.col("query_id").alias("user_id"), "item_id", "score")
 
 
-def factor_recall(interactions: DataFrame, k: int = FACTOR_TOP, seed: int = 42) -> DataFrame:
-    """(user_id, item_id, score): nearest item factors of every user."""
-    users, items = factor_vectors(interactions, seed=seed)
-    found = vectors.vector_topk(users, items, k)
-    return found.select(F.col("query_id").alias("user_id"), "item_id", "score")
+def fit_sides(interactions: DataFrame, k: int = cf.NEIGHBOURS) -> dict[str, cf_update.Side]:
+    """Both neighbourhoods, kept with what later interactions are compared with."""
+    ratings = cf.stored_ratings(interactions)
+    return {"item": cf_update.fit_side(*cf.item_inputs(ratings), k), "user": cf_update.fit_side(*cf.user_inputs(ratings), k)}
+
+
+def update_sides(sides: dict[str, cf_update.Side], interactions: DataFrame, k: int = cf.NEIGHBOURS) -> dict[str, cf_update.Side]:
+    """The neighbourhoods of all ``interactions``; only members that changed are searched again."""
+    ratings = cf.stored_ratings(interactions)
+    inputs = {"item": cf.item_inputs(ratings), "user": cf.user_inputs(ratings)}
+    return {name: cf_update.update_side(side, *inputs[name], k)[0] for name, side in sides.items()}
 
 
-def cf_channels(t: Tables) -> dict[str, DataFrame]:
+def cf_channels(t: Tables, sides: dict[str, cf_update.Side] | None = None) -> dict[str, DataFrame]:
+    if sides is None:
+        return {"item_cf": cf.item_cf_recommend(t.interactions), "user_cf": cf.user_cf_recommend(t.interactions)}
     return {
-        "item_cf": cf.item_cf_recommend(t.interactions),
-        "user_cf": cf.user_cf_recommend(t.interactions),
+        "item_cf": cf.item_cf_recommend(t.interactions, cf.as_item_sims(sides["item"].partners)),
+        "user_cf": cf.user_cf_recommend(t.interactions, cf.as_user_sims(sides["user"].partners)),
     }
 
 
@@ -78,9 +77,9 @@ def cold_channels(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def recall(t: Tables, factors: bool = True) -> dict[str, DataFrame]:
+def recall(t: Tables, with_factors: bool = True) -> dict[str, DataFrame]:
     channels = {**cf_channels(t), **cold_channels(t)}
-    if factors:
+    if with_factors:
         channels["factor"] = factor_recall(t.interactions)
     return channels
 
@@ -107,14 +106,21 @@ def fit_ranking(t: Tables, artefacts: Artefacts, stages: tuple[str, ...] = ("rou
 
 def fit(
     t: Tables,
-    factors: bool = True,
+    with_factors: bool = True,
     channels: dict[str, DataFrame] | None = None,
     stages: tuple[str, ...] = ("rough", "fine"),
 ) -> Artefacts:
     frame = raw_features(t, t.interactions.drop("create_time", "order_key", "line"))
     stats = materialise(encode.scaler_stats(frame, [*encode.CONTINUOUS, *encode.STATS]))
-    channels = recall(t, factors) if channels is None else channels
-    return fit_ranking(t, Artefacts(channels, encode.feature_vocabularies(t.users, t.items), stats), stages)
+    sides, learned = {}, None
+    if channels is None:
+        sides = fit_sides(t.interactions)
+        channels = {**cf_channels(t, sides), **cold_channels(t)}
+        if with_factors:
+            learned = tuple(materialise(v) for v in factors.factor_vectors(t.interactions))
+            channels["factor"] = factor_channel(*learned)
+    fitted = Artefacts(channels, encode.feature_vocabularies(t.users, t.items), stats, sides=sides, factors=learned)
+    return fit_ranking(t, fitted, stages)
 
 
 def rank_candidates(t: Tables, a: Artefacts, candidates: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -153,7 +159,8 @@ def refit(
     """Append what is new and rebuild only what depends on it.
 
     New items or users: vocabularies and cold-start channels. New
-    interactions: collaborative and factor channels. Any of them: the models.
+    interactions: the neighbourhoods of members they touch, and the factors of
+    touched users and new items, folded in; the sums of the scaler. Any of them: the models.
     """
     merged = Tables(
         append_rows(t.users, new_users) if new_users is not None else t.users,
@@ -161,10 +168,15 @@ def refit(
         append_rows(t.interactions, new_interactions) if new_interactions is not None else t.interactions,
         t.content_vectors,
     )
-    channels, vocabs, stats = dict(a.channels), a.vocabs, a.stats
+    channels, vocabs, stats, sides, learned = dict(a.channels), a.vocabs, a.stats, a.sides, a.factors
     if new_interactions is not None:
-        channels.update(cf_channels(merged))
-        if "factor" in channels:
+        sides = update_sides(a.sides, merged.interactions) if a.sides else fit_sides(merged.interactions)
+        channels.update(cf_channels(merged, sides))
+        if a.factors is not None:
+            touched = [new_interactions.select(c).distinct() for c in ("user_id", "item_id")]
+            learned = tuple(materialise(v) for v in factors.updated(*a.factors, cf.last_ratings(merged.interactions), *touched))
+            channels["factor"] = factor_channel(*learned)
+        elif "factor" in channels:
             channels["factor"] = factor_recall(merged.interactions)
         frame = raw_features(merged, new_interactions.drop("create_time", "order_key", "line"))
         fed = encode.scaler_stats(frame, [*encode.CONTINUOUS, *encode.STATS])
@@ -175,4 +187,4 @@ def refit(
         vocabs = {c: encode.vocab_union(v, fresh[c]) for c, v in vocabs.items()}
     if new_items is None and new_users is None and new_interactions is None:
         return merged, a
-    return merged, fit_ranking(merged, Artefacts(channels, vocabs, stats))
+    return merged, fit_ranking(merged, Artefacts(channels, vocabs, stats, sides=sides, factors=learned))

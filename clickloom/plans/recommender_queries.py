@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clickloom import schemas
 from clickloom.functions import scalars as S
-from clickloom.operators import cf, content, encode, graph, mmr, negatives, slices, trajectories, vectors
+from clickloom.operators import cf, codes, content, encode, graph, mmr, negatives, slices, trajectories, vectors
 from clickloom.operators import sequences
 from clickloom.plans import cascade
 from clickloom.plans.oracle_views import VIEWS
@@ -146,22 +146,6 @@ def keyword_recall(spark, d):
     return content.keyword_recall(views.users(spark, d), views.items(spark, d))
 
 
-@query(
-    "recall_union",
-    """WITH c AS (SELECT user_id, item_id, 'item_cf' AS ch FROM item_cf_recs UNION ALL SELECT user_id, item_id, 'user_cf' FROM user_cf_recs
-      UNION ALL SELECT user_id, item_id, 'category' FROM category_recs UNION ALL SELECT user_id, item_id, 'keyword' FROM keyword_recs)
-    SELECT user_id, item_id, string_agg(ch, ',' ORDER BY ch) AS channels FROM c GROUP BY user_id, item_id""",
-)
-def recall_union(spark, d):
-    t = tables_of(spark, d)
-    channels = {
-        **cascade.cf_channels(t),
-        "category": content.category_recall(t.users, t.items),
-        "keyword": content.keyword_recall(t.users, t.items),
-    }
-    return content.recall_union(channels).withColumn("channels", F.array_join("channels", ","))
-
-
 @query("filter_recalled_items", "SELECT item_id, name, price FROM items WHERE item_id IN (SELECT item_id FROM category_recs)")
 def filter_recalled_items(spark, d):
     recalled = content.category_recall(views.users(spark, d), views.items(spark, d))
@@ -239,6 +223,37 @@ def ivf_topk(spark, d):
     return _rank_long(out).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "code_topk",
+    """WITH cen AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM label_centres),
+    e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+    near AS (SELECT vec_id, v, label, c, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(v, c) DESC, label) AS n FROM e, cen),
+    rest AS (SELECT vec_id, label, p, list_transform(range(1, 5), lambda i: v[4 * p + i] - c[4 * p + i]) AS x FROM near, range(16) AS r(p) WHERE n = 1),
+    word AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS w, x AS word FROM rest QUALIFY w <= 16),
+    code AS (SELECT vec_id, label, rest.p, word FROM rest JOIN word ON word.p = rest.p QUALIFY row_number() OVER (PARTITION BY vec_id, rest.p
+      ORDER BY round(list_dot_product(x, x) - 2 * list_dot_product(x, word) + list_dot_product(word, word), 9), w) = 1),
+    rough AS (SELECT q.vec_id AS query_id, code.vec_id AS item_id, q.label,
+        round(any_value(list_dot_product(q.v, q.c)) + sum(list_dot_product(q.v[4 * p + 1:4 * p + 4], word)), 9) AS score
+      FROM near q JOIN code ON code.label = q.label WHERE q.n <= 2 AND q.vec_id <> code.vec_id GROUP BY ALL),
+    kept AS (SELECT query_id, item_id FROM rough QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 50)
+    SELECT query_id, item_id, round(list_dot_product(a.v, b.v), 6) AS score,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, item_id) AS rank
+    FROM kept JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = item_id QUALIFY rank <= 10""",
+)
+def code_topk(spark, d):
+    """Codes over given centres; the first sixteen vectors give the codewords."""
+    import numpy as np
+
+    v = views.content_vectors(spark, d)
+    cells = vectors.given_cells(spark, _label_centres(spark, d))
+    rests = codes.residuals(vectors.unit_vectors(v, "item_id", "item_id"), cells, "item_id")
+    first = [r["rest"] for r in rests.orderBy("item_id").limit(16).collect()]
+    books = np.array(first).reshape(len(first), codes.PARTS, -1).swapaxes(0, 1)
+    queries = v.withColumnRenamed("item_id", "query_id")
+    out = codes.code_topk(queries, v, 10, 2, skip_self=True, rerank=5, cells=cells, books=books)
+    return _rank_long(out).withColumn("score", F.round("score", 6))
+
+
 @query(
     "cluster_recall",
     f"""WITH near AS ({NEAR_SQL}), seeds AS (SELECT user_id, item_id FROM interactions
@@ -250,6 +265,44 @@ def cluster_recall(spark, d):
     return vectors.cluster_recall(last, views.content_vectors(spark, d), centres=_label_centres(spark, d))
 
 
+VIEWS["cluster_recs"] = f"""
+WITH near AS ({NEAR_SQL}), seeds AS (SELECT user_id, item_id FROM interactions
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY create_time DESC, order_key DESC, line DESC, item_id DESC) <= 20)
+SELECT DISTINCT user_id, near.item_id FROM seeds JOIN near ON seeds.item_id = near.query_id"""
+VIEWS["factor_recs"] = """
+SELECT user_id, item_id FROM (SELECT u.user_id, e.embedding::DOUBLE[] AS v FROM users u JOIN embeddings e ON e.vec_id = u.user_id % 400) q,
+  (SELECT item_id, vector::DOUBLE[] AS w FROM content_vectors) c
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(list_cosine_similarity(v, w), 12) DESC, item_id) <= 50"""
+
+
+def _given_factors(spark, d):
+    """User factors as given vectors, so that the union can be compared."""
+    v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
+    people = views.users(spark, d).select(F.col("user_id").alias("query_id"), (F.col("user_id") % 400).alias("_v"))
+    return people.join(v, "_v").select("query_id", "vector")
+
+
+@query(
+    "recall_union",
+    """WITH c AS (SELECT user_id, item_id, 'item_cf' AS ch FROM item_cf_recs UNION ALL SELECT user_id, item_id, 'user_cf' FROM user_cf_recs
+      UNION ALL SELECT user_id, item_id, 'category' FROM category_recs UNION ALL SELECT user_id, item_id, 'keyword' FROM keyword_recs
+      UNION ALL SELECT user_id, item_id, 'cluster' FROM cluster_recs UNION ALL SELECT user_id, item_id, 'factor' FROM factor_recs)
+    SELECT user_id, item_id, string_agg(ch, ',' ORDER BY ch) AS channels FROM c GROUP BY user_id, item_id""",
+)
+def recall_union(spark, d):
+    """All six channels; clusters and factors are given, the others come from the tables."""
+    t = tables_of(spark, d)
+    last = sequences.last_n_interactions(t.interactions)
+    channels = {
+        **cascade.cf_channels(t),
+        "category": content.category_recall(t.users, t.items),
+        "keyword": content.keyword_recall(t.users, t.items),
+        "cluster": vectors.cluster_recall(last, t.content_vectors, centres=_label_centres(spark, d)),
+        "factor": cascade.factor_channel(_given_factors(spark, d), t.content_vectors, method="flat"),
+    }
+    return content.recall_union(channels).withColumn("channels", F.array_join("channels", ","))
+
+
 @query(
     "case_search",
     """SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS score,
@@ -559,9 +612,27 @@ def _mmr_candidates(spark, d):
     )
 
 
-@query("mmr_rerank")
+@query(
+    "mmr_rerank",
+    """WITH RECURSIVE v AS (SELECT item_id, list_transform(vector::DOUBLE[], lambda x: x / sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[]))) AS v FROM content_vectors),
+    pool AS (SELECT user_id AS request_id, r.item_id, round(score, 9) AS relevance, v,
+        row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, r.item_id) AS i FROM item_cf_recs r LEFT JOIN v ON v.item_id = r.item_id),
+    alike AS (SELECT a.request_id, a.i, a.item_id, a.relevance,
+        list(CASE WHEN a.v IS NULL OR b.v IS NULL THEN 0.0 ELSE list_dot_product(a.v, b.v) END ORDER BY b.i) AS sims
+      FROM pool a JOIN pool b ON a.request_id = b.request_id GROUP BY ALL),
+    step AS (SELECT request_id, 1 AS position, [CAST(1 AS BIGINT)] AS picks, 0.7 * relevance AS mmr FROM alike WHERE i = 1
+      UNION ALL
+      SELECT request_id, position + 1, list_append(any_value(picks), arg_max(i, (value, -i))), max(value) FROM (
+        SELECT s.request_id, s.position, s.picks, c.i,
+          round(0.7 * c.relevance - 0.3 * list_max(list_transform(s.picks[-30:], lambda p: c.sims[p])), 9) AS value
+        FROM step s JOIN alike c ON c.request_id = s.request_id WHERE s.position < 50 AND NOT list_contains(s.picks, c.i))
+      GROUP BY request_id, position)
+    SELECT s.request_id, item_id, CAST(position AS INTEGER) AS position, floor(s.mmr * 1000000 + 0.0005) / 1000000 AS mmr
+    FROM step s JOIN alike ON alike.request_id = s.request_id AND i = picks[position]""",
+)
 def mmr_rerank(spark, d):
-    return mmr.mmr_rerank(_mmr_candidates(spark, d))
+    # values have nine decimals: cut to six, so that no rounding is halfway
+    return mmr.mmr_rerank(_mmr_candidates(spark, d)).withColumn("mmr", F.floor(F.col("mmr") * 1_000_000 + 0.0005) / 1_000_000)
 
 
 def _requests(t: cascade.Tables):
@@ -603,6 +674,23 @@ def refit_on_new_data(spark, d):
     return cascade.cascade_recommend(merged, a, _requests(merged))
 
 
+def _refitted(spark, d):
+    """Neighbourhoods fitted on the older part, then brought up to date with the rest."""
+    seen = materialise(views.interactions(spark, d))
+    old = seen.where(F.col("create_time") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    return cascade.update_sides(cascade.fit_sides(old), seen)
+
+
+@query("refit_item_cf", "SELECT item_id, similar_item, round(sim, 6) AS sim, rank FROM item_sims")
+def refit_item_cf(spark, d):
+    return _rank_long(cf.as_item_sims(_refitted(spark, d)["item"].partners)).withColumn("sim", F.round("sim", 6))
+
+
+@query("refit_user_cf", "SELECT user_id, similar_user, round(sim, 6) AS sim, rank FROM user_sims")
+def refit_user_cf(spark, d):
+    return _rank_long(cf.as_user_sims(_refitted(spark, d)["user"].partners)).withColumn("sim", F.round("sim", 6))
+
+
 @query(
     "append_new_rows",
     """SELECT user_id, item_id, order_key, line, rating FROM interactions WHERE create_time < '2000-01-01'

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.scalars import MINUTE_MS
+from clickloom.operators import cumulative
 from clickloom.operators.enrich import enrich
 from clickloom.operators.sequences import (
     QUERY_TTL_MS,
@@ -111,6 +112,30 @@ def read_sequences(spark: SparkSession, name: str, path: str) -> DataFrame:
     return as_sequence(_newest(feature_store.current_rows(spark, path).drop("batch_id"), name))
 
 
+def start_uv(
+    dwd: DataFrame, path: str, checkpoint: str, merge_every: int = feature_store.MERGE_EVERY, buckets: int = feature_store.BUCKETS, **trigger
+) -> StreamingQuery:
+    """Distinct users per item on a stream, as sketches in a keyed table.
+
+    A batch appends one sketch per item it saw, and merges of levels unite them: what is kept of an item is one
+    sketch of fixed size per level, and a repeated batch changes nothing. Exact counts are those of ``item_feature_stream``.
+    """
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return cumulative.merge_uv(rows).select("*", F.lit(None).cast("long").alias("batch_id"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        feature_store.append_batch(cumulative.uv_sketches(batch), path, batch_id)
+        feature_store.merge_levels(batch.sparkSession, path, batch_id, ["item_id"], merge, merge_every, buckets)
+
+    return start_batches(dwd, write, checkpoint, mode="append", **trigger)
+
+
+def read_uv(spark: SparkSession, path: str) -> DataFrame:
+    """(item_id, uv) over all batches written so far, within about 1 %."""
+    return cumulative.uv_of(cumulative.merge_uv(feature_store.current_rows(spark, path).drop("batch_id")))
+
+
 DimReader = Callable[[SparkSession], DataFrame]
 
 

@@ -5,8 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import hash_number
-from clickloom.operators import encode, mmr, negatives, olap, partners, slices, trajectories, vectors, windows
-from clickloom.plans.cascade import factor_vectors
+from clickloom.operators import codes, encode, factors, mmr, negatives, olap, partners, slices, trajectories, vectors, windows
 from clickloom.sources.views import item_code, user_code
 
 
@@ -28,7 +27,7 @@ def test_factor_vectors_take_large_ids(spark):
     rows = [(far + u, far + i, u, i, 1.0 + (u + i) % 3, u * 10 + i) for u in range(6) for i in range(6) if (u + i) % 2]
     df = spark.createDataFrame(rows, "user_id long, item_id long, u long, i long, rating double, line long")
     df = df.select("user_id", "item_id", "rating", F.lit(0).cast("timestamp_ltz").cast("timestamp_ntz").alias("create_time"), "line", F.col("line").alias("order_key"))
-    users, items = factor_vectors(df, rank_=2)
+    users, items = factors.factor_vectors(df, rank_=2)
     assert {r["query_id"] for r in users.collect()} == {far + u for u in range(6)}
     assert {r["item_id"] for r in items.collect()} == {far + i for i in range(6)}
 
@@ -150,3 +149,54 @@ def test_rows_are_numbered_over_several_tasks(spark):
         mine = sorted((r for r in got if r["key"] == key), key=lambda r: r["place"])
         assert [r["place"] for r in mine] == list(range(len(mine)))
         assert [r["h"] for r in mine] == sorted((r["h"] for r in mine), reverse=True)
+
+
+def test_folding_in_is_the_last_half_step_of_the_fit(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, i, float(rng.integers(1, 5)), u * 100 + i) for u in range(40) for i in rng.choice(60, 12, False).tolist()]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double, line long")
+    df = df.select("user_id", "item_id", "rating", F.lit(0).cast("timestamp_ltz").cast("timestamp_ntz").alias("create_time"), "line", F.col("line").alias("order_key"))
+    users, items = (v.cache() for v in factors.factor_vectors(df, rank_=6))
+    ratings = df.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"), "rating")
+    again = factors.fold_in(ratings, items.withColumnRenamed("item_id", "other"))
+    fitted = {r["query_id"]: np.array(r["vector"]) for r in users.collect()}
+    found = {r["id"]: np.array(r["vector"]) for r in again.collect()}
+    assert found.keys() == fitted.keys()
+    assert max(np.abs(found[u] - fitted[u]).max() for u in fitted) < 1e-4
+    # new rows: one known user, one new user, one new item; everybody else keeps their factors
+    new = spark.createDataFrame([(3, 5, 4.0), (100, 5, 2.0), (100, 7, 3.0), (3, 200, 1.0)], "user_id long, item_id long, rating double")
+    whole = df.select("user_id", "item_id", "rating").unionByName(new).groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"))
+    after, shelf = factors.updated(users, items, whole, new.select("user_id").distinct(), new.select("item_id").distinct())
+    after = {r["query_id"]: np.array(r["vector"]) for r in after.collect()}
+    shelf = {r["item_id"]: np.array(r["vector"]) for r in shelf.collect()}
+    assert set(after) == set(fitted) | {100} and 200 in shelf and len(shelf) == 61
+    assert all((after[u] == fitted[u]).all() for u in fitted if u != 3) and not np.allclose(after[3], fitted[3])
+    # the normal equations, by hand, for the new user
+    y = np.stack([shelf[i] for i in sorted(shelf)]).astype(float)
+    known = {i: v.astype(float) for i, v in shelf.items()}
+    left = y.T @ y + sum(r * np.outer(known[i], known[i]) for i, r in ((5, 2.0), (7, 3.0))) + 0.1 * 2 * np.eye(6)
+    right = sum((1 + r) * known[i] for i, r in ((5, 2.0), (7, 3.0)))
+    assert np.abs(np.linalg.solve(left, right) - after[100]).max() < 1e-4
+
+
+def test_codes_find_neighbours_of_many_vectors(spark):
+    """A sixteenth of the bytes, fitted on a third of the rows: recall at 10 against brute force."""
+    rng = np.random.default_rng(5)
+    n, dim = 50_000, 64
+    x = (rng.standard_normal((200, dim))[rng.integers(0, 200, n)] + 0.7 * rng.standard_normal((n, dim))).astype(np.float32)
+    pdf = pd.DataFrame({"item_id": np.arange(n), "vector": list(x.astype(float))})
+    df = spark.createDataFrame(pdf, "item_id long, vector array<double>").repartition(8)
+    asked = df.where("item_id % 500 = 0").withColumnRenamed("item_id", "query_id")
+    found = {}
+    for r in codes.code_topk(asked, df, 10, probes=8, skip_self=True).collect():
+        found.setdefault(r["query_id"], set()).add(r["item_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, items in found.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(items & set(np.argpartition(-score, 10)[:10].tolist()))
+    assert len(found) == 100 and hits >= 0.9 * 1_000
+    assert codes.PARTS <= dim * 4 / 16
+    none = df.limit(0)
+    assert codes.code_topk(asked, none, 10, probes=2).count() == 0

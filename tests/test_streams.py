@@ -239,6 +239,23 @@ def test_a_key_lives_on_when_an_older_row_would_have_ended(spark):
     assert {r.k: r.v for r in feature_store.read_features(spark, path, ["k"]).collect()} == {"a": 2, "c": 4}
 
 
+def test_distinct_users_as_sketches_of_fixed_size(spark):
+    """Within 2 % of the exact counts over many batches; the state of a hot item does not grow with its users."""
+    path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
+    clicks = [event(f"U{u}", T0 + u, "click", item="I0000001") for u in range(8_000)]
+    clicks += [event(f"U{u % 40}", T0 + 9_000 + u, "click", item="I0000002") for u in range(400)]
+    rows = enrich.enrich(behavior(spark, clicks)).select(*[f.name for f in schemas.BEHAVIOR_DIM.fields]).cache()
+    for part in range(5):  # overlapping parts: users come again
+        rows.where(F.pmod("arrival", F.lit(5)).isin(part, (part + 1) % 5)).coalesce(1).write.mode("append").parquet(path)
+    jobs.start_uv(streamed(spark, path), f"{target}/d", f"{target}/c", merge_every=2, buckets=2, availableNow=True).awaitTermination()
+    exact = {r["item_id"]: r["uv"] for r in cumulative.item_uv(rows).collect()}
+    found = {r["item_id"]: r["uv"] for r in jobs.read_uv(spark, f"{target}/d").collect()}
+    assert found.keys() == exact.keys() and all(abs(found[i] - n) <= max(1, 0.02 * n) for i, n in exact.items())
+    sizes = cumulative.uv_sketches(rows.where("item_id = 'I0000001'").limit(4_000)).unionByName(cumulative.uv_sketches(rows.where("item_id = 'I0000001'")))
+    a, b = (r["n"] for r in sizes.select(F.length("sketch").alias("n")).collect())
+    assert a == b
+
+
 def test_parse_behavior(spark):
     good = '{"uid": "U1", "ts": 5, "unknown": 1, "bhv_ext": {"items": [{"item_id": "I1", "position": 0}]}}'
     text = spark.createDataFrame([(good,), ("",), (None,), ("{broken",)], "value string")
