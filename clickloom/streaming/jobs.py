@@ -26,6 +26,7 @@ from clickloom.operators.sequences import (
 )
 from clickloom.session import discard, names_in, work_path
 from clickloom.sources import feature_store
+from clickloom.streaming import stateful
 from clickloom.streaming.events import DISORDER_MS, flag_late
 
 TRIGGER_SECONDS = 30
@@ -112,6 +113,19 @@ def read_sequences(spark: SparkSession, name: str, path: str) -> DataFrame:
     return as_sequence(_newest(feature_store.current_rows(spark, path).drop("batch_id"), name))
 
 
+def start_flushed_sequences(
+    dwd: DataFrame, name: str, path: str, checkpoint: str, flush_ms: int = 500, merge_every: int = feature_store.MERGE_EVERY, **trigger
+) -> StreamingQuery:
+    """Bounded sequence ``name`` kept in keyed state and written per key, when the timer of the key fires.
+
+    A flush carries the whole sequence, so the newest one per key is all that a reader needs; ``start_sequences``
+    keeps no state and merges on reading instead.
+    """
+    _, _, n, ttl_ms = SEQUENCES[name]
+    flushed = stateful.flushed_sequence_stream(sequence_events(dwd, name), n, flush_ms)
+    return start_features(flushed, path, checkpoint, ["key"], ["last_ts", "flushed_at"], ttl_ms, merge_every, **(trigger or {"processingTime": FLUSH}))
+
+
 def start_uv(
     dwd: DataFrame, path: str, checkpoint: str, merge_every: int = feature_store.MERGE_EVERY, buckets: int = feature_store.BUCKETS, **trigger
 ) -> StreamingQuery:

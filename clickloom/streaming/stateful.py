@@ -267,3 +267,62 @@ def decay_stream(dwd: DataFrame, entity: str = "category") -> DataFrame:
     rows = rows.select("uid", column.alias("entity"), *ORDER, "kind")
     schema = "uid string, entity string, " + ", ".join(f"{k}_cnt double" for k in kinds) + ", last_ts long"
     return rows.groupBy("uid", "entity").transformWithStateInPandas(DecayedCounts(kinds), schema, "Update", "None")
+
+
+FLUSHED_OUT = "key string, members array<string>, times array<long>, last_ts long, flushed_at long"
+
+
+class FlushedSequence(StatefulProcessor):
+    """The newest ``n`` members of a key, handed out when the key's own timer fires.
+
+    The first row after a flush sets the timer; rows until then only change the state. So a busy key is written
+    once per ``flush_ms``, and an idle key not at all.
+    """
+
+    def __init__(self, n: int, flush_ms: int):
+        self.n, self.flush_ms = n, flush_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getMapState("members", "member string", "ts long")
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: v[0] for k, v in self.members.iterator()}
+        kept = dict(before)
+        for pdf in rows:
+            for member, ts in pdf.groupby("member")["ts"].max().items():
+                kept[member] = max(kept.get(member, int(ts)), int(ts))
+            kept = dict(sorted(kept.items(), key=lambda x: (x[1], x[0]), reverse=True)[: self.n])
+        for member in before.keys() - kept.keys():
+            self.members.removeKey((member,))
+        for member, ts in kept.items():
+            if before.get(member) != ts:
+                self.members.updateValue((member,), (ts,))
+        if not self.due.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.flush_ms
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        newest = sorted(((v[0], k[0]) for k, v in self.members.iterator()), reverse=True)
+        yield pd.DataFrame(
+            {
+                "key": [key[0]],
+                "members": [[m for _, m in newest]],
+                "times": [[t for t, _ in newest]],
+                "last_ts": [newest[0][0]],
+                "flushed_at": [timerValues.getCurrentProcessingTimeInMs()],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def flushed_sequence_stream(events: DataFrame, n: int, flush_ms: int = 500) -> DataFrame:
+    """(key, members, times, last_ts, flushed_at) of (key, member, ts) rows: a row whenever the timer of a key fires."""
+    rows = events.select(F.col("key").cast("string").alias("key"), F.col("member").cast("string").alias("member"), "ts")
+    return rows.groupBy("key").transformWithStateInPandas(FlushedSequence(n, flush_ms), FLUSHED_OUT, "Update", "ProcessingTime")

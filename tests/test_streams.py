@@ -1,6 +1,7 @@
 """Streams drained over several files give the batch results; tables expire and compact."""
 
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +240,41 @@ def test_a_key_lives_on_when_an_older_row_would_have_ended(spark):
     assert {r.k: r.v for r in feature_store.read_features(spark, path, ["k"]).collect()} == {"a": 2, "c": 4}
 
 
+def test_each_key_is_flushed_by_its_own_timer(spark):
+    path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
+
+    def arrive(uid, items, at):
+        rows = enrich.enrich(behavior(spark, [event(uid, T0 + at + i, "click", item=f"I{n:07d}") for i, n in enumerate(items)]))
+        rows.select(*[f.name for f in schemas.BEHAVIOR_DIM.fields]).coalesce(1).write.mode("append").parquet(path)
+
+    def flushed(key, members):
+        for _ in range(240):
+            if any(session.finished(spark, f"{target}/d/batches/{n}") for n in session.names_in(spark, f"{target}/d/batches")):
+                rows = {r["key"]: r for r in feature_store.read_features(spark, f"{target}/d", ["key"]).collect()}
+                if key in rows and rows[key]["members"] == members:
+                    return rows
+            time.sleep(0.5)
+        raise AssertionError(f"{key} was not flushed")
+
+    arrive("U1", [1, 2, 1], 0)
+    stream = spark.readStream.schema(schemas.BEHAVIOR_DIM).option("maxFilesPerTrigger", 1).parquet(path)
+    job = jobs.start_flushed_sequences(stream, "click", f"{target}/d", f"{target}/c", flush_ms=200, processingTime="100 milliseconds")
+    try:
+        first = flushed("U1", ["I0000001", "I0000002"])
+        assert set(first) == {"U1"}
+        arrive("U2", [5], 50)
+        second = flushed("U2", ["I0000005"])
+        assert second["U1"] == first["U1"] and second["U2"]["flushed_at"] > first["U1"]["flushed_at"]
+        arrive("U1", [3], 90)
+        last = flushed("U1", ["I0000003", "I0000001", "I0000002"])
+        assert last["U2"] == second["U2"]
+    finally:
+        job.stop()
+    every = spark.read.schema(schemas.BEHAVIOR_DIM).parquet(path)
+    want = {r["key"]: [m["member"] for m in r["members"]] for r in sequences.sequence(every, "click").collect()}
+    assert {k: r["members"] for k, r in last.items()} == want
+
+
 def test_distinct_users_as_sketches_of_fixed_size(spark):
     """Within 2 % of the exact counts over many batches; the state of a hot item does not grow with its users."""
     path, target = (tempfile.mkdtemp(prefix="clickloom-tests-") for _ in range(2))
