@@ -31,7 +31,7 @@ from functools import reduce
 from math import log, sqrt
 from pkgutil import get_data
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.session import materialise, work_path
@@ -236,12 +236,14 @@ def weigh(runs: DataFrame, bank: Bank) -> DataFrame:
     """(key, word, weight) of runs (key, words), each key once; the weights of a key have norm 1."""
     spark = runs.sparkSession
     idf = F.broadcast(spark.createDataFrame(list(bank.idf.items()) or [("", 0.0)], "word string, idf double"))
-    counted = runs.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # all words of a run stay in the task that the run is dealt to
+    counted = runs.select("key", "words").repartition("key").select("key", F.explode("words").alias("word"))
+    counted = counted.groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
     raw = counted.join(idf, "word", "left").select(
         "key", "word", ((1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(bank.rare))).alias("raw"), F.col("idf").isNotNull().alias("known")
     )
-    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.where("known").join(norm, "key").select("key", "word", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("key")))
+    return raw.withColumn("weight", F.col("raw") / norm).where("known").select("key", "word", "weight")
 
 
 def scan(
@@ -286,8 +288,8 @@ def scan(
         """(key, said): the best agreeing template of each run, as (-similarity, license)."""
         spoken = runs.select("key", F.array_intersect("words", marks).alias("marks"))
         agree = ~F.col("marked") | (F.forall("must", lambda any_word: F.arrays_overlap(any_word, "marks")) & ~F.arrays_overlap("never", "marks"))
-        best = near.groupBy("key").agg(F.max("similarity").alias("top"))
-        fit = near.join(F.broadcast(known), "template").join(spoken, "key").join(best, "key")
+        near = near.withColumn("top", F.max("similarity").over(Window.partitionBy("key")))
+        fit = near.join(F.broadcast(known), "template").join(spoken, "key")
         fit = fit.where(agree & (F.col("similarity") >= F.col("top") - MARGIN))
         return fit.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("far"), F.col("license").alias("own_license"))).alias("said"))
 
@@ -304,22 +306,30 @@ def scan(
     by_line = nearest_of(lines.select("key", "words").dropDuplicates(["key"]))
     spoken = materialise(lines.select("text_key", "line", "key").join(by_line, "key").select("text_key", "line", "said"))
 
-    # windows, but for telling words in lines that are licenses
+    # windows, but for telling words in lines that are licenses: places first, words once they are known
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line"))))
-    stream = rest.select("text_key", F.flatten(numbered).alias("stream"))
-    stream = stream.select("text_key", F.col("stream.w").alias("words"), F.col("stream.line").alias("lines"))
-    hit = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda s: tells(s["w"]))
-    hits = stream.select("text_key", "words", "lines", F.explode(hit).alias("hit"))
-    word = lambda at: F.try_element_at("words", at)
-    at = F.col("hit.k")
-    pair = lambda a, b: F.concat_ws(" ", a, b)
-    around = F.array(F.col("hit.w"), F.when(at > 0, pair(word(F.greatest(at, F.lit(1))), F.col("hit.w"))), pair(F.col("hit.w"), word(at + 2)))
-    hits = hits.select("text_key", "words", at.alias("k"), F.get("lines", at).alias("line"), F.explode(F.array_distinct(around)).alias("anchor"))
+    streams = rest.select("text_key", F.flatten(numbered).alias("stream"))
+    near = F.transform(
+        "stream",
+        lambda s, k: F.struct(
+            s["w"].alias("w"),
+            k.alias("k"),
+            s["line"].alias("line"),
+            F.get("stream", k - 1)["w"].alias("before"),
+            F.get("stream", k + 1)["w"].alias("after"),
+        ),
+    )
+    hits = streams.select("text_key", F.explode(F.filter(near, lambda s: tells(s["w"]))).alias("hit")).select("text_key", "hit.*")
+    pair = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.concat_ws(" ", x, y))
+    around = F.array_distinct(F.array(F.col("w"), pair(F.col("before"), F.col("w")), pair(F.col("w"), F.col("after"))))
+    hits = hits.select("text_key", "k", "line", F.explode(around).alias("anchor"))
     anchors = spark.createDataFrame(bank.anchors() or [("", -1, 0, 0)], "anchor string, template int, place int, n int")
-    begun = hits.join(F.broadcast(anchors), "anchor").join(spoken.select("text_key", "line"), ["text_key", "line"], "left_anti")
-    start = F.greatest(F.col("k") - F.col("place"), F.lit(0))
-    cut = F.slice("words", start + 1, F.col("n"))
-    windows = begun.select("text_key", "template", start.alias("start"), cut.alias("words")).dropDuplicates(["text_key", "template", "start"])
+    begun = hits.join(F.broadcast(anchors), "anchor").select("text_key", "line", "template", "n", F.greatest(F.col("k") - F.col("place"), F.lit(0)).alias("start"))
+    begun = begun.join(spoken.select("text_key", "line"), ["text_key", "line"], "left_anti")
+    begun = begun.select("text_key", "template", "n", "start").distinct()
+    words = rest.select("text_key", F.flatten(F.transform(F.split("text", "\n"), lambda x: words_of(x))).alias("words"))
+    cut = F.slice("words", F.col("start") + 1, F.col("n"))
+    windows = words.join(begun, "text_key").select("text_key", "template", cut.alias("words"))
     windows = windows.select("text_key", "template", of_words(F.col("words")).alias("key"), "words")
     store = work_path(spark, "license-windows")
     windows.dropDuplicates(["text_key", "template", "key"]).write.option("compression", "zstd").parquet(store)
