@@ -25,6 +25,7 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400  # per language, fitting only
 SAMPLE_ALL = 25_600  # of all languages together, which share them where they are many
+BROADCAST_ROWS = 100_000  # languages whose counts go to every task; more of them are joined by a shuffle
 SLOPE = np.float32(0.25)
 STEPS, BATCH_WINDOWS = 260, 160
 LANES = 1024  # windows that advance together
@@ -238,7 +239,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return None
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // languages))
     share = F.least(F.lit(1_000_000).cast("long"), F.floor(F.lit(1_000_000.0 * each) / F.col("n")) + 1)
-    drawn = rows.where("text is not null").join(sizes, "lang").where(sample_number(F.col("doc")) < share)
+    counts = F.broadcast(sizes) if languages <= BROADCAST_ROWS else sizes
+    drawn = rows.where("text is not null").join(counts, "lang").where(sample_number(F.col("doc")) < share)
     sample = first_n(drawn.select("lang", "text", "doc"), ["lang"], [sample_number(F.col("doc")), F.col("doc"), F.col("text")], 2 * each)
     found = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").toLocalIterator())
     if not found:
