@@ -185,6 +185,33 @@ def test_blocks_do_not_change_the_result(spark):
     assert [(r.query_id, r.item_id) for r in a] == [(r.query_id, r.item_id) for r in b]
 
 
+def test_vectors_are_sent_once_per_tile(spark):
+    n = 6_000
+    v = np.random.default_rng(8).normal(size=(n, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "item_id long, vector array<double>").cache()
+    c = vectors.unit_vectors(df, "item_id", "item_id").withColumn("cluster", F.lit(0))
+    # 12 packs of 512 queries meet one tile of vectors, not 12 packs of them
+    q, q_tiles = vectors._tiled(c, "item_id", "q", vectors.TILE, vectors.TILES)
+    assert q_tiles.first()["q_tiles"] == 12 and q.count() == n
+    assert vectors._tiled(c, "item_id", "c", vectors.TILE)[1].first()["c_tiles"] == 1
+    # bounds that hold nothing back: a query is sent to every cell, not to every cluster
+    cells = vectors.fit_cells(c, "item_id")
+    members = vectors.place(c, cells, 1, "item_id")
+    asked = c.select(F.col("item_id").alias("query_id"), "vector", F.lit(-2.0).alias("floor"))
+    opened = vectors._open_cells(asked, members, cells)
+    assert opened.groupBy("query_id", "cluster").count().where("count > 1").isEmpty()
+    assert opened.count() <= n * len(cells.coarse)
+    # what the tiles find is the truth
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    some = df.where("item_id < 50").withColumnRenamed("item_id", "query_id")
+    for method in ("flat", "bounded"):
+        rows = vectors.exact_topk_cosine(some, df, 4, True, method).orderBy("query_id", "rank").collect()
+        scores = unit[:50] @ unit.T
+        np.fill_diagonal(scores, -np.inf)
+        want = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :4]
+        assert [r.item_id for r in rows] == want.ravel().tolist()
+
+
 def test_mmr_matches_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     n, sel, win, lam = 40, 20, 5, 0.7
