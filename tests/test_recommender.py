@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import cf, cf_update, encode, graph, mmr, partners, slices, vectors
+from clickloom.operators import cf, cf_update, content, encode, graph, mmr, partners, slices, vectors
 
 
 def ratings(seed, heavy, levels=4, users=40, items=60):
@@ -212,6 +212,18 @@ def test_vectors_are_sent_once_per_tile(spark):
         assert [r.item_id for r in rows] == want.ravel().tolist()
 
 
+def test_recall_tells_items_apart_by_taste(spark):
+    users = spark.createDataFrame([(1, "a;b"), (1, "b"), (2, "b;a;b"), (None, "a"), (None, "b"), (3, ""), (4, None), (5, "z")], "user_id long, likes string")
+    index = spark.createDataFrame([("a", 7), ("a", 8), ("b", 8), ("b", None)], "entry string, item_id long")
+    found = content.entry_recall(users, index, "likes")
+    got = [(r.user_id, r.item_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(u, i) for u in (1, 2, None) for i in (7, 8, None)}
+    # no (user, item) pair goes through a grouping
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped and not [line for line in grouped if "user_id" in line and "item_id" in line]
+
+
 def test_mmr_matches_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     n, sel, win, lam = 40, 20, 5, 0.7
