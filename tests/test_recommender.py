@@ -269,6 +269,13 @@ def test_dense_index_and_prefix_max(spark):
     assert [r.m for r in out] == [None] + [max(vals[:i]) for i in range(1, 500)]
 
 
+def test_distinct_rows_are_dealt_by_their_number(spark):
+    rows = spark.createDataFrame([(i % 40, i % 80) for i in range(200)] + [(None, 1)] * 3, "a long, b long")
+    found = slices.distinct_rows(rows, 203, per_task=20)
+    assert {tuple(r) for r in found.collect()} == {(i % 40, i % 80) for i in range(200)} | {(None, 1)} and found.count() == 81
+    assert found.rdd.getNumPartitions() == 11
+
+
 def test_scaler_merge(spark):
     a = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "x double, y double")
     b = spark.createDataFrame([(10.0, 5.0)], "x double, y double")
