@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -314,3 +315,19 @@ def test_updated_neighbourhoods_equal_a_new_fit(spark):
     searched = {r["member"] for r in again.collect()}
     changed = {m for m in range(201) for of in [{k: w for k, w in rows.items() if k[1] == m} != {k: w for k, w in grown.items() if k[1] == m}] if of}
     assert changed <= searched and len(searched) < 110
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 4}, {"block": 4, "per_task": 50, "hot_cells": 3}])
+def test_pairs_are_all_there_and_move_as_lists(spark, options):
+    rows = ratings(5, [1, 2, 3])
+    cells = spark.createDataFrame([(g, m, w) for (g, m), w in rows.items()], "grp long, member long, weight double")
+    found = cf.group_pairs(cells, **options)
+    want = defaultdict(float)
+    for (g, a), wa in rows.items():
+        for (h, b), wb in rows.items():
+            if g == h and a < b:
+                want[(a, b)] += wa * wb
+    assert {(r.a, r.b): r.dot for r in found.collect()} == want
+    # no exchange deals single pairs
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
