@@ -1,9 +1,11 @@
 """Bundles, rule scores, snapshots and lineage on small seeds."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import bundle, diagnose, feedback, rule, snapshots
+from clickloom.operators import bundle, candidates, diagnose, feedback, rule, snapshots
 
 USER = "user_id string, total_pv long, total_click long, total_cart long, total_fav long, total_buy long, active_days long, user_age int, user_city string, user_level int, update_ts long"
 ITEM = "item_id string, total_detail_click long, total_buy long, total_cart long, total_fav long, uv long, conversion_rate double, category_id int, item_brand string, item_price double"
@@ -39,6 +41,32 @@ def test_bundle(spark, stores):
     assert (ghost.u_total_pv, ghost.u_city, ghost.i_brand, ghost.i_price) == (0, "", "", 0.0)
 
 
+def test_pairs_dealt_by_user_are_ranked_where_they_lie(spark, stores):
+    rows = [(f"r{n}", "U000001", f"I000000{n}", n) for n in range(1, 4)]
+    pairs = spark.createDataFrame(rows, "req_id string, uid string, item_id string, place int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = bundle.assemble_bundle(pairs, **stores, tasks=11).withColumn("in_seq", F.lit(0.0))
+        request = ["uid", "req_id"]
+        out = rule.recommend_rank(rule.minmax_normalise(rule.rule_score(out), by=request), by=request)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.item_id: (r.x_click_cnt, r.w_show_cnt, r.rank) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {"I0000001": (2.5, 13, 1), "I0000002": (0.0, 0, 1), "I0000003": (0.0, 0, 1)}
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert [d for d in dealt if d.startswith("uid#") and d.endswith(", 11")]
+    assert not [d for d in dealt if "i_category_id" in d or "req_id" in d]
+
+
+def test_tasks_of_a_pool_grow_with_the_requests(spark):
+    asked = spark.range(1_000).select(F.lit(10).alias("top_k"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert candidates.pool_tasks(asked.limit(1)) == candidates.pool_tasks(asked.limit(0)) == least
+    assert candidates.pool_tasks(asked, per_task=100) == 500
+
+
 def scored(spark, rows):
     df = spark.createDataFrame(rows, "req_id string, uid string, item_id string, place int, i_conversion_rate double, x_click_cnt double, x_buy_cnt double, in_seq double, i_click_1h double")
     return rule.recommend_rank(rule.minmax_normalise(rule.rule_score(df))).orderBy("rank").collect()
