@@ -225,33 +225,44 @@ def sliding_stat_stream(dwd: DataFrame, key: str = "uid") -> DataFrame:
 
 
 class DecayedCounts(StatefulProcessor):
-    """Decayed counters per (user, entity) with one clock for all counters of the pair."""
+    """Decayed counters per (user, entity) with one clock for all counters of the pair.
+
+    The key is the user: a batch reads the state of all entities of a user once and writes it once.
+    """
 
     def __init__(self, kinds: tuple[str, ...], half_life_days: float = HALF_LIFE_DAYS):
         self.kinds = kinds
         self.rate = math.log(2.0) / (half_life_days * DAY_MS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "kind string", "value double")
-        self.clock = handle.getValueState("clock", "ts long")
+        self.state = handle.getValueState("decayed", "entities array<string>, last array<long>, counts array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        value = {k[0]: v[0] for k, v in self.counts.iterator()}
-        last = self.clock.get()[0] if self.clock.exists() else None
-        held = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
-        ts, kind = held["ts"].to_numpy(np.int64), held["kind"].to_numpy()
-        gaps = np.maximum(np.diff(ts, prepend=ts[0] if last is None else last), 0) * self.rate
-        for k in set(kind):
-            # a counter decays by the gaps before its own events only
-            decay = np.cumsum(gaps[kind == k])
-            value[k] = value.get(k, 0.0) * math.exp(-decay[-1]) + float(np.exp(decay - decay[-1]).sum())
-        last = int(ts[-1])
-        self.clock.update((last,))
-        for k, v in value.items():
-            self.counts.updateValue((k,), (v,))
-        yield pd.DataFrame(
-            {"uid": [key[0]], "entity": [str(key[1])], **{f"{k}_cnt": [value.get(k, 0.0)] for k in self.kinds}, "last_ts": [last]}
-        )
+        width, stored = len(self.kinds), self.state.get()
+        names, last, counts = ([], [], []) if stored is None else stored
+        known = {e: (t, list(counts[i * width : (i + 1) * width])) for i, (e, t) in enumerate(zip(names, last))}
+        parts = [[pdf[c].to_numpy() for c in ("entity", *ORDER, "kind")] for pdf in rows]
+        entity, ts, arrival, pos, kind = parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts)]
+        code, values = pd.factorize(np.asarray(entity, object), use_na_sentinel=False)
+        order = np.lexsort((pos, arrival, ts, code))
+        code, ts, kind = code[order], ts[order].astype(np.int64), kind[order]
+        touched = []
+        for start, end in zip(*(np.searchsorted(code, np.arange(len(values)), side) for side in ("left", "right"))):
+            name = values[code[start]]
+            name = name if isinstance(name, str) else None
+            before, value = known.get(name, (None, [0.0] * width))
+            mine, of = ts[start:end], kind[start:end]
+            gaps = np.maximum(np.diff(mine, prepend=mine[0] if before is None else before), 0) * self.rate
+            for n, k in enumerate(self.kinds):
+                # a counter decays by the gaps before its own events only
+                decay = np.cumsum(gaps[of == k])
+                if len(decay):
+                    value[n] = value[n] * math.exp(-decay[-1]) + float(np.exp(decay - decay[-1]).sum())
+            known[name] = (int(mine[-1]), value)
+            touched.append(name)
+        self.state.update((list(known), [t for t, _ in known.values()], [c for _, v in known.values() for c in v]))
+        found = {f"{k}_cnt": [known[e][1][n] for e in touched] for n, k in enumerate(self.kinds)}
+        yield pd.DataFrame({"uid": key[0], "entity": [str(e) for e in touched], **found, "last_ts": [known[e][0] for e in touched]})
 
     def close(self) -> None:
         pass
@@ -266,7 +277,7 @@ def decay_stream(dwd: DataFrame, entity: str = "category") -> DataFrame:
     rows = dwd.withColumn("kind", event_kind()).where(F.col("uid").isNotNull() & F.col("kind").isin(*kinds))
     rows = rows.select("uid", column.alias("entity"), *ORDER, "kind")
     schema = "uid string, entity string, " + ", ".join(f"{k}_cnt double" for k in kinds) + ", last_ts long"
-    return rows.groupBy("uid", "entity").transformWithStateInPandas(DecayedCounts(kinds), schema, "Update", "None")
+    return rows.groupBy("uid").transformWithStateInPandas(DecayedCounts(kinds), schema, "Update", "None")
 
 
 FLUSHED_OUT = "key string, members array<string>, times array<long>, last_ts long, flushed_at long"
