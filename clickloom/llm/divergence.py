@@ -37,6 +37,7 @@ MERGE_ROWS = 16_384  # rows merged in one step
 BLOCK = 128  # sources of a block
 SALT_TERMS = 8_192  # terms added up under one key
 PIECE = 1 << 20  # bytes of a text handled at once
+BROADCAST_BYTES = 4_000_000  # groups of this size may be sent to every task
 CELLS = 1 << 21  # products held at once
 
 _LETTERS = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -266,6 +267,12 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ended()
 
 
+def _broadcast_if_small(groups: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hinted by what the stored ``groups`` take, not by Spark's estimate."""
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 128)).first()[0] or 0
+    return F.broadcast(groups) if size <= most_bytes else groups.hint("merge")
+
+
 def divergences(
     df: DataFrame,
     text_col: str = "text",
@@ -300,8 +307,9 @@ def divergences(
     cells = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c")).select(
         "lang", "term", F.col("c.sources").alias("source"), F.col("c.counts").alias("count")
     )
-    sums = cells.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    # stored stripes are small for Spark, what comes out of them is not: no side of these joins is broadcast by that size
+    sums = cells.groupBy("lang", "source").agg(F.sum("count").alias("n")).hint("merge")
+    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")).hint("merge")
     by_lang = Window.partitionBy("lang")
     groups = (
         docs.select("lang", "source")
@@ -332,7 +340,7 @@ def divergences(
     known = totals.select("lang", "term", "whole", F.explode(F.arrays_zip("sources", "counts")).alias("c")).select(
         "lang", "term", "whole", F.col("c.sources").alias("source"), F.col("c.counts").alias("count")
     )
-    rated = known.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("mass")))
+    rated = known.hint("merge").join(_broadcast_if_small(groups), ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("mass")))
     telling = rated.withColumn("q", share(F.col("whole"), F.col("lang_mass"))).where("count > 0 and p > q")
     telling = telling.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
