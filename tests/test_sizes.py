@@ -63,6 +63,11 @@ def test_reranked_batches_equal_single_requests(spark):
     assert "mapInArrow" in " ".join(_plan(mmr.mmr_rerank(df))) or "MapInArrow" in " ".join(_plan(mmr.mmr_rerank(df)))
 
 
+def test_unknown_relevance_has_no_value(spark):
+    df = spark.createDataFrame([(1, 5, None, [1.0, 0.0]), (1, 6, None, None)], "request_id long, item_id long, relevance double, vector array<double>")
+    assert [(r["item_id"], r["position"], r["mmr"]) for r in mmr.mmr_rerank(df).collect()] == [(5, 1, None), (6, 2, None)]
+
+
 def test_crossed_models_equal_those_of_spark(spark):
     rng = np.random.default_rng(1)
     rows = []
